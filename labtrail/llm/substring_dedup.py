@@ -4,7 +4,7 @@ Each text becomes a sequence of word names. Rounds of recompression then shorten
 then pairs whose left symbol falls in one half of that round's alphabet and whose right one in the other half. A name
 depends on the named symbols and the round alone, so it is the same in every task of the cluster, with no dictionary to
 exchange. Every symbol keeps the range of words that its rounds have looked at; a symbol whose range lies within a
-window is there in every equal window. Such a shared high-level symbol is the window's anchor (the one of least name),
+window is there in every equal window. Such a shared high-level symbol is the window's anchor (a long one of least hash),
 and consecutive windows with one anchor form a segment, the unit that is shuffled: its anchor's name and a 128-bit
 fingerprint of its words.
 
@@ -32,12 +32,14 @@ from labtrail.llm.words import Spans, Words, blocks, mix
 ROUNDS = 4
 #: Symbols of more words than this aren't paired any more, so that a window always holds whole ones.
 LONGEST = 12
+#: Anchors are preferred by their words divided by this.
+STEP = 2
 SEGMENTS = "doc_id long, th long, name long, f1 long, f2 long, p int, n int"
 RANGES = "array<struct<p:int,n:int>>"
 
 
 def _recompress(name: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Symbols of the last round: name, start, range of words looked at (from, to), as indexes into the words."""
+    """Symbols of the last round: name, start, end, range of words looked at (from, to), as indexes into the words."""
     n = len(name)
     start = np.arange(n)
     end = start + 1
@@ -80,7 +82,7 @@ def _recompress(name: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
             tail = head + pairs[head]
             name = np.where(pairs[head], mix(name[head] * np.uint64(0x9E3779B97F4A7C15) + mix(name[tail] + np.uint64(turn))), name[head])
             start, end, seen_from, seen_to = start[head], end[tail], seen_from[head], seen_to[tail]
-    return name, start, seen_from, seen_to
+    return name, start, end, seen_from, seen_to
 
 
 def _least(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -100,6 +102,11 @@ def _least(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def _order(name: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The least is a window's anchor: a long symbol, for short ones are shared by chance, of least hash."""
+    return (np.uint64(15) - np.minimum(size, 15).astype(np.uint64) // np.uint64(STEP)) << np.uint64(60) | mix(name + np.uint64(7)) >> np.uint64(4)
+
+
 def _windows(words: Words, window: int) -> np.ndarray:
     """Index of the first word of each window."""
     size = np.maximum(np.diff(words.first) - window + 1, 0)
@@ -114,14 +121,14 @@ def _segments(words: Words, window: int) -> dict[str, np.ndarray]:
         return {k: np.zeros(0, np.int64) for k in ("row", "p", "n", "name", "f1", "f2")}
     h1 = words.hashes(1)
     one, two = Spans(h1), Spans(words.hashes(2))
-    name, start, seen_from, seen_to = _recompress(h1, words.first)
+    name, start, end, seen_from, seen_to = _recompress(h1, words.first)
     # lo: first symbol whose range begins in the window; hi: first whose range ends beyond it
     lo = np.searchsorted(seen_from, at)
     hi = np.searchsorted(seen_to, at + window, side="right")
     anchor = np.full(len(at), -1)
     some = np.flatnonzero(hi > lo)
     if len(some):
-        anchor[some] = _least(mix(name + np.uint64(7)), lo[some], hi[some])
+        anchor[some] = _least(_order(name, end - start), lo[some], hi[some])
     row = np.searchsorted(words.first, at, side="right") - 1
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (anchor[1:] < 0) | (row[1:] != row[:-1])
