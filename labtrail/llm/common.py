@@ -32,7 +32,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = where
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` has written, once nothing reads it any more."""
+    df._written.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(df._written, True)
 
 
 def sha256_hex(column: Column) -> Column:

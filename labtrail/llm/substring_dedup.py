@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm.common import materialise, table
+from labtrail.llm.common import discard, materialise, table
 from labtrail.llm.words import Spans, Words, blocks, mix
 
 ROUNDS = 4
@@ -192,11 +192,12 @@ def _windows_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """``doc_id, th, ranges``: windows (first word p, number n) whose words also start in a smaller doc_id."""
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = materialise(segments(keyed, window), "segments")
+    every = materialise(segments(keyed, window), "segments")
 
-    shared = found.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("name")
+    shared = every.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("name")
     shared = materialise(shared, "shared-symbols")
-    found = materialise(found.join(shared, "name", "left_semi"), "shared-segments")
+    found = materialise(every.join(shared, "name", "left_semi"), "shared-segments")
+    discard(every)
 
     segment = ["name", "f1", "f2"]
     variants = materialise(found.groupBy(segment).agg(F.min(F.struct("doc_id", "th", "p", "n")).alias("one")).select(*segment, "one.*"), "variants")
@@ -208,6 +209,7 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     partly = windows.join(earlier, ["w1", "w2"]).where("doc_id > a").groupBy(segment).agg(F.sort_array(F.collect_set("k")).alias("ks"))
 
     first = materialise(variants.join(partly, segment, "left").select(*segment, F.col("doc_id").alias("source"), "ks"), "settled")
+    discard(windows)
     hits = found.join(first, segment).select("doc_id", "th", F.when(F.col("doc_id") > F.col("source"), F.array(F.struct("p", "n"))).otherwise(F.transform("ks", lambda k: F.struct((F.col("p") + k).alias("p"), F.lit(1).alias("n")))).cast(RANGES).alias("r"))
     return hits.where("size(r) > 0").groupBy("doc_id", "th").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
