@@ -1,4 +1,7 @@
 """Queries and their SQL by name."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from labtrail.plans import analytics
+
+PARTS = (analytics,)
+QUERIES: dict = {k: q for p in PARTS for k, q in p.QUERIES.items()}
+SQL: dict[str, str] = {k: q for p in PARTS for k, q in p.SQL.items()}
