@@ -3,7 +3,8 @@
 Each table projects a unit vector to a few groups of eight dimensions and decodes each group to the nearest point of the
 E8 lattice; the points together are the vector's cell. A vector is indexed under its own cell and looks in that and in
 the cells that exchange one group's point for one of the nearest neighbouring lattice points. Pairs that meet in any
-table are verified by their cosine in double precision.
+table, and whose sign sketches are no further apart than those of linked vectors come to be, are verified by their cosine
+in double precision.
 """
 
 from __future__ import annotations
@@ -79,6 +80,22 @@ def cells(x: np.ndarray, tables: int, groups: int, scale: float, probes: int, se
     return np.stack(own, 1).view(np.int64), np.stack(near, 1).view(np.int64)
 
 
+#: Sign bits of random projections that go with each index entry.
+SKETCH = 128
+
+
+def sketch(x: np.ndarray, seed: int) -> np.ndarray:
+    """SKETCH sign bits of each unit vector as longs."""
+    axes = np.random.default_rng([seed, x.shape[1], 1]).normal(size=(x.shape[1], SKETCH))
+    return np.packbits(x @ axes > 0, axis=1).view(np.int64)
+
+
+def sketch_limit(least: float) -> int:
+    """Differing sign bits that two vectors of cosine ``least`` stay within: the mean and five standard deviations."""
+    p = float(np.arccos(min(1.0, least)) / np.pi)
+    return int(np.ceil(SKETCH * p + 5 * np.sqrt(SKETCH * p * (1 - p))))
+
+
 def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3, scale: float = 3.0, probes: int = 2, seed: int = 11) -> DataFrame:
     """``(a, b)`` of distinct vectors ``(rep, vec)`` whose cosine is at least ``least``, as far as the tables find them."""
 
@@ -87,12 +104,14 @@ def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3,
             for rows, x in by_length(list(part["vec"])).values():
                 for i in range(0, len(rows), 2048):
                     mine, near = cells(unit(x[i : i + 2048]), tables, groups, scale, probes, seed)
-                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows[i : i + 2048]], "own": list(mine), "near": list(near)})
-
-    named = materialise(own.select("rep", "vec").mapInPandas(name, "rep long, own array<long>, near array<long>"), "cells")
-    index = named.select(F.col("rep").alias("a"), F.explode("own").alias("cell"))
-    look = named.select(F.col("rep").alias("b"), F.explode(F.concat("own", "near")).alias("cell"))
-    met = index.join(look, "cell").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                    bits = sketch(unit(x[i : i + 2048]), seed)
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows[i : i + 2048]], "s": bits[:, 0], "t": bits[:, 1], "own": list(mine), "near": list(near)})
+
+    named = materialise(own.select("rep", "vec").mapInPandas(name, "rep long, s long, t long, own array<long>, near array<long>"), "cells")
+    index = named.select(F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"), F.explode("own").alias("cell"))
+    look = named.select(F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"), F.explode(F.concat("own", "near")).alias("cell"))
+    differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb")))
+    met = index.join(look, "cell").where("a != b").where(differ <= sketch_limit(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = materialise(met, "met")
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
