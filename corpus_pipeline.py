@@ -32,10 +32,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, a row for each epoch that takes one. Rows without doc_id aren't mixed."""
-    taken = mixing.mix(docs.where("doc_id is not null"))
-    times = materialise(taken.groupBy("doc_id").agg(F.count("*").alias("__times")), "mix-times")
-    again = docs.join(times, "doc_id").withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return again.select(docs.columns)
+    return mixing.take(docs.where("doc_id is not null"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

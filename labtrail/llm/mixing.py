@@ -63,6 +63,15 @@ def budgets(leaves: DataFrame, budget: Column, epochs: int, weights: dict[str, C
     return leaves.join(above, list(LEVELS))
 
 
+def _named(docs: DataFrame, domain: Column | None, tokens: Column | None) -> list[Column]:
+    lang, source = (F.coalesce(docs[c].cast("string"), F.lit("none")).alias(c) for c in ("lang", "source"))
+    return [(default_domain() if domain is None else domain).alias("domain"), lang, source, (n_words(docs["text"]) if tokens is None else tokens).alias("n_tokens")]
+
+
+def _key(seed: int, epoch: Column, doc_id: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
 def mix(docs: DataFrame, share: float = 0.6, epochs: int = 2, seed: int = 17, domain: Column | None = None, weights: dict[str, Column] | None = None, tokens: Column | None = None) -> DataFrame:
     """``doc_id, domain, lang, source, epoch, n_tokens``: a row for each text and epoch that the mix takes.
 
@@ -71,10 +80,33 @@ def mix(docs: DataFrame, share: float = 0.6, epochs: int = 2, seed: int = 17, do
     an epoch is that of ``md5(seed:epoch:doc_id)``, then doc_id, then tokens; rows that are equal in all are interchangeable.
     Further columns are ignored, an empty table gives an empty table.
     """
-    lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in ("lang", "source"))
-    tokens = n_words(F.col("text")) if tokens is None else tokens
-    rows = docs.select("doc_id", (default_domain() if domain is None else domain).alias("domain"), lang, source, tokens.alias("n_tokens"))
-    rows = materialise(rows, "mix-rows")
+    return _mix(docs, share, epochs, seed, domain, weights, tokens)[0]
+
+
+def take(docs: DataFrame, share: float = 0.6, epochs: int = 2, seed: int = 17, domain: Column | None = None, weights: dict[str, Column] | None = None, tokens: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` takes, with all their columns, once for each epoch.
+
+    A prefix ends at one row, so each leaf needs its whole epochs and that row's place in the order: a table of a row for
+    each leaf, and no text is shuffled. Rows that are equal in doc_id and tokens are taken together.
+    """
+    taken, given = _mix(docs, share, epochs, seed, domain, weights, tokens)
+    leaf, place = list(LEVELS), lambda e, i, n: F.struct(_key(seed, e, i).alias("key"), i.alias("doc_id"), n.alias("n"))
+    last = taken.join(given.select(*leaf, "whole"), leaf).where("epoch = whole")
+    cuts = last.groupBy(*leaf).agg(F.max(place(F.col("epoch"), F.col("doc_id"), F.col("n_tokens"))).alias("cut"))
+    cuts = materialise(given.select(*leaf, "whole").join(cuts, leaf, "left"), "mix-cuts")
+    own = F.struct(*_named(docs, domain, tokens)).alias("__own")
+    marked = docs.select("*", own)
+    cuts = cuts.select(F.struct(*leaf).alias("__leaf"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    same = [F.col(f"__own.{k}") == F.col(f"__leaf.{k}") for k in leaf]
+    marked = marked.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, same)
+    inside = place(F.col("__whole"), docs["doc_id"], F.col("__own.n_tokens")) <= F.col("__cut")
+    times = F.col("__whole") + F.coalesce(inside.cast("int"), F.lit(0))
+    marked = marked.withColumn("__times", times).where("__times > 0")
+    return marked.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(docs[c] for c in docs.columns))
+
+
+def _mix(docs: DataFrame, share: float, epochs: int, seed: int, domain: Column | None, weights: dict[str, Column] | None, tokens: Column | None) -> tuple[DataFrame, DataFrame]:
+    rows = materialise(docs.select("doc_id", *_named(docs, domain, tokens)), "mix-rows")
     leaves = materialise(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
     per_mille = round(share * 1000)
     given = budgets(leaves, F.floor(F.sum("tokens") * per_mille / 1000), epochs, weights or default_weights())
@@ -87,8 +119,7 @@ def mix(docs: DataFrame, share: float = 0.6, epochs: int = 2, seed: int = 17, do
     out = ["doc_id", *leaf, "epoch", "n_tokens"]
     full = planned.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(*out)
 
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    last = planned.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)).withColumn("epoch", F.col("whole"))
+    last = planned.withColumn("key", _key(seed, F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)).withColumn("epoch", F.col("whole"))
     sums = last.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("rest_of"))
     upto = F.sum("held").over(W.partitionBy(*leaf).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
     sums = sums.withColumn("upto", upto).where("upto - held <= rest_of").select(*leaf, "bucket", "upto", (F.col("upto") - F.col("held")).alias("passed"))
@@ -96,7 +127,7 @@ def mix(docs: DataFrame, share: float = 0.6, epochs: int = 2, seed: int = 17, do
     inside = last.where("upto <= rest").select(*out)
     run = F.sum("n_tokens").over(W.partitionBy(*leaf, "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
     edge = last.where("upto > rest").withColumn("run", run).where("passed + run <= rest").select(*out)
-    return full.unionByName(inside).unionByName(edge)
+    return full.unionByName(inside).unionByName(edge), given
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
