@@ -20,7 +20,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document, of the smallest doc_id, of each group of near-duplicates. Rows that share that doc_id count as one document; rows without doc_id stay, for they can't be named."""
     found = simhash.near_duplicates(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    # Sorted on both sides at every size: the list of kept ids grows with the documents, and rows that share a doc_id are then already together.
+    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
 
 
