@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Headers that name the time column (fixed values).
-TIME_HEADERS = ("time", "time (h)", "time_h", "time (hours)", "hours", "timestamp", "timestamp_h", "elapsed (h)")
+#: Headers that name the time column, words of headers that name the run column, and phrasings of cause (fixed values).
+TIME_HEADERS = ("time", "time (h)", "time(h)", "time_h", "time [h]", "elapsed_time", "elapsed time", "t")
+RUN_TOKENS = ("batch_ref", "batch", "batch_id", "run", "run_id", "run_ref", "experiment_run", "trial")
+CAUSAL_PHRASES = ("because", "due to", "caused by", "resulted in", "leading to")
+#: File names that hold a run number, in the order of trial (fixed values).
+FILE_RUNS = (r"(?i)(?:^|[^A-Za-z0-9])(?:run|batch|exp|experiment|trial)[-_]?(\d+)(?:$|[^A-Za-z0-9])", r"(?:^|_)R(\d+)(?:$|_|\.)", r"(?:^|_)B(\d+)(?:$|_|\.)")
 NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-CAUSAL = r"(?i)\b(caused by|because of|due to|led to|resulted in)\b"
+CAUSAL = r"(?i)\b(" + "|".join(CAUSAL_PHRASES) + r")\b"
 
 
 def normalize_header(h: Column) -> Column:
@@ -55,16 +59,20 @@ def run_id(s: Column) -> Column:
     return F.when(~empty_cell(s), F.coalesce(whole, F.trim(s)))
 
 
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[^.]*$", "")
+
+
 def run_from_filename(name: Column) -> Column:
-    """The first number that follows run, trial, experiment, batch or R in the file's stem, as a run id."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    found = [F.nullif(F.regexp_extract(stem, p, 1), F.lit("")) for p in (r"(?i)(?:run|trial|batch)[_-]?(\d+)", r"(?i)(?:experiment|exp)[_-]?(\d+)", r"(?:^|[_-])R(\d+)(?:$|[_-])")]
-    return F.format_string("RUN-%04d", F.coalesce(*found).cast("bigint"))
+    """The number of the first pattern that fits the file's stem, as a run id."""
+    found = [F.nullif(F.regexp_extract(_stem(name), p, 1), F.lit("")) for p in FILE_RUNS]
+    number = F.coalesce(*found).try_cast("bigint")
+    return F.when(number.isNotNull(), F.format_string("RUN-%04d", number))
 
 
 def synthetic_run(name: Column) -> Column:
-    stem = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), "[^A-Za-z0-9_-]", "_")
-    return F.coalesce(F.concat(F.lit("RUN-FROM-"), F.substring(stem, 1, 40)), F.lit("RUN-UNKNOWN"))
+    stem = F.substring(F.regexp_replace(_stem(name), "[^A-Za-z0-9_-]", "_"), 1, 40)
+    return F.coalesce(F.concat(F.lit("RUN-FROM-"), F.coalesce(F.nullif(stem, F.lit("")), F.when(name.isNotNull() & (name != ""), "FILE"))), F.lit("RUN-UNKNOWN"))
 
 
 def is_time_header(h: Column) -> Column:
@@ -118,3 +126,36 @@ def severity(rank: Column) -> Column:
 
 def severity_confidence(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, (0.6, 0.85, 0.95, 0.99))), rank + 1)
+
+
+def value_forms(value: Column) -> Column:
+    """Spellings of a number that a quotation of it may use; null for null."""
+    x = numeric(value)
+    whole = F.when(x == F.floor(x), x.cast("bigint").cast("string"))
+    return F.when(value.isNotNull(), F.array_compact(F.array_distinct(F.array(F.trim(value), x.cast("string"), whole, *(F.format_string(f"%.{k}f", x) for k in (1, 2, 3))))))
+
+
+def magnitude(x: Column) -> Column:
+    """Grows by at most 1.0011e-3 between values that match to 1e-3: the value up to 1, its logarithm beyond."""
+    a = F.abs(x)
+    return F.signum(x) * F.when(a <= 1, a).otherwise(1 + F.ln(a))
+
+
+def confidence_basis(basis: Column) -> Column:
+    return F.when(basis.isin("process_priors", "schema_only", "cross_run"), basis).otherwise("schema_only")
+
+
+def fmt_g(x: Column) -> Column:
+    """Six significant digits without zeros at the end, for magnitudes from 1e-4 up to 1e6."""
+    digits = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.abs(x))).cast("int"))
+    text = F.format_string("%.10f", F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
+    return F.when(x == 0, "0").otherwise(F.regexp_replace(text, r"\.?0+$", ""))
+
+
+def finding_text(variable: Column, run: Column, value: Column, sigmas: Column) -> Column:
+    return F.concat(variable, F.lit(" in "), run, F.lit(": "), fmt_g(value), F.lit(", "), fmt_g(F.abs(sigmas)), F.lit(" standard deviations off"))
+
+
+def first_filled(*texts: Column) -> Column:
+    """The first text that isn't blank."""
+    return F.coalesce(*(F.nullif(F.trim(t), F.lit("")) for t in texts))

@@ -1,7 +1,7 @@
 """Queries and their SQL by name."""
 
-from labtrail.plans import analytics
+from labtrail.plans import analytics, ingest, integrity
 
-PARTS = (analytics,)
+PARTS = (analytics, ingest, integrity)
 QUERIES: dict = {k: q for p in PARTS for k, q in p.QUERIES.items()}
 SQL: dict[str, str] = {k: q for p in PARTS for k, q in p.SQL.items()}

@@ -39,3 +39,41 @@ def specs(spark: SparkSession) -> DataFrame:
 
 
 SPECS_SQL = "specs(variable, nominal, std_dev) AS (VALUES " + ", ".join(f"('{v}', CAST({n} AS DOUBLE), CAST({s} AS DOUBLE))" for v, n, s in SPECS) + ")"
+
+#: variable, unit, type, synonyms: ``name`` has no unit and is no observation; the later variable has a shared synonym.
+DICTIONARY = (("size", "cm", "float", ["p size"]), ("list_price", "EUR", "float", ["price", "retail price"]), ("retail_price", "USD", "float", ["retail price"]), ("name", None, "string", ["p name"]))
+
+
+def dictionary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(DICTIONARY)], "ord int, variable string, unit string, data_type string, synonyms array<string>")
+
+
+def wide_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as wide tables of text, one for each type; some sizes are blank or no number."""
+    k = F.col("p_partkey")
+    size = F.when(k % 23 == 0, "nan").when(k % 29 == 0, "").when(k % 31 == 0, "n/a").otherwise(F.col("p_size").cast("string"))
+    return load(spark, sf_dir, "part").select(
+        F.concat(F.lit("part/"), "p_type").alias("table_id"),
+        k.alias("row_idx"),
+        F.expr("p_partkey div 40").cast("string").alias("Batch_ref.1"),
+        (k % 40).cast("string").alias("Time (h)"),
+        F.col("p_name").alias("P Name"),
+        size.alias("P Size [mm]"),
+        F.col("p_retailprice").cast("string").alias("Retail Price (USD):"),
+        F.col("p_brand").alias("Brand"),
+    )
+
+
+CELLS_SQL = """cells AS (SELECT 'part/' || p_type AS table_id, p_partkey AS row_idx, unnest([
+  {'col_idx': 0, 'raw_header': 'Batch_ref.1', 'raw_value': CAST(p_partkey // 40 AS VARCHAR)},
+  {'col_idx': 1, 'raw_header': 'Time (h)', 'raw_value': CAST(p_partkey % 40 AS VARCHAR)},
+  {'col_idx': 2, 'raw_header': 'P Name', 'raw_value': p_name},
+  {'col_idx': 3, 'raw_header': 'P Size [mm]', 'raw_value': CASE WHEN p_partkey % 23 = 0 THEN 'nan' WHEN p_partkey % 29 = 0 THEN '' WHEN p_partkey % 31 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END},
+  {'col_idx': 4, 'raw_header': 'Retail Price (USD):', 'raw_value': CAST(p_retailprice AS VARCHAR)},
+  {'col_idx': 5, 'raw_header': 'Brand', 'raw_value': p_brand}], recursive := true) FROM part)"""
+
+
+def evidence_candidates(blocks: DataFrame) -> DataFrame:
+    """Quotations of 40 characters from each block, reversed for one document in four, with a value for one in three."""
+    quote = F.substring("text", 3, 40)
+    return blocks.select("doc_id", "paragraph_idx", F.when(F.col("doc_id") % 4 == 0, F.reverse(quote)).otherwise(quote).alias("evidence"), F.when(F.col("doc_id") % 3 == 0, "7").alias("value"))
