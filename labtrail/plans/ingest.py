@@ -145,7 +145,7 @@ _PROFILE = r""", v0 AS (SELECT *, CASE WHEN regexp_full_match(raw_value, '\d+')
  scored AS (SELECT *, CASE WHEN n_filled < 4 OR n_distinct < 2 OR n_distinct > 100 OR transitions = 0 OR (NOT hint AND (n_decimal >= greatest(1, n_distinct // 2) OR NOT (all_runs OR (longest <= 20 AND longest - shortest <= 4)) OR ratio > 1.5)) THEN CAST(0 AS DOUBLE) ELSE CAST(CASE WHEN n_distinct <= 50 THEN n_distinct ELSE 0 END AS DOUBLE) + greatest(0, 5 - ratio) + CASE WHEN hint THEN CAST(3 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END AS score FROM hinted),
  picked AS (SELECT table_id, col_idx, score, least(CAST(0.95 AS DOUBLE), CAST(0.5 AS DOUBLE) + score / 10) AS confidence FROM scored WHERE score > 0 AND raw_header <> 'Time (h)' QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY score DESC, col_idx) = 1),
  resolved AS (SELECT table_id, CASE WHEN col_idx IS NOT NULL THEN 'column' WHEN length(table_id) % 2 = 0 THEN 'filename' ELSE 'synthetic' END AS strategy, col_idx, CASE WHEN col_idx IS NULL THEN CASE WHEN length(table_id) % 2 = 0 THEN 'RUN-0007' ELSE 'RUN-FROM-' || regexp_replace(regexp_replace(table_id, '.*/', ''), '[^A-Za-z0-9_-]', '_', 'g') || '_x' END END AS value, CASE WHEN col_idx IS NOT NULL THEN confidence WHEN length(table_id) % 2 = 0 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END AS confidence FROM (SELECT DISTINCT table_id FROM cells) LEFT JOIN picked USING (table_id))"""
-_OBS = _ROUTE + _PROFILE + f""", of_row AS (SELECT row_idx, table_id, max(CASE WHEN raw_header = 'Time (h)' THEN CAST(raw_value AS DOUBLE) END) AS time_h, max(CASE WHEN cells.col_idx = resolved.col_idx THEN printf('RUN-%04d', TRY_CAST(raw_value AS BIGINT)) END) AS cell_run, max(value) AS run_value FROM cells JOIN resolved USING (table_id) GROUP BY ALL),
+_OBS = _ROUTE + _PROFILE + rf""", of_row AS (SELECT row_idx, table_id, max(CASE WHEN raw_header = 'Time (h)' THEN CAST(raw_value AS DOUBLE) END) AS time_h, max(CASE WHEN cells.col_idx = resolved.col_idx AND {_FILLED} THEN CASE WHEN regexp_full_match(raw_value, '\d+(\.0)?') THEN printf('RUN-%04d', CAST(CAST(raw_value AS DOUBLE) AS BIGINT)) ELSE trim(raw_value) END END) AS cell_run, max(value) AS run_value FROM cells JOIN resolved USING (table_id) GROUP BY ALL),
  num AS (SELECT *, {_NUM} AS x FROM cells WHERE {_FILLED}),
  obs AS (SELECT table_id, row_idx, num.col_idx, num.raw_header, variable, raw_value AS value_raw, x AS value, CASE num.col_idx WHEN 3 THEN 'mm' ELSE 'USD' END AS unit_raw, unit_canonical, coalesce(cell_run, run_value) AS run_id, time_h, 'table' AS section, confidence AS mapping_confidence, CASE WHEN x IS NULL THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS extraction_confidence, confidence * CASE WHEN x IS NULL THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS combined_confidence, confidence < 0.85 AS needs_review FROM num JOIN routed USING (table_id, col_idx) JOIN of_row USING (table_id, row_idx) WHERE route = 'mapped')"""
 _BLOCKS = r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS paragraph_idx FROM documents),
