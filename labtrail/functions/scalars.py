@@ -33,6 +33,16 @@ def numeric(s: Column) -> Column:
     return F.when(s.rlike(NUMERIC), F.trim(s).try_cast("double"))
 
 
+def finite(x: Column) -> Column:
+    """The number, null for nan and the infinities."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def hours(s: Column) -> Column:
+    """A time in hours, null if the text is no finite number."""
+    return finite(numeric(s))
+
+
 def empty_cell(s: Column) -> Column:
     return s.isNull() | F.lower(F.trim(s)).isin("", "nan")
 
@@ -109,6 +119,16 @@ def causal_phrases(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CAUSAL), F.lit(1))
 
 
+def id_kind(s: Column) -> Column:
+    """What an id stands for, by its shape; null if it has none of the known ones."""
+    known = ((r"^F-\d{4,}$", "finding"), (r"^N-\d{4,}$", "narrative"), (r"^T-\d{4,}$", "trajectory"), (r"^E-\d{4,}$", "event"), (r"^Q-\d{4,}$", "question"), (r"^D-[FTAQ]-\d{4,}$", "claim"), (r"^D-\d{4,}$", "deviation"))
+    return F.coalesce(*(F.when(s.rlike(shape), name) for shape, name in known))
+
+
+def sampling_hint(variable: Column) -> Column:
+    return F.concat(F.lit("finer_"), variable, F.lit("_sampling"))
+
+
 def organism_matches(query: Column, name: Column) -> Column:
     query, name = F.lower(query), F.lower(name)
     return name.contains(query) | query.contains(name)

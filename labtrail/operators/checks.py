@@ -60,6 +60,16 @@ def check_claims(claims: DataFrame) -> DataFrame:
     return _broken(claims, ["experiment_id", "claim_id"], rules)
 
 
+def check_vocabularies(rows: DataFrame, keys: list[str], closed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows with a value outside its column's closed list; nulls are outside."""
+    return _broken(rows, keys, {f"{c}_known": F.col(c).isin(*names) for c, names in closed.items()})
+
+
+def check_wording(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Summaries that claim a cause: a warning."""
+    return _broken(texts, keys, {"no_cause": F.size(S.causal_phrases(F.coalesce("summary", F.lit("")))) == 0})
+
+
 def check_version(outputs: DataFrame, current: str) -> DataFrame:
     return _broken(outputs, ["output_id"], {"version_current": F.col("version") == current})
 

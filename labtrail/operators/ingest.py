@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
@@ -60,7 +60,7 @@ def table_observations(cells: DataFrame, routed: DataFrame, runs: DataFrame) ->
     ``runs`` is ``runs.resolve_runs``: a table's run is a value for all rows, or the cell of a column of the same row.
     Cells and the row's run and time cells meet by (table, row), so that no table is gathered in one task.
     """
-    time_col = cells.where(S.is_time_header(F.col("raw_header"))).groupBy("table_id").agg(F.min("col_idx").alias("time_col"))
+    time_col = time_columns(cells)
     places = runs.select("table_id", F.col("col_idx").alias("run_col"), F.col("value").alias("run_value")).join(time_col, "table_id", "left")
     mapped = routed.where("route = 'mapped'").drop("raw_header", "route")
     cells = cells.join(small(places), "table_id", "left")
@@ -85,7 +85,7 @@ def table_observations(cells: DataFrame, routed: DataFrame, runs: DataFrame) ->
         F.lit("table").alias("section"),
         F.col("confidence").alias("mapping_confidence"),
         extraction.alias("extraction_confidence"),
-        (F.col("confidence") * extraction).alias("combined_confidence"),
+        combined_confidence(F.col("confidence"), extraction).alias("combined_confidence"),
         (S.confidence_band(F.col("confidence")) == "needs_review").alias("needs_review"),
     )
 
@@ -96,9 +96,39 @@ def narrative_observations(candidates: DataFrame, dictionary: DataFrame) -> Data
     return candidates.join(small(dim), "variable").select("doc_id", "paragraph_idx", "variable", "value", "unit_canonical", F.substring("evidence", 1, 80).alias("raw_header"), F.lit("narrative").alias("section"), F.lit("reported").alias("observation_type"), S.clamp(F.col("confidence").cast("string"), 0.6).alias("confidence"), F.lit(True).alias("needs_review"))
 
 
+def with_canonical_unit(obs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``unit_canonical`` of each row's variable, null for variables that the dictionary lacks."""
+    return obs.join(small(dictionary.select("variable", F.col("unit").alias("unit_canonical"))), "variable", "left")
+
+
+def time_columns(heads: DataFrame) -> DataFrame:
+    """The first time column of each table that has one."""
+    return heads.where(S.is_time_header(F.col("raw_header"))).groupBy("table_id").agg(F.min("col_idx").alias("time_col"))
+
+
+def combined_confidence(mapping: Column, extraction: Column) -> Column:
+    """The product, null if either is."""
+    return mapping * extraction
+
+
 def dossier_projection(obs: DataFrame) -> DataFrame:
-    """Value and unit after conversion, else as written, beside the rest."""
-    return obs.withColumn("value_text", F.coalesce(F.col("value").cast("string"), F.col("value_raw"))).withColumn("unit", F.coalesce("unit_canonical", "unit_raw"))
+    """Observations as dossiers hold them: value and unit after conversion, else as written, and nested confidence and source."""
+    return obs.select(
+        "variable",
+        "run_id",
+        "time_h",
+        F.coalesce(F.col("value").cast("string"), F.col("value_raw")).alias("value"),
+        F.coalesce("unit_canonical", "unit_raw").alias("unit"),
+        F.struct(F.col("mapping_confidence").alias("mapping"), F.col("extraction_confidence").alias("extraction"), F.col("combined_confidence").alias("combined")).alias("confidence"),
+        F.struct("section", "table_id", "row_idx", "col_idx", "raw_header").alias("source"),
+        F.col("section").alias("via"),
+        "needs_review",
+    )
+
+
+def all_observations(tables: DataFrame, narratives: DataFrame) -> DataFrame:
+    """Both kinds together, repeats included; columns that one kind lacks are null there."""
+    return tables.unionByName(narratives, allowMissingColumns=True)
 
 
 def active(obs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,15 +29,19 @@ def profile_columns(cells: DataFrame) -> DataFrame:
     return parts.join(shape, col)
 
 
+def id_shaped() -> Column:
+    """Whether a profiled column's distinct values look like ids: not mostly decimals, and all run ids or all short and of like length."""
+    continuous = F.col("n_decimal") >= F.greatest(F.lit(1), F.floor(F.col("n_distinct") / 2))
+    return ~continuous & (F.col("all_runs") | ((F.col("longest") <= 20) & (F.col("longest") - F.col("shortest") <= 4)))
+
+
 def score_columns(profile: DataFrame) -> DataFrame:
     """``score`` of each profiled column as the run's name, 0 for none, and ``confidence``."""
     header = F.regexp_replace(F.lower(F.trim("raw_header")), r"\.\d+$", "")
     hint = F.exists(F.array(*map(F.lit, S.RUN_TOKENS)), lambda t: header.contains(t))
-    continuous = F.col("n_decimal") >= F.greatest(F.lit(1), F.floor(F.col("n_distinct") / 2))
-    shaped = ~continuous & (F.col("all_runs") | ((F.col("longest") <= 20) & (F.col("longest") - F.col("shortest") <= 4)))
     ratio = F.col("transitions") / F.col("n_distinct")
     score = F.when(F.col("n_distinct") <= 50, F.col("n_distinct")).otherwise(0) + F.greatest(F.lit(0.0), 5 - ratio) + F.when(hint, 3.0).otherwise(0.0)
-    none = (F.col("n_filled") < 4) | (F.col("n_distinct") < 2) | (F.col("n_distinct") > 100) | (F.col("transitions") == 0) | (~hint & (~shaped | (ratio > 1.5)))
+    none = (F.col("n_filled") < 4) | (F.col("n_distinct") < 2) | (F.col("n_distinct") > 100) | (F.col("transitions") == 0) | (~hint & (~id_shaped() | (ratio > 1.5)))
     return profile.withColumn("score", F.when(none, 0.0).otherwise(score.cast("double"))).withColumn("confidence", F.least(F.lit(0.95), 0.5 + F.col("score") / 10))
 
 

@@ -22,16 +22,16 @@ def load_dimension(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(DIMENSIONS[kind]).json(path)
 
 
-def scan_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """``table_id, row_idx, col_idx, raw_header, raw_value`` of every CSV or TSV file (by suffix) that ``path`` names.
+def scan_delimited(spark: SparkSession, path: str, tabbed: bool | None = None) -> DataFrame:
+    """``table_id, row_idx, col_idx, raw_header, raw_value`` of every CSV or TSV file that ``path`` names: by suffix, unless ``tabbed`` says.
 
     Cells stay text, trimmed, null if blank. Lines are read as text, so files of different headers are one scan; rows are
     numbered from 0 by their order in the file. Quoted cells may hold the delimiter, not a line end.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("table_id"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), "value").where("trim(value) <> ''")
-    tabbed = F.lower("table_id").endswith(".tsv")
+    by_tab = F.lower("table_id").endswith(".tsv") if tabbed is None else F.lit(tabbed)
     quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
-    cells = F.when(tabbed, F.split("value", "\t")).otherwise(quoted)
+    cells = F.when(by_tab, F.split("value", "\t")).otherwise(quoted)
     rows = lines.select("table_id", "at", F.transform(cells, lambda c: F.nullif(F.trim(c), F.lit(""))).alias("cells"))
     heads = rows.groupBy("table_id").agg(F.min(F.struct("at", "cells")).alias("h")).select("table_id", F.col("h.at").alias("head_at"), F.col("h.cells").alias("heads"))
     body = rows.join(heads, "table_id").where(F.col("at") > F.col("head_at"))
