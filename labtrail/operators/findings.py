@@ -30,11 +30,11 @@ def deviations(rows: DataFrame) -> DataFrame:
 
 def rollup(found: DataFrame, threshold: int = 100) -> DataFrame:
     """Groups of more than ``threshold`` violations as one candidate each, the others row by row."""
-    n = found.groupBy(*GROUP).agg(F.count("*").alias("n_violations"))
-    found = found.join(n, GROUP)
+    groups = found.groupBy(*GROUP).agg(F.max("severity_rank").alias("severity_rank"), F.min("time_h").alias("t_start"), F.max("time_h").alias("t_end"), F.min("value").alias("observed_min"), F.max("value").alias("observed_max"), F.max(F.abs("sigmas")).alias("max_abs_sigmas"), F.count("*").alias("n_violations"), F.min("observation_id").alias("observation_id"))
+    few = found.join(groups.where(F.col("n_violations") <= threshold), GROUP, "left_semi")
     shared = ["severity_rank", "severity", "confidence", "t_start", "t_end", "observed_min", "observed_max", "max_abs_sigmas", "n_violations", "aggregated", "order_sigmas", "observation_id"]
-    single = found.where(F.col("n_violations") <= threshold).select(*GROUP, "severity_rank", "severity", "confidence", F.col("time_h").alias("t_start"), F.col("time_h").alias("t_end"), F.col("value").alias("observed_min"), F.col("value").alias("observed_max"), F.abs("sigmas").alias("max_abs_sigmas"), F.lit(1).cast("long").alias("n_violations"), F.lit(False).alias("aggregated"), F.abs("sigmas").alias("order_sigmas"), "observation_id")
-    many = found.where(F.col("n_violations") > threshold).groupBy(*GROUP).agg(F.max("severity_rank").alias("severity_rank"), F.min("time_h").alias("t_start"), F.max("time_h").alias("t_end"), F.min("value").alias("observed_min"), F.max("value").alias("observed_max"), F.max(F.abs("sigmas")).alias("max_abs_sigmas"), F.count("*").alias("n_violations"), F.min("observation_id").alias("observation_id"))
+    single = few.select(*GROUP, "severity_rank", "severity", "confidence", F.col("time_h").alias("t_start"), F.col("time_h").alias("t_end"), F.col("value").alias("observed_min"), F.col("value").alias("observed_max"), F.abs("sigmas").alias("max_abs_sigmas"), F.lit(1).cast("long").alias("n_violations"), F.lit(False).alias("aggregated"), F.abs("sigmas").alias("order_sigmas"), "observation_id")
+    many = groups.where(F.col("n_violations") > threshold)
     many = many.withColumn("severity", S.severity(F.col("severity_rank"))).withColumn("confidence", S.severity_confidence(F.col("severity_rank"))).withColumn("aggregated", F.lit(True)).withColumn("order_sigmas", F.lit(0.0))
     return single.unionByName(many.select(*GROUP, *shared))
 

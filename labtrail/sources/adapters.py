@@ -35,7 +35,9 @@ SPECS = (("click", 50.0, 10.0), ("purchase", 35.0, 10.0), ("signup", 50.0, 25.0)
 
 
 def specs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SPECS), "variable string, nominal double, std_dev double")
+    """The specs as a local relation: Spark knows their size, and no Python worker starts for them."""
+    rows = ", ".join(f"('{v}', double({n}), double({s}))" for v, n, s in SPECS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(variable, nominal, std_dev)")
 
 
 SPECS_SQL = "specs(variable, nominal, std_dev) AS (VALUES " + ", ".join(f"('{v}', CAST({n} AS DOUBLE), CAST({s} AS DOUBLE))" for v, n, s in SPECS) + ")"
