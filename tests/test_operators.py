@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
-from labtrail.operators import checks, claims, prose, units
+from labtrail.operators import checks, claims, narratives, prose, units
 from labtrail.sources import files
 from labtrail.streaming import streams
 
@@ -74,3 +74,34 @@ def test_ingest_stream_adds_nothing_twice(spark, tmp_path):
         stream = spark.readStream.schema("experiment_id string, file_id long, content string").parquet(source)
         streams.ingest_stream(stream, target, str(tmp_path / "state")).awaitTermination()
     assert values(spark.read.parquet(target).select("experiment_id", "file_id")) == [("e", 1), ("e", 3), ("f", 5)]
+
+
+def test_narrative_items(spark):
+    items = [
+        (1, 0, '{"tag": " Deviation ", "text": " low ", "run_id": 7, "time_h": "1e999", "confidence": 0.99, "affected_variables": ["pH", " "]}'),
+        (1, 1, '{"tag": "gossip", "text": "x"}'),
+        (1, 2, '{"tag": "observation", "text": " "}'),
+        (1, 3, "no object"),
+        (1, 4, None),
+        (1, 5, '{"tag": "observation", "text": "seen", "time_h": 24, "confidence": "high", "affected_variables": "pH"}'),
+    ]
+    got = narratives.coerce_items(spark.createDataFrame(items, "doc_id long, item_idx int, item string")).orderBy("item_idx").collect()
+    assert [tuple(r)[2:] for r in got] == [("deviation", "low", "RUN-0007", None, 0.85, ["pH"]), ("observation", "seen", None, 24.0, 0.6, ["pH"])]
+
+
+def test_narratives_are_filtered_and_named_anew(spark):
+    rows = [("e", f"N-{k:04d}", "deviation" if k % 2 else "conclusion", "r", ["pH"] if k < 9 else [], k) for k in range(12)] + [("f", None, "observation", "r", [], 3)]
+    own = spark.createDataFrame(rows, "experiment_id string, narrative_id string, tag string, run_id string, affected_variables array<string>, position int")
+    got = narratives.filter_narratives(own, tag="deviation", variable="pH", limit=3)
+    assert values(got.select("experiment_id", "narrative_id", "total", "truncated")) == [("e", "N-0001", 4, True), ("e", "N-0003", 4, True), ("e", "N-0005", 4, True)]
+    assert {tuple(r.tags_present) for r in got.collect()} == {("conclusion", "deviation")}
+    named = {r.narrative_id for r in narratives.rekey(own.where("position = 3")).collect()}
+    assert named == {"e-N-0003", "f-N-0003"}
+
+
+def test_ids_and_vocabularies(spark):
+    ids = ["F-0001", "N-00012", "D-F-0003", "D-0004", "F-1", "x", None]
+    df = spark.createDataFrame([(x,) for x in ids], "id string")
+    assert [r.k for r in df.select(S.id_kind(F.col("id")).alias("k")).collect()] == ["finding", "narrative", "claim", "deviation", None, None, None]
+    rows = spark.createDataFrame([(1, "minor"), (2, "dire"), (3, None)], "id int, severity string")
+    assert values(checks.check_vocabularies(rows, ["id"], {"severity": checks.SEVERITIES})) == [(2, "severity_known"), (3, "severity_known")]
