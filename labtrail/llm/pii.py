@@ -29,8 +29,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9][0-9().\x20/-]{5,28}[0-9](?![0-9A-Za-z])")
 ADDRESS6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]{1,64}){1,6}")
+DATE = re.compile(r"(?:(?:19|20)[0-9]{2}([/.-])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])([/.-])(?:0?[1-9]|[12][0-9]|3[01])\2(?:19|20)[0-9]{2})(?![0-9])")
 SPAN = "struct<kind:int,start:int,end:int>"
-FOUND = "array<struct<kind:int,start:int,end:int,seed:boolean,value:string,patterns:array<string>>>"
+FOUND = "array<struct<kind:int,start:int,end:int,seed:boolean,doubt:boolean,value:string,patterns:array<string>>>"
 
 
 def luhn(digits: str) -> bool:
@@ -109,8 +110,13 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def _doubt(kind: int, value: str) -> bool:
+    """The form speaks against the kind: a card number of a wrong check digit, a phone number that is a date."""
+    return not luhn(re.sub("[^0-9]", "", value)) if kind == 2 else kind == 3 and DATE.match(value) is not None
+
+
 def _instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    out = [{"kind": k, "start": a, "end": b, "seed": True, "value": text[a:b], "patterns": _patterns(text, a, b)} for k, a, b in base]
+    out = [{"kind": k, "start": a, "end": b, "seed": True, "doubt": False, "value": text[a:b], "patterns": _patterns(text, a, b)} for k, a, b in base]
     if "@" in text or re.search("[0-9]|[(\\[](?:at|AT)", text):
         taken = sorted((a, b) for _, a, b in base)
         starts = np.array([a for a, _ in taken])
@@ -118,7 +124,7 @@ def _instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         for k, a, b in _loose(text):
             i = np.searchsorted(starts, b) if taken else 0
             if not i or reach[i - 1] <= a:
-                out.append({"kind": k, "start": a, "end": b, "seed": False, "value": text[a:b], "patterns": _patterns(text, a, b)})
+                out.append({"kind": k, "start": a, "end": b, "seed": False, "doubt": _doubt(k, text[a:b]), "value": text[a:b], "patterns": _patterns(text, a, b)})
     return out
 
 
@@ -137,24 +143,30 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(instances: DataFrame, rounds: int = 3, least_seeds: int = 5, confidence: float = 0.8) -> DataFrame:
-    """``kind, value, score`` of the instances (kind, value, seed, patterns) that trusted patterns discover.
+    """``kind, value, score`` of the instances (kind, value, seed, doubt, patterns) that trusted patterns discover.
 
-    A pattern counts for a kind from ``least_seeds`` distinct seeds on; its score is the sum of its instances' scores over
-    one more than its distinct instances of all kinds.
+    A pattern counts for a kind from ``least_seeds`` distinct seeds on. Its score is the sum of its instances' scores over
+    one more than that sum and the instances against it: seeds of another kind, ones discovered as another kind, and ones
+    whose form speaks against the kind (``doubt``). Unknown instances are neutral.
     """
-    edges = instances.select("kind", "value", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "value", "pattern").agg(F.max("seed").alias("seed"))
+    kinds = range(len(KINDS))
+    edges = instances.select("kind", "value", "seed", "doubt", F.explode("patterns").alias("pattern")).groupBy("kind", "value", "pattern").agg(F.max("seed").alias("seed"), F.max("doubt").alias("doubt"))
     edges = materialise(edges, "pattern-edges")
-    sizes = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
-    usable = edges.groupBy("pattern", "kind").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= least_seeds).join(sizes, "pattern")
-    usable = materialise(usable.select("pattern", "kind", "n"), "patterns")
-    graph = materialise(edges.join(usable, ["pattern", "kind"]), "pattern-graph")
-    known = graph.where("false").select("kind", "value", F.lit(0.0).alias("score"))
+    pairs = edges.groupBy("pattern", "value").agg(*(F.max((F.col("kind") == k) & F.col(x)).alias(f"{x}{k}") for k in kinds for x in ("seed", "doubt")))
+    usable = pairs.groupBy("pattern").agg(*(F.count_if(f"seed{k}").alias(f"seeds{k}") for k in kinds))
+    usable = materialise(usable.where(F.greatest(*(f"seeds{k}" for k in kinds)) >= least_seeds), "patterns")
+    pairs = materialise(pairs.join(usable.select("pattern"), "pattern"), "pattern-graph")
+    unseen = materialise(edges.where("not seed").select("kind", "value", "pattern").join(usable.select("pattern"), "pattern"), "pattern-unseen")
+    known = unseen.where("false").select("kind", "value", F.lit(0.0).alias("score"))
     for _ in range(rounds):
-        scored = graph.join(known, ["kind", "value"], "left")
-        own = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
-        patterns = scored.groupBy("pattern", "kind").agg((F.sum(own) / (F.first("n") + 1)).alias("conf"))
+        scores = known.groupBy("value").agg(*(F.max(F.when(F.col("kind") == k, F.col("score"))).alias(f"score{k}") for k in kinds))
+        own = [F.when(F.col(f"seed{k}"), 1.0).when(F.col(f"doubt{k}"), 0.0).otherwise(F.coalesce(f"score{k}", F.lit(0.0))) for k in kinds]
+        against = [F.greatest((F.col(f"doubt{k}") & ~F.col(f"seed{k}")).cast("double"), *(own[j] for j in kinds if j != k)) for k in kinds]
+        sums = pairs.join(scores, "value", "left").groupBy("pattern").agg(*(F.sum(own[k]).alias(f"for{k}") for k in kinds), *(F.sum(against[k]).alias(f"against{k}") for k in kinds))
+        conf = [F.when(F.col(f"seeds{k}") >= least_seeds, F.col(f"for{k}") / (F.col(f"for{k}") + F.col(f"against{k}") + 1)) for k in kinds]
+        patterns = sums.join(usable, "pattern").select("pattern", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), conf[k].alias("conf")) for k in kinds))))
         patterns = materialise(patterns.where(F.col("conf") >= confidence), "trusted-patterns")
-        known = graph.where("not seed").join(patterns, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
+        known = unseen.join(patterns, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
         known = materialise(known, "known-instances")
     return known.where(F.col("score") >= confidence)
 
@@ -181,7 +193,7 @@ def _listed(spans: str) -> F.Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of personal data replaced by its kind in square brackets; overlapping spans by the first's.
+    """``docs`` with each span of personal data replaced by its kind in square brackets; overlapping spans as one, by the first's.
 
     All columns stay, and so do all rows. Null texts stay null.
     """
@@ -195,7 +207,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 for s in sorted(own, key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= done:
                         parts += [text[done : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                        done = s["end"]
+                    done = max(done, s["end"])
                 text = "".join([*parts, text[done:]])
             out.append(text)
         return pd.Series(out, dtype=object)

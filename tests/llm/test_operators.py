@@ -107,6 +107,31 @@ def test_bootstrap_discovers_unseen_identifiers(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[50] == "please call me on [PHONE] any day"
 
 
+def test_bootstrap_leaves_unknown_values_neutral(spark):
+    rows = [(i, f"her phone: +1 (456) 555-{2000 + i}, ask") for i in range(20)] + [(100 + i, f"her phone: 456-555-{3000 + i}, ask") for i in range(60)]
+    # Contexts that speak against the kind: cards among the phones, dates among the phones, wrong check digits among the cards.
+    rows += [(300 + i, f"we noted +1 (456) 556-{2000 + i} there") for i in range(6)] + [(320 + i, f"we noted {n} there") for i, n in enumerate(["4041894974608795", "4111111111111111", "5500005555555559"])]
+    rows += [(340, "we noted 456-556-7777 there")]
+    rows += [(400 + i, f"seen on +1 (456) 557-{2000 + i} here") for i in range(6)] + [(420 + i, f"seen on 2024-05-{10 + i} here") for i in range(6)]
+    numbers = [str(4041894974600000 + i) for i in range(100)]
+    rows += [(500 + i, f"the order {n} went") for i, n in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(df).collect()}
+    assert all(found[100 + i] == [(3, 11, 23)] for i in range(60))
+    assert found[340] == [] and not any(found[420 + i] for i in range(6))
+    assert all(bool(found[500 + i]) == pii.luhn(n) for i, n in enumerate(numbers))
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert masked[159] == "her phone: [PHONE], ask" and masked[420] == "seen on 2024-05-10 here"
+
+
+def test_overlapping_spans_are_masked_as_one(spark):
+    text = "call +1 456 555 2186@mail.example.org x"
+    spans = [s[1:] for s in pii.base_spans(text)]
+    assert any(a < c < b < d for a, b in spans for c, d in spans)
+    got = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert got == "call [PHONE] x"
+
+
 def test_mix_equals_its_sql(spark, docs, odd, sf_dir):
     assert differences(mixing.mix(docs), connect(sf_dir), mixing.OP7_SQL) == ""
     rows = odd.select("doc_id", F.when(F.length("text") < 1000, F.col("text")).alias("text"), F.concat(F.lit("src"), F.col("doc_id")).alias("source"), F.lit(None).cast("string").alias("lang"))
