@@ -10,28 +10,50 @@ from labtrail.operators.ingest import SMALL, small
 ID = ["experiment_id", "claim_id"]
 
 
-def unknown_citations(claims: DataFrame, findings: DataFrame, series: DataFrame) -> DataFrame:
-    """``experiment_id, claim_id, cited`` of citations that nothing stands behind."""
+def unknown_citations(claims: DataFrame, findings: DataFrame, series: DataFrame, narratives: DataFrame | None = None) -> DataFrame:
+    """``experiment_id, claim_id, cited`` of citations that nothing stands behind; without ``narratives`` no cited narrative is known."""
     f = claims.select(*ID, F.explode("cited_finding_ids").alias("cited")).join(findings.select("experiment_id", F.col("finding_id").alias("cited")), ["experiment_id", "cited"], "left_anti").select(*ID, "cited")
     t = claims.select(*ID, F.explode("cited_trajectories").alias("x")).select(*ID, "x.*").join(series.select("experiment_id", "run_id", "variable").distinct(), ["experiment_id", "run_id", "variable"], "left_anti")
-    return f.unionByName(t.select(*ID, F.concat_ws("/", "run_id", "variable").alias("cited")))
+    out = f.unionByName(t.select(*ID, F.concat_ws("/", "run_id", "variable").alias("cited")))
+    if "cited_narrative_ids" in claims.columns:
+        n = claims.select(*ID, F.explode("cited_narrative_ids").alias("cited"))
+        if narratives is not None:
+            n = n.join(narratives.select("experiment_id", F.col("narrative_id").alias("cited")), ["experiment_id", "cited"], "left_anti").select(*ID, "cited")
+        out = out.unionByName(n)
+    return out
 
 
-def drop_unknown(claims: DataFrame, findings: DataFrame, series: DataFrame, strict: bool = False) -> DataFrame:
+def drop_unknown(claims: DataFrame, findings: DataFrame, series: DataFrame, strict: bool = False, narratives: DataFrame | None = None) -> DataFrame:
     """Claims all of whose citations are known; ``strict`` raises if any is not."""
-    bad = unknown_citations(claims, findings, series)
+    bad = unknown_citations(claims, findings, series, narratives)
     if strict and not bad.isEmpty():
         raise ValueError("claims cite what does not exist")
     return claims.join(bad.select(*ID).distinct(), ID, "left_anti")
 
 
-def backfill(claims: DataFrame, series: DataFrame) -> DataFrame:
-    """Claims that cite nothing get all series of their variables."""
+def backfill(claims: DataFrame, series: DataFrame, narratives: DataFrame | None = None) -> DataFrame:
+    """Claims that cite nothing get all series of their variables; with ``narratives``, those without narratives get some after that."""
     bare = claims.where((F.size("cited_finding_ids") == 0) & (F.size("cited_trajectories") == 0))
     known = series.select("experiment_id", "run_id", "variable").distinct().groupBy("experiment_id", "variable").agg(F.collect_list(F.struct("run_id", "variable")).alias("x"))
     filled = bare.select(*ID, F.explode(F.array_distinct("affected_variables")).alias("variable")).join(known, ["experiment_id", "variable"])
     filled = filled.groupBy(*ID).agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("__filled"))
-    return claims.join(filled, ID, "left").withColumn("cited_trajectories", F.coalesce("__filled", "cited_trajectories")).drop("__filled")
+    out = claims.join(filled, ID, "left").withColumn("cited_trajectories", F.coalesce("__filled", "cited_trajectories")).drop("__filled")
+    return out if narratives is None else _backfill_narratives(out, narratives)
+
+
+def _backfill_narratives(claims: DataFrame, narratives: DataFrame) -> DataFrame:
+    """Beside other citations the narratives of all variables of a claim, else those of its first variable that has some, else all of the experiment."""
+    ids = F.sort_array(F.collect_list("narrative_id")).alias("ids")
+    known = narratives.select("experiment_id", "narrative_id", F.explode(F.array_distinct("affected_variables")).alias("variable")).groupBy("experiment_id", "variable").agg(ids)
+    every = narratives.groupBy("experiment_id").agg(ids).withColumnRenamed("ids", "__every")
+    none = F.array().cast("array<string>")
+    cited = F.coalesce("cited_narrative_ids", none)
+    met = claims.where(F.size(cited) == 0).select(*ID, F.posexplode("affected_variables").alias("at", "variable")).join(known, ["experiment_id", "variable"])
+    own = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])))
+    met = met.groupBy(*ID).agg(own.alias("__own"), F.min_by("ids", "at").alias("__first"))
+    other = (F.coalesce(F.size("cited_finding_ids"), F.lit(0)) > 0) | (F.coalesce(F.size("cited_trajectories"), F.lit(0)) > 0)
+    filled = F.when(F.size(cited) > 0, cited).when(other, F.coalesce("__own", none)).otherwise(F.coalesce("__first", "__every", none))
+    return claims.join(met, ID, "left").join(every, "experiment_id", "left").withColumn("cited_narrative_ids", filled).drop("__own", "__first", "__every")
 
 
 def downgrade(claims: DataFrame, prior_variables: DataFrame, unknown: DataFrame) -> DataFrame:

@@ -73,12 +73,22 @@ def top_findings(found: DataFrame, k: int = 10) -> DataFrame:
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def process_flags(rows: DataFrame, quality: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Sorted flags of each experiment: low quality, sparse data, several runs, missing specs."""
+def process_flags(rows: DataFrame, quality: DataFrame, coverage: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Sorted flags of each experiment: low quality, sparse data, several runs, missing specs.
+
+    ``facts(experiment_id, stale, coverage_pct, provenance, organism)``, a row for each experiment, adds the rules on what
+    the rows don't tell: observations of a stale schema, coverage below 50, unknown process, no organism. An experiment
+    that it lacks has no coverage and no organism.
+    """
     a = rows.groupBy("experiment_id").agg(F.count("*").alias("n"), F.count_distinct("run_id").alias("runs"))
     b = quality.groupBy("experiment_id").agg(F.bool_or(F.col("quality") < 0.8).alias("low"))
     c = coverage.groupBy("experiment_id").agg((F.avg(F.when(F.col("has_spec"), 0.0).otherwise(1.0)) > 0.5).alias("unspecified"))
-    flags = F.array(F.when(F.col("low"), "LOW_QUALITY_TRAJECTORY"), F.when(F.col("n") < 20, "SPARSE_DATA"), F.when(F.col("runs") > 1, "MULTI_RUN"), F.when(F.col("unspecified"), "SPECS_MOSTLY_MISSING"))
+    sparse, told = F.coalesce("n", F.lit(0)) < 20, []
+    if facts is not None:
+        a = a.join(facts.select("experiment_id", "stale", "coverage_pct", "provenance", "organism"), "experiment_id", "full")
+        sparse = sparse | (F.coalesce("coverage_pct", F.lit(0)) < 50)
+        told = [F.when(F.size("stale") > 0, "STALE_SCHEMA_OBSERVATIONS"), F.when(F.col("provenance") == "unknown", "UNKNOWN_PROCESS"), F.when(F.coalesce(F.trim("organism"), F.lit("")) == "", "UNKNOWN_ORGANISM")]
+    flags = F.array(F.when(F.col("low"), "LOW_QUALITY_TRAJECTORY"), F.when(sparse, "SPARSE_DATA"), F.when(F.col("runs") > 1, "MULTI_RUN"), F.when(F.col("unspecified"), "SPECS_MOSTLY_MISSING"), *told)
     return a.join(b, "experiment_id", "left").join(c, "experiment_id", "left").select("experiment_id", F.array_join(F.sort_array(F.array_compact(flags)), ",").alias("flags"))
 
 

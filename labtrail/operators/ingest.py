@@ -167,16 +167,23 @@ def residual_counts(rest: DataFrame) -> DataFrame:
     return rest.groupBy("table_id", "kind", "reason").agg(F.count("*").alias("n"))
 
 
-def ingestion_summary(obs: DataFrame, dictionary_size: int) -> DataFrame:
-    """Counts of observations by confidence and kind; coverage in per cent of the dictionary, halves to even."""
+def ingestion_summary(obs: DataFrame, dictionary_size: int, files: DataFrame | None = None) -> DataFrame:
+    """Counts of observations by confidence and kind; coverage in per cent of the dictionary, halves to even.
+
+    ``files(table_id, status)`` adds ``n_failed``, how many of them failed; tables of files alone are there too.
+    """
     covered = F.count_distinct("variable")
-    return obs.groupBy("table_id").agg(
+    out = obs.groupBy("table_id").agg(
         F.count("*").alias("total"),
         F.count_if(F.col("combined_confidence") >= 0.85).alias("high_confidence"),
         F.count_if("needs_review").alias("n_review"),
         F.count_if(F.col("section") == "narrative").alias("n_narrative"),
         F.bround(covered * 100.0 / dictionary_size).cast("long").alias("coverage_pct"),
     )
+    if files is None:
+        return out
+    failed = files.groupBy("table_id").agg(F.count_if(F.col("status") == "failed").alias("n_failed"))
+    return out.join(failed, "table_id", "full").fillna(0)
 
 
 def grouped(obs: DataFrame) -> DataFrame:

@@ -41,15 +41,30 @@ def gate_evidence(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
     return own.withColumn("verdict", S.evidence_verdict(F.col("evidence"), F.col("source_text"), S.value_forms(F.col("value")))).drop("source_text")
 
 
-def gate_stats(gated: DataFrame) -> DataFrame:
-    return gated.groupBy("doc_id").agg(F.count_if(F.col("verdict") == "ok").alias("kept"), F.count_if(F.col("verdict") != "ok").alias("rejected"))
+def gate_stats(gated: DataFrame, unique: DataFrame | None = None) -> DataFrame:
+    """``kept, rejected`` of each document; with ``unique``, the accepted rows that no table has already, the others are ``deduped``."""
+    out = gated.groupBy("doc_id").agg(F.count_if(F.col("verdict") == "ok").alias("kept"), F.count_if(F.col("verdict") != "ok").alias("rejected"))
+    if unique is None:
+        return out
+    left = unique.groupBy("doc_id").agg(F.count("*").alias("left"))
+    return out.join(left, "doc_id", "left").select("doc_id", F.coalesce("left", F.lit(0)).alias("kept"), "rejected", (F.col("kept") - F.coalesce("left", F.lit(0))).alias("deduped"))
 
 
 def drop_table_duplicates(candidates: DataFrame, obs: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """Candidates whose value no table observation of the same file and variable has, to ``tolerance``.
 
-    An equi-join on bands of the value's magnitude: a match lies in the same band or the next one.
+    An equi-join on bands of the value's magnitude: a match lies in the same band or the next one. Values may be text on
+    both sides; those that are no numbers match if equal, outer blanks and case apart.
     """
+    if dict(candidates.dtypes)["value"] == "string":
+        number, same = S.numeric(F.col("value")), F.lower(F.trim("value"))
+        own = candidates.select("file_id", "variable", "value").distinct().withColumns({"number": number, "same": same})
+        told = obs.select("file_id", "variable", number.alias("number"), same.alias("same"))
+        words = own.where("number is null").join(told.where("number is null").select("file_id", "variable", "same").distinct(), ["file_id", "variable", "same"], "left_semi")
+        new = drop_table_duplicates(own.where("number is not null").select("file_id", "variable", F.col("number").alias("value")).distinct(), told.select("file_id", "variable", F.col("number").alias("value")), tolerance)
+        old = own.where("number is not null").join(new.withColumnRenamed("value", "number"), ["file_id", "variable", "number"], "left_anti")
+        gone = words.select("file_id", "variable", "value").unionByName(old.select("file_id", "variable", "value"))
+        return candidates.join(gone, ["file_id", "variable", "value"], "left_anti")
     width = 1.01 * tolerance / (1 - tolerance)
     band = lambda c: F.floor(S.magnitude(F.col(c)) / width)
     known = obs.where("value is not null").select("file_id", "variable", F.col("value").alias("known"), band("value").alias("band")).distinct()

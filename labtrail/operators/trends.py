@@ -85,12 +85,17 @@ def cross_run_delta(rows: DataFrame) -> DataFrame:
 
 
 def facts_graph(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices ``(kind, id)`` and edges ``(kind, src, dst)``: samples, measurements and the variables they measure."""
+    """Vertices ``(kind, id)`` and edges ``(kind, src, dst)``: samples, measurements and the variables they measure; where ``obs`` has ``file_id``, the samples' source files too."""
     sample, what = F.concat_ws("/", "experiment_id", "run_id"), F.col("variable")
     node = lambda kind, c: obs.select(F.lit(kind).alias("kind"), c.alias("id")).where("id is not null")
     vertices = node("sample", sample).distinct().unionByName(node("condition", what).distinct()).unionByName(node("measurement", F.col("observation_id")))
     edge = lambda kind, a, b: obs.select(F.lit(kind).alias("kind"), a.alias("src"), b.alias("dst")).where("src is not null and dst is not null")
-    return vertices, edge("measured_on", F.col("observation_id"), sample).unionByName(edge("measures", F.col("observation_id"), what))
+    edges = edge("measured_on", F.col("observation_id"), sample).unionByName(edge("measures", F.col("observation_id"), what))
+    if "file_id" in obs.columns:
+        source = F.col("file_id").cast("string")
+        vertices = vertices.unionByName(node("source", source).distinct())
+        edges = edges.unionByName(edge("derived_from", sample, source).distinct())
+    return vertices, edges
 
 
 def latest_ids(links: DataFrame) -> DataFrame:

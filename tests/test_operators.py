@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
-from labtrail.operators import checks, claims, narratives, prose, units
+from labtrail.operators import checks, claims, findings, ingest, narratives, prose, trends, units
 from labtrail.sources import files
 from labtrail.streaming import streams
 
@@ -105,3 +105,46 @@ def test_ids_and_vocabularies(spark):
     assert [r.k for r in df.select(S.id_kind(F.col("id")).alias("k")).collect()] == ["finding", "narrative", "claim", "deviation", None, None, None]
     rows = spark.createDataFrame([(1, "minor"), (2, "dire"), (3, None)], "id int, severity string")
     assert values(checks.check_vocabularies(rows, ["id"], {"severity": checks.SEVERITIES})) == [(2, "severity_known"), (3, "severity_known")]
+
+
+def test_flags_of_facts(spark):
+    rows = spark.createDataFrame([("a", "r")] * 25 + [("b", "r")] * 25, "experiment_id string, run_id string")
+    quality = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "experiment_id string, quality double")
+    coverage = spark.createDataFrame([("a", True), ("b", True)], "experiment_id string, has_spec boolean")
+    facts = spark.createDataFrame([("a", ["1.0"], 80, "unknown", " "), ("b", [], 49, "manifest", "yeast"), ("c", [], 90, None, "yeast")], "experiment_id string, stale array<string>, coverage_pct long, provenance string, organism string")
+    assert values(findings.process_flags(rows, quality, coverage)) == [("a", ""), ("b", "")]
+    assert values(findings.process_flags(rows, quality, coverage, facts)) == [("a", "STALE_SCHEMA_OBSERVATIONS,UNKNOWN_ORGANISM,UNKNOWN_PROCESS"), ("b", "SPARSE_DATA"), ("c", "SPARSE_DATA")]
+
+
+def test_narrative_citations(spark):
+    kind = "experiment_id string, claim_id string, cited_finding_ids array<string>, cited_trajectories array<struct<run_id: string, variable: string>>, cited_narrative_ids array<string>, affected_variables array<string>"
+    c = spark.createDataFrame([("e", "1", ["F-1"], [], ["N-1"], []), ("e", "2", ["F-1"], [], ["N-9"], []), ("e", "3", ["F-1"], [], [], ["y", "x"]), ("e", "4", [], [], [], ["z", "y", "x"]), ("e", "5", [], [], None, ["z"]), ("f", "6", [], [], [], ["x"]), ("e", "7", ["F-1"], [], [], ["z"])], kind)
+    n = spark.createDataFrame([("e", "N-1", ["x"]), ("e", "N-2", ["y", "x"]), ("e", "N-3", [])], "experiment_id string, narrative_id string, affected_variables array<string>")
+    found = spark.createDataFrame([("e", "F-1")], "experiment_id string, finding_id string")
+    none = spark.createDataFrame([], "experiment_id string, run_id string, variable string")
+    assert values(claims.drop_unknown(c, found, none, narratives=n).select("claim_id")) == [(k,) for k in "134567"]
+    assert values(claims.drop_unknown(c, found, none).select("claim_id")) == [(k,) for k in "34567"]
+    got = {r["claim_id"]: r["cited_narrative_ids"] for r in claims.backfill(c, none, n).collect()}
+    assert got == {"1": ["N-1"], "2": ["N-9"], "3": ["N-2", "N-1"], "4": ["N-2"], "5": ["N-1", "N-2", "N-3"], "6": [], "7": []}
+
+
+def test_texts_that_a_table_has(spark):
+    kind = "file_id string, variable string, value string"
+    c = spark.createDataFrame([("f", "x", " Red"), ("f", "x", "5.004"), ("f", "x", "5.2"), ("f", "y", "red"), ("f", "x", "blue"), ("f", "x", None)], kind)
+    o = spark.createDataFrame([("f", "x", "red "), ("f", "x", "5.0"), ("f", "x", None)], kind)
+    assert sorted(prose.drop_table_duplicates(c, o).collect(), key=str) == sorted(c.where("value is null or value in ('5.2', 'blue') or variable = 'y'").select("file_id", "variable", "value").collect(), key=str)
+
+
+def test_counts_of_deduped_and_failed(spark):
+    gated = spark.createDataFrame([(1, "ok"), (1, "ok"), (1, "no"), (2, "ok")], "doc_id long, verdict string")
+    assert values(prose.gate_stats(gated, spark.createDataFrame([(1, "ok")], gated.schema)).select("doc_id", "kept", "rejected", "deduped")) == [(1, 1, 1, 1), (2, 0, 0, 1)]
+    obs = spark.createDataFrame([("t", "x", 0.9, False, "table")], "table_id string, variable string, combined_confidence double, needs_review boolean, section string")
+    files_ = spark.createDataFrame([("t", "ok"), ("t", "failed"), ("u", "failed")], "table_id string, status string")
+    assert values(ingest.ingestion_summary(obs, 2, files_).select("table_id", "total", "n_failed")) == [("t", 1, 1), ("u", 0, 1)]
+
+
+def test_sources_in_the_facts_graph(spark):
+    obs = spark.createDataFrame([("e", "r", "x", "o1", "f"), ("e", "r", "x", "o2", "f")], "experiment_id string, run_id string, variable string, observation_id string, file_id string")
+    vertices, edges = trends.facts_graph(obs)
+    assert values(vertices.where("kind = 'source'")) == [("source", "f")]
+    assert values(edges.where("kind = 'derived_from'")) == [("derived_from", "e/r", "f")]
