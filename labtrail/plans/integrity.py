@@ -61,11 +61,15 @@ def c18_downgrade(spark, d):
 
 
 def c20_supported_facts(spark, d):
-    """The third word of a document, held against the benchmark's and its own short lines' spans."""
+    """The third word of a document, held against its own lines of at most 200 characters, as its SQL asks."""
+    facts, spans = _facts(spark, d)
+    return prose.supported_facts(facts, spans.where("length(span) <= 200"))
+
+
+def _facts(spark, d):
     docs = a.load(spark, d, "documents")
     facts = docs.select("doc_id", F.get(F.split("text", " "), 2).alias("value")).where("length(value) > 0")
-    spans = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("span")).where("length(span) <= 200")
-    return prose.supported_facts(facts, spans)
+    return facts, docs.select("doc_id", F.explode(F.split("text", "\n")).alias("span"))
 
 
 def d18_duplicate_ids(spark, d):
@@ -118,6 +122,7 @@ QUERIES = {
     "c17_backfill": lambda s, d: claims.backfill(_claims(s, d), p._rows(s, d)).select("experiment_id", "claim_id", F.array_join(F.transform("cited_trajectories", lambda x: F.concat_ws("/", x["run_id"], x["variable"])), "|").alias("cited")),
     "c18_downgrade": c18_downgrade,
     "c20_supported_facts": c20_supported_facts,
+    "c20_all_lines": lambda s, d: prose.supported_facts(*_facts(s, d)),
     "d18_duplicate_ids": d18_duplicate_ids,
     "v4_trajectories": v4_trajectories,
     "v5_findings": lambda s, d: checks.check_findings(p._findings(s, d)),
@@ -150,6 +155,7 @@ SQL = {
     "c17_backfill": _CLAIMS + ", t AS (SELECT experiment_id, variable, string_agg(DISTINCT run_id || '/' || variable, '|' ORDER BY run_id || '/' || variable) AS every FROM kept GROUP BY ALL) SELECT experiment_id, claim_id, CASE WHEN by_series THEN run_id || '/' || variable WHEN cited IS NULL THEN every ELSE '' END AS cited FROM claims LEFT JOIN t USING (experiment_id, variable)",
     "c18_downgrade": _CLAIMS + ", g AS (SELECT *, basis = 'process_priors' AND NOT (variable IN ('click', 'view') AND experiment_id <> 'EXP-1') AS down FROM claims) SELECT experiment_id, claim_id, CASE WHEN down THEN 'schema_only' ELSE basis END AS confidence_basis, down AS provenance_downgraded FROM g",
     "c20_supported_facts": "WITH f AS (SELECT doc_id, string_split(text, ' ')[3] AS value FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS span FROM documents) SELECT * FROM f WHERE length(value) > 0 AND EXISTS (FROM s WHERE s.doc_id = f.doc_id AND length(span) <= 200 AND contains(lower(span), lower(value)))",
+    "c20_all_lines": "WITH f AS (SELECT doc_id, string_split(text, ' ')[3] AS value FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS span FROM documents) SELECT * FROM f WHERE length(value) > 0 AND EXISTS (FROM s WHERE s.doc_id = f.doc_id AND contains(lower(span), lower(value)))",
     "d18_duplicate_ids": "SELECT 'lineitem' AS collection, l_orderkey || '-' || l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'texts', sha256(text), count(*) FROM documents GROUP BY ALL HAVING count(*) > 1",
     "v4_trajectories": p._PTS + " SELECT experiment_id, run_id, variable, 'shares_add_up' AS rule FROM quality WHERE abs(quality + pct_imputed + pct_missing - 1) > 0.001",
     "v5_findings": p._FIND + " SELECT experiment_id, finding_id, 'confidence' AS rule FROM found WHERE confidence NOT BETWEEN 0 AND 1 UNION ALL SELECT experiment_id, finding_id, 'evidence' FROM found WHERE observation_id IS NULL",
