@@ -47,6 +47,13 @@ def findings(candidates: DataFrame) -> DataFrame:
     return out.withColumn("finding_id", F.format_string("F-%04d", "seq")).drop("order_sigmas")
 
 
+def evidence(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """``experiment_id, finding_id, observation_id``: all evidence of each finding, of rolled-up ones every violation of ``rows`` in their group."""
+    single = found.where("not aggregated").select("experiment_id", "finding_id", "observation_id")
+    many = rows.select(*GROUP, "observation_id").join(found.where("aggregated").select(*GROUP, "finding_id"), GROUP)
+    return single.unionByName(many.select("experiment_id", "finding_id", "observation_id"))
+
+
 def timeline(found: DataFrame) -> DataFrame:
     """Findings in time order; lag to the run's next event in seconds, null where it isn't positive."""
     own = number(found.where("t_start is not null").drop("seq"), [F.col("t_start"), F.desc("severity_rank"), F.col("run_id"), F.col("variable"), F.col("finding_id")], ["experiment_id"], F.floor("t_start"))

@@ -27,6 +27,10 @@ def _findings(spark, d):
     return f.findings(f.rollup(_violations(spark, d)))
 
 
+def _evidence(spark, d):
+    return f.evidence(_findings(spark, d), _violations(spark, d))
+
+
 def _points(spark, d):
     return series.grid_points(_rows(spark, d, RUNS), 12.0, 720.0)
 
@@ -62,6 +66,7 @@ QUERIES = {
     "b13_violations": lambda s, d: _violations(s, d).select("experiment_id", "observation_id", "run_id", "variable", "time_h", "value", "sigmas", "severity", "confidence"),
     "b15_deviations": lambda s, d: f.deviations(_spec_rows(s, d)),
     "d9_rollup": lambda s, d: f.rollup(_violations(s, d)).drop("order_sigmas"),
+    "d9_evidence": _evidence,
     "f2_findings": _findings,
     "f3_timeline": lambda s, d: f.timeline(_findings(s, d)),
     "c6_caveats": lambda s, d: f.with_caveat(_violations(s, d), _quality10(s, d)).select("experiment_id", "observation_id", "quality", "caveat"),
@@ -89,6 +94,9 @@ _ROLL = _VIOL + """, counted AS (SELECT *, count(*) OVER (PARTITION BY experimen
 _FIND = _ROLL + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY severity_rank DESC, order_sigmas DESC, run_id, t_start, variable, observation_id) AS seq FROM cand),
  found AS (SELECT * EXCLUDE (order_sigmas), printf('F-%04d', seq) AS finding_id FROM numbered)"""
 
+_EVID = _FIND + """, evid AS (SELECT experiment_id, finding_id, observation_id FROM found WHERE NOT aggregated
+ UNION ALL SELECT experiment_id, finding_id, viol.observation_id FROM found JOIN viol USING (experiment_id, run_id, variable) WHERE aggregated)"""
+
 
 def _grid(base: str, run: str) -> str:
     return base + f""", o2 AS (SELECT experiment_id, observation_id, CASE WHEN CAST(substr(observation_id, 3) AS BIGINT) % 89 <> 0 THEN run2 END AS run_id, time_h, variable, value, unit FROM (SELECT obs.*, printf('RUN-%04d', {run}) AS run2 FROM obs JOIN events ON event_id = CAST(substr(observation_id, 3) AS BIGINT))),
@@ -113,6 +121,7 @@ SQL = {
     "b13_violations": _VIOL + " SELECT experiment_id, observation_id, run_id, variable, time_h, value, sigmas, severity, confidence FROM viol",
     "b15_deviations": _SPEC + " SELECT experiment_id, run_id, variable, observation_id, time_h, value, round(value - expected, 6) AS residual, round((value - expected) / expected_std_dev, 6) AS sigmas FROM s WHERE expected IS NOT NULL",
     "d9_rollup": _ROLL + " SELECT * EXCLUDE (order_sigmas) FROM cand",
+    "d9_evidence": _EVID + " SELECT * FROM evid",
     "f2_findings": _FIND + " SELECT * FROM found",
     "f3_timeline": _FIND + """, t AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY t_start, severity_rank DESC, run_id, variable, finding_id) AS place FROM found),
  g AS (SELECT *, round((lead(t_start) OVER (PARTITION BY experiment_id, run_id ORDER BY place) - t_start) * 3600, 6) AS gap FROM t) SELECT experiment_id, place AS seq, finding_id, run_id, variable, t_start, severity, CASE WHEN gap > 0 THEN gap END AS lag_s FROM g""",

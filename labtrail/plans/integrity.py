@@ -55,6 +55,11 @@ def c16_missing_evidence(spark, d):
     return checks.missing_references(used, p._rows(spark, d).where("value < 200"), "observation_id")
 
 
+def c16_all_evidence(spark, d):
+    used = p._evidence(spark, d).withColumnRenamed("finding_id", "label")
+    return checks.missing_references(used, p._rows(spark, d).where("value < 200"), "observation_id")
+
+
 def c18_downgrade(spark, d):
     unknown = p._rows(spark, d).where("experiment_id = 'EXP-1'").select("experiment_id").distinct()
     return claims.downgrade(_claims(spark, d), _priors(spark), unknown).select("experiment_id", "claim_id", "confidence_basis", "provenance_downgraded")
@@ -119,6 +124,7 @@ QUERIES = {
     "c13_fingerprint": c13_fingerprint,
     "c15_missing_findings": lambda s, d: checks.missing_references(_claims(s, d).select("experiment_id", F.col("claim_id").alias("label"), F.explode("cited_finding_ids").alias("finding_id")), p._findings(s, d), "finding_id"),
     "c16_missing_evidence": c16_missing_evidence,
+    "c16_all_evidence": c16_all_evidence,
     "c17_backfill": lambda s, d: claims.backfill(_claims(s, d), p._rows(s, d)).select("experiment_id", "claim_id", F.array_join(F.transform("cited_trajectories", lambda x: F.concat_ws("/", x["run_id"], x["variable"])), "|").alias("cited")),
     "c18_downgrade": c18_downgrade,
     "c20_supported_facts": c20_supported_facts,
@@ -152,6 +158,7 @@ SQL = {
     "s2_range_windows": "WITH " + a.SPECS_SQL + ", v AS (SELECT 'EXP-' || (user_id % 2) AS experiment_id, printf('RUN-%04d', user_id % 10) AS run_id, event_type AS variable, date_trunc('day', ts) AS day FROM events JOIN specs ON variable = event_type WHERE abs(round((value - nominal) / std_dev, 6)) >= 2) SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS window_start, experiment_id, run_id, variable, count(*) AS n_violations FROM v WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",
     "c15_missing_findings": _CLAIMS + " SELECT experiment_id, claim_id AS label, cited AS finding_id FROM claims WHERE cited = 'F-999999'",
     "c16_missing_evidence": p._FIND + " SELECT experiment_id, finding_id AS label, observation_id FROM found WHERE observation_id NOT IN (SELECT observation_id FROM kept WHERE value < 200)",
+    "c16_all_evidence": p._EVID + " SELECT experiment_id, finding_id AS label, observation_id FROM evid WHERE observation_id NOT IN (SELECT observation_id FROM kept WHERE value < 200)",
     "c17_backfill": _CLAIMS + ", t AS (SELECT experiment_id, variable, string_agg(DISTINCT run_id || '/' || variable, '|' ORDER BY run_id || '/' || variable) AS every FROM kept GROUP BY ALL) SELECT experiment_id, claim_id, CASE WHEN by_series THEN run_id || '/' || variable WHEN cited IS NULL THEN every ELSE '' END AS cited FROM claims LEFT JOIN t USING (experiment_id, variable)",
     "c18_downgrade": _CLAIMS + ", g AS (SELECT *, basis = 'process_priors' AND NOT (variable IN ('click', 'view') AND experiment_id <> 'EXP-1') AS down FROM claims) SELECT experiment_id, claim_id, CASE WHEN down THEN 'schema_only' ELSE basis END AS confidence_basis, down AS provenance_downgraded FROM g",
     "c20_supported_facts": "WITH f AS (SELECT doc_id, string_split(text, ' ')[3] AS value FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS span FROM documents) SELECT * FROM f WHERE length(value) > 0 AND EXISTS (FROM s WHERE s.doc_id = f.doc_id AND length(span) <= 200 AND contains(lower(span), lower(value)))",

@@ -148,3 +148,14 @@ def test_sources_in_the_facts_graph(spark):
     vertices, edges = trends.facts_graph(obs)
     assert values(vertices.where("kind = 'source'")) == [("source", "f")]
     assert values(edges.where("kind = 'derived_from'")) == [("derived_from", "e/r", "f")]
+
+
+def test_rollups_keep_all_evidence(spark):
+    rows = [("e", "r", v, f"o{v}{i:03d}", float(i), 10.0, 0.0, 1.0) for v, n in (("x", 150), ("y", 3)) for i in range(n)]
+    own = findings.violations(spark.createDataFrame(rows, "experiment_id string, run_id string, variable string, observation_id string, time_h double, value double, expected double, expected_std_dev double"))
+    found = findings.findings(findings.rollup(own))
+    got = findings.evidence(found, own)
+    assert found.count() == 4 and sorted(r["observation_id"] for r in got.collect()) == sorted(r[3] for r in rows)
+    assert sorted(r["count"] for r in got.groupBy("finding_id").count().collect()) == [1, 1, 1, 150]
+    missing = checks.missing_references(got.withColumnRenamed("finding_id", "label"), own.where("observation_id <> 'ox149'"), "observation_id")
+    assert [r["observation_id"] for r in missing.collect()] == ["ox149"]
