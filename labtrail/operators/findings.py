@@ -100,9 +100,13 @@ def process_flags(rows: DataFrame, quality: DataFrame, coverage: DataFrame, fact
 
 
 def filter_findings(found: DataFrame, run: str | None = None, variable: str | None = None, severity: str | None = None, limit: int = 100) -> DataFrame:
-    """The first ``limit`` findings of each experiment that fit, with their total."""
+    """The first ``limit`` findings of each experiment that fit, with their total.
+
+    Totals are counted apart and joined, so that no experiment is gathered in one task for them.
+    """
     for name, value in (("run_id", run), ("variable", variable), ("severity", severity)):
         if value is not None:
             found = found.where(F.col(name) == value)
-    w = W.partitionBy("experiment_id")
-    return found.withColumn("total", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("seq"))).where(F.col("place") <= limit).withColumn("truncated", F.col("total") > limit)
+    totals = found.groupBy("experiment_id").agg(F.count("*").alias("total"))
+    first = found.withColumn("place", F.row_number().over(W.partitionBy("experiment_id").orderBy("seq"))).where(F.col("place") <= limit)
+    return first.join(totals, "experiment_id").withColumn("truncated", F.col("total") > limit)

@@ -42,17 +42,20 @@ def scan_delimited(spark: SparkSession, path: str, tabbed: bool | None = None) -
 
 
 def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
-    """Observations of nested dossiers; columns that hold no object are passed over."""
+    """Observations of nested dossiers, in one object for each experiment or in parts; columns that hold no object are passed over."""
     d = spark.read.schema(DOSSIER).json(path)
     per = d.select("experiment_id", F.explode("golden_columns").alias("variable", "c")).where("c is not null")
     return per.select("experiment_id", "variable", F.explode("c.observations").alias("o")).select("experiment_id", "variable", "o.*")
 
 
-def write_dossiers(obs: DataFrame, path: str) -> None:
-    """One JSON object for each experiment: observations in time order, by variable."""
-    o = F.sort_array(F.collect_list(F.struct("time_h", "observation_id", "run_id", "value", "unit")))
-    per = obs.groupBy("experiment_id", "variable").agg(o.alias("observations"))
-    per.groupBy("experiment_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("variable", F.struct("observations"))))).alias("golden_columns")).write.json(path)
+def write_dossiers(obs: DataFrame, path: str, part_rows: int = 10_000) -> None:
+    """JSON objects of an experiment, a variable and at most ``part_rows`` of its observations in time order; a dossier is all objects of its experiment."""
+    order = [F.col(c) for c in ("time_h", "observation_id", "run_id", "value", "unit")]
+    # Structs, for nulls are equal in them.
+    own = number(obs.withColumn("__per", F.struct("experiment_id", "variable")), order, ["__per"], F.struct(F.floor("time_h")), "__seq")
+    o = F.sort_array(F.collect_list(F.struct(*order)))
+    per = own.groupBy("experiment_id", "variable", F.floor((F.col("__seq") - 1) / part_rows).alias("__part")).agg(o.alias("observations"))
+    per.select("experiment_id", F.create_map("variable", F.struct("observations")).alias("golden_columns")).write.json(path)
 
 
 def write_points(points: DataFrame, path: str) -> None:

@@ -159,3 +159,19 @@ def test_rollups_keep_all_evidence(spark):
     assert sorted(r["count"] for r in got.groupBy("finding_id").count().collect()) == [1, 1, 1, 150]
     missing = checks.missing_references(got.withColumnRenamed("finding_id", "label"), own.where("observation_id <> 'ox149'"), "observation_id")
     assert [r["observation_id"] for r in missing.collect()] == ["ox149"]
+
+
+def test_dossiers_are_written_in_bounded_parts(spark, tmp_path):
+    rows = [("E", v, f"o{v}{i:02d}", "r", None if i == 3 else i % 7 / 2, None if i == 4 else float(i), "g") for v in "xy" for i in range(25)] + [(None, "z", "oz", "r", 1.0, 2.0, "g")]
+    obs = spark.createDataFrame(rows, "experiment_id string, variable string, observation_id string, run_id string, time_h double, value double, unit string")
+    files.write_dossiers(obs, str(tmp_path / "d"), part_rows=10)
+    parts = spark.read.schema(files.DOSSIER).json(str(tmp_path / "d")).select(F.explode("golden_columns").alias("variable", "c")).select(F.size("c.observations"))
+    assert sorted(r[0] for r in parts.collect()) == [1, 5, 5, 10, 10, 10, 10]
+    assert sorted(files.read_dossiers(spark, str(tmp_path / "d")).select(obs.columns).collect(), key=str) == sorted(obs.collect(), key=str)
+
+
+def test_totals_of_findings_need_no_window(spark):
+    found = spark.createDataFrame([("e", k, "r") for k in range(1, 8)], "experiment_id string, seq int, run_id string")
+    got = findings.filter_findings(found, limit=3)
+    assert values(got.select("seq", "total", "place", "truncated")) == [(k, 7, k, True) for k in (1, 2, 3)]
+    assert "count(1) windowspec" not in got._jdf.queryExecution().optimizedPlan().toString()
