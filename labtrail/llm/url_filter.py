@@ -1,7 +1,7 @@
 """URL filters: fixed host and path rules first, association rules for what these leave open.
 
 Labelled pages are item sets: tokens of their urls, and whether the label calls them bad. FP-growth mines token combinations
-that imply a bad page; rules below the confidence, or with fewer pages than the least support, are pruned, and so are rules
+that imply a bad page; rules below the confidence, or with fewer bad pages than the least support, are pruned, and so are rules
 that hold a shorter one. The rules that stay are matched by an inverted index under their rarest token.
 """
 
@@ -46,19 +46,28 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(F.array(scheme), labels, parts, keys))
 
 
-def mine(pages: DataFrame, labels: DataFrame, confidence: float = 0.8, least_share: float = 0.002, least_pages: int = 20) -> DataFrame:
-    """``items, confidence, support``: token combinations that imply a bad page (toxic, or of quality 0)."""
+def mine(pages: DataFrame, labels: DataFrame, confidence: float = 0.8, least_pages: int = 20) -> DataFrame:
+    """``items, confidence, support``: token combinations that imply a bad page (toxic, or of quality 0).
+
+    The least support is ``least_pages`` bad pages at every size. Items of fewer bad pages are in no such combination and
+    are dropped first, so that the search grows with what bad pages share.
+    """
     bad = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
     bad = bad.agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad"))
     known = pages.select("page_id", "url").where("url is not null").join(bad, pages["page_id"] == bad["doc_id"])
     items = F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    baskets = materialise(known.select(items.alias("items")), "baskets")
+    every = materialise(known.select(F.monotonically_increasing_id().alias("id"), items.alias("items")), "baskets")
+    often = every.where(F.array_contains("items", BAD)).select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    long = every.select("id", F.explode("items").alias("item")).join(often.select("item"), "item", "left_semi")
+    baskets = materialise(long.groupBy("id").agg(F.collect_list("item").alias("items")).select("items"), "frequent-baskets")
     n = baskets.count()
     if not n:
         return baskets.select("items", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least_share, least_pages / n)), minConfidence=confidence).fit(baskets)
+    # Half a page less, for the share times n is rounded up.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least_pages - 0.5, 0.5) / n), minConfidence=confidence).fit(baskets)
+    share = n / every.count()
     found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("consequent") == 1))
-    return materialise(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-rules")
+    return materialise(found.select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * share).alias("support")), "url-rules")
 
 
 def bad_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -167,6 +167,16 @@ def test_mined_url_rules_block_what_they_imply(spark):
     assert got[900] == "block" and got[901] == "allow"
 
 
+def test_least_support_of_url_rules_is_absolute(spark):
+    own = F.when(F.col("id") < 20, "http://evil.org/a").when(F.col("id") < 39, "http://rare.org/a").otherwise(F.concat(F.lit("http://h"), F.col("id") % 997, F.lit(".org/a")))
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), own.alias("url"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") < 39).cast("int").alias("toxic"))
+    rules = url_filter.mine(pages, labels).collect()
+    assert all("h1:evil" in r["items"] and r["confidence"] == 1.0 and round(r["support"], 9) == 0.001 for r in rules) and rules
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, labels).where("page_id < 60").collect()}
+    assert got == {i: "block" if i < 20 else "allow" for i in range(60)}
+
+
 def test_quality_on_the_held_out_fold(spark, docs, sf_dir):
     labels = table(spark, sf_dir.replace("0.001", "0.01"), "labels")
     docs = table(spark, sf_dir.replace("0.001", "0.01"), "documents")
