@@ -17,11 +17,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of near-duplicates. Rows that share that doc_id count as one document; rows without doc_id stay, for they can't be named."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    """One document, of the smallest doc_id, of each group of near-duplicates. Rows of equal doc_id and text count as one document; rows without doc_id stay, for they can't be named."""
+    kept = simhash.representatives(docs).withColumnRenamed("th", "__th")
     # Sorted on both sides at every size: the list of kept ids grows with the documents, and rows that share a doc_id are then already together.
-    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").withColumn("__th", F.xxhash64("text"))
+    one = named.join(kept.hint("merge"), ["doc_id", "__th"], "left_semi").dropDuplicates(["doc_id", "__th"]).select(docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
 
 
@@ -32,8 +32,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, a row for each epoch that takes one. Rows without doc_id aren't mixed."""
-    return mixing.take(docs.where("doc_id is not null"))
+    """The documents of the mix, a row for each epoch that takes one, those without doc_id too."""
+    return mixing.take(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

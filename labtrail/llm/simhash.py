@@ -143,15 +143,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataF
     A row without doc_id gets the component of its fingerprint, null if no row there has one. An empty table gives an
     empty table.
     """
-    prints = materialise(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")), "fingerprints")
+    return _grouped(docs.select("doc_id", "text"), width, max_bits).select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
+    """``doc_id, th``, one of each group of near-duplicates with a doc_id: the smallest, of its texts the one of the smallest fingerprint; th is a hash of the text."""
+    found = _grouped(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), width, max_bits)
+    first = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "th")).alias("x"))
+    return first.select("x.doc_id", "x.th").distinct()
+
+
+def _grouped(docs: DataFrame, width: int, max_bits: int) -> DataFrame:
+    prints = materialise(docs.select(*(c for c in docs.columns if c != "text"), fingerprint(F.col("text"), width).alias("fp")), "fingerprints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     found = components(links(classes, max_bits), "x", "y")
     # by fingerprint; then the smallest doc_id of each component
     members = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     members = materialise(members, "members")
     smallest = members.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_print = materialise(members.join(smallest, "root").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = materialise(members.join(smallest, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(by_print, "fp")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

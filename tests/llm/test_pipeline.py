@@ -47,3 +47,13 @@ def test_odd_rows_pass(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         empty = materialise(stage(spark, empty, sf_dir), "empty-stage")
     assert empty.count() == 0
+
+
+def test_texts_of_one_id_and_rows_without_id_stay(spark, sf_dir):
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in ("ab", "cd", "ef")]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (6, texts[0]), (7, texts[1]), (None, texts[2])]
+    docs = spark.createDataFrame([(*r, "en", "src1", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_distinct(spark, docs, sf_dir)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, texts[0]), (5, texts[1]), (None, texts[2])], key=str)
+    only = docs.where("doc_id is null").unionByName(docs.where("doc_id is null").withColumn("text", F.lit(texts[1])))
+    assert corpus_pipeline.mix_sources(spark, only, sf_dir).count() > 0
