@@ -26,6 +26,8 @@ from labtrail.llm.common import materialise, table
 LIMIT = 1024
 #: The byte-level pre-tokeniser's pattern, a fixed value of this vocabulary type.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern above knows it, in runs too long for its engine, which keeps a state for each character.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 STABLE = re.compile(r"(?<=[^\s]) (?=[^\s])")
 #: Characters at a chunk's cut ends that are never trusted.
 MARGIN = 64
@@ -56,6 +58,23 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _ENCODERS[path]
 
 
+def ids_of(own: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text. A long run of white space is cut out: the pattern takes it whole at the end of a text or before a special token, else up to its last character."""
+    if not LONG_RUN.search(text):
+        return own.encode(text, allowed_special="all")
+    out: list[int] = []
+    special = "|".join(map(re.escape, sorted(own.special_tokens_set, key=len, reverse=True)))
+    for part in re.split(f"({special})", text) if special else [text]:
+        done = 0
+        for m in LONG_RUN.finditer(part):
+            end = m.end() if m.end() == len(part) else m.end() - 1
+            out += own.encode(part[done : m.start()], allowed_special="all")
+            out += own._encode_single_piece(part[m.start() : end])
+            done = end
+        out += own.encode(part[done:], allowed_special="all")
+    return out
+
+
 def _count_whole(texts: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -63,7 +82,7 @@ def _count_whole(texts: DataFrame, path: str) -> DataFrame:
         own = encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            tokens = [len(own.encode(t, allowed_special="all")) for t in texts]
+            tokens = [len(ids_of(own, t)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64())], schema=schema)
 
     return texts.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
@@ -95,7 +114,7 @@ def _splice(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         for part in parts:
             out = []
             for r in part.itertuples():
-                tokens = own.encode(r.text, allowed_special="all")
+                tokens = ids_of(own, r.text)
                 ends = np.cumsum([len(own.decode_single_token_bytes(t)) for t in tokens])
                 head = _stable(r.text, MARGIN, min(overlap, len(r.text)) - MARGIN, ends) if r.k else ([], [])
                 tail = _stable(r.text, chunk + MARGIN, chunk + overlap - MARGIN, ends) if r.k < r.pieces - 1 else ([], [])
@@ -119,7 +138,8 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = 1 << 16, overlap: int
     """``doc_id, n_bytes, n_tokens`` for each row of ``docs(doc_id, text)``.
 
     Counts are those of the tokenizers library for the vocabulary file ``path``, without begin, end or added special
-    tokens. Null texts are empty and have no tokens; repeated rows and null doc_ids stay; further columns are ignored; an
+    tokens. Null texts are empty and have no tokens; very long texts are cut in chunks, except that one without a stable
+    boundary, such as a single word or run of white space, is at last one chunk of one task; repeated rows and null doc_ids stay; further columns are ignored; an
     empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text", F.length("text").alias("chars"))
