@@ -3,8 +3,8 @@
 A text's characters are its first symbols; an agenda of adjacent pairs that make a piece is worked off in the order of
 scores (then from the left), each merge putting the pairs that it makes on the agenda. Where no piece holds a blank after
 another character, merges never pass the start of a word, so the text is cut there and each task keeps the words it has
-seen. What the agenda makes of new words is checked against the sentencepiece library, both ways, in every fourth
-block of texts of an Arrow batch; a difference is an error.
+seen. What the agenda makes of new words is checked against the sentencepiece library, both ways, in every block of
+texts of an Arrow batch; a difference is an error.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from labtrail.llm.words import blocks
 BLANK = "▁"
 #: Words that a task keeps; then it begins anew. Bounds its memory, not its results.
 KEPT_WORDS = 250_000
-#: Every so many blocks of texts the new words are checked against the library.
-CHECK_EVERY = 4
+#: So many words are checked against the library in one text.
+CHECKED = 512
 NONE = 1 << 30
 #: Longer words aren't kept, and have an agenda of their own.
 KEPT_CHARS = 64
@@ -48,7 +48,6 @@ class Pieces:
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.words: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
-        self.blocks = 0
         self.digits = [str(i) for i in range(n)]
         self.piece = {i: t.decode(errors="replace") for i, t in self.text.items()}
         self.char = -1 - np.arange(0x110000)  # a character without a piece of its own: negative
@@ -169,21 +168,26 @@ class Pieces:
                     out[i] = [y for x in out[i] for y in ([x] if x >= 0 else [self.bytes[c] for c in chr(-1 - x).encode()])]
         return out
 
+    def _check(self, words: list[str], ids: list[list[int]], back: list[str]) -> None:
+        """The library, which writes a text's first blank itself, must give the same ids and texts."""
+        plain = [i for i, w in enumerate(words) if w and BLANK not in w] if self.by_word else []
+        rest = set(range(len(words))) - set(plain)
+        texts = [[i] for i in rest if words[i]] + [plain[k : k + CHECKED] for k in range(0, len(plain), CHECKED)]
+        own = [[x for i in text for x in ids[i]] for text in texts]
+        if self.library.encode([" ".join([words[i] for i in text]) for text in texts], num_threads=1) != own:
+            raise ValueError("the agenda and the sentencepiece library encode a word differently")
+        if self.library.decode(own, num_threads=1) != ["".join([back[i] for i in text])[1:] for text in texts]:
+            raise ValueError("the agenda and the sentencepiece library decode a word differently")
+
     def learn(self, texts: list[list[str]]) -> dict[str, tuple[str, int, str]]:
-        """(ids, number, decoded) of all words of the texts. The new words of every CHECK_EVERY-th block are checked against the library."""
+        """(ids, number, decoded) of all words of the texts. New words are checked against the library."""
         words = {w for own in texts for w in own}
         here = {w: v for w in words if (v := self.words.get(w) or self.older.get(w))}
         new = list(words - here.keys())
         ids = self.encode_words(new)
         text, raw, digits = self.piece, self.raw, self.digits
         back = [self.decode(i) if not raw.isdisjoint(i) else "".join([text[x] for x in i]) for i in ids]
-        if self.blocks % CHECK_EVERY == 0:
-            # the library writes the first blank itself, but leaves an empty text empty
-            if any(a != b for w, a, b in zip(new, ids, self.library.encode(new, num_threads=1), strict=True) if w):
-                raise ValueError("the agenda and the sentencepiece library encode a word differently")
-            if any(a[1:] != b for a, b in zip(back, self.library.decode(ids, num_threads=1), strict=True)):
-                raise ValueError("the agenda and the sentencepiece library decode a word differently")
-        self.blocks += 1
+        self._check(new, ids, back)
         here |= {w: (" ".join([digits[x] for x in i]), len(i), b) for w, i, b in zip(new, ids, back, strict=True)}
         # two generations: words that come again stay, others go
         self.words.update((w, v) for w, v in here.items() if len(w) <= KEPT_CHARS)
