@@ -87,3 +87,50 @@ class Spans:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+#: Primes of XXH64, fixed values.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def xxh64(joined: bytes, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of many byte ranges at once; ``joined`` goes on for at least 8 bytes after the last."""
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    four = np.ndarray((len(joined) - 3,), "<u4", joined, strides=(1,))
+    one = np.frombuffer(joined, np.uint8)
+    s, size = np.uint64(seed), (end - start).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h, at = np.full(len(start), s + _P5), start.copy()
+        wide = np.flatnonzero(size >= 32)
+        lanes = [np.full(len(wide), x) for x in (s + _P1 + _P2, s + _P2, s, s - _P1)]
+        live = np.arange(len(wide))
+        while len(live):
+            for k, lane in enumerate(lanes):
+                lane[live] = _turn(lane[live] + eight[at[wide[live]] + 8 * k] * _P2, 31) * _P1
+            at[wide[live]] += 32
+            live = live[at[wide[live]] + 32 <= end[wide[live]]]
+        if len(wide):
+            h[wide] = _turn(lanes[0], 1) + _turn(lanes[1], 7) + _turn(lanes[2], 12) + _turn(lanes[3], 18)
+            for lane in lanes:
+                h[wide] = (h[wide] ^ _turn(lane * _P2, 31) * _P1) * _P1 + _P4
+        h += size
+        live = np.flatnonzero(at + 8 <= end)
+        while len(live):
+            h[live] = _turn(h[live] ^ _turn(eight[at[live]] * _P2, 31) * _P1, 27) * _P1 + _P4
+            at[live] += 8
+            live = live[at[live] + 8 <= end[live]]
+        live = np.flatnonzero(at + 4 <= end)
+        h[live] = _turn(h[live] ^ four[at[live]].astype(np.uint64) * _P1, 23) * _P2 + _P3
+        at[live] += 4
+        live = np.flatnonzero(at < end)
+        while len(live):
+            h[live] = _turn(h[live] ^ one[at[live]].astype(np.uint64) * _P5, 11) * _P1
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        return h ^ h >> np.uint64(32)
