@@ -4,7 +4,8 @@ Each table projects a unit vector to a few groups of eight dimensions and decode
 E8 lattice; the points together are the vector's cell. A vector is indexed under its own cell and looks in that and in
 the cells that exchange one group's point for one of the nearest neighbouring lattice points. Pairs that meet in any
 table, and whose sign sketches are no further apart than those of linked vectors come to be, are verified by their cosine
-in double precision.
+in double precision. Cells with very many candidate pairs are compared block by block, and give counts and a forest of
+their links instead of pairs.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 
 from labtrail.llm.common import materialise, table
 from labtrail.llm.components import components
-from labtrail.llm.vectors import by_length, classes, unit
+from labtrail.llm.vectors import by_length, classes, cosine, unit
 from labtrail.llm.words import mix
 
 
-def _roots() -> np.ndarray:
+def _shortest() -> np.ndarray:
     """The 240 shortest vectors of E8."""
     out = []
     for i, j in combinations(range(8), 2):
@@ -35,7 +36,7 @@ def _roots() -> np.ndarray:
     return np.array(out)
 
 
-ROOTS = _roots()
+ROOTS = _shortest()
 
 
 def _nearest_even(x: np.ndarray) -> np.ndarray:
@@ -96,8 +97,91 @@ def sketch_limit(least: float) -> int:
     return int(np.ceil(SKETCH * p + 5 * np.sqrt(SKETCH * p * (1 - p))))
 
 
-def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3, scale: float = 3.0, probes: int = 2, seed: int = 11) -> DataFrame:
-    """``(a, b)`` of distinct vectors ``(rep, vec)`` whose cosine is at least ``least``, as far as the tables find them."""
+def _meets(own: np.ndarray, look: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
+    """Whether one of the vectors i and j, row by row, looks in the other's cell of a table."""
+    return (own[i, table, None] == look[j, table]).any(1) | (own[j, table, None] == look[i, table]).any(1)
+
+
+def _roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` (each node's least known relative) after the links i to j."""
+    while True:
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+
+
+def _compare(least: float, tables: int):
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        """Links between two blocks of a hot cell: for each vector how many it has, counted in the first cell where a pair meets, and a relative."""
+        cell, out = key[0], []
+        for rows, raw in by_length(list(part["vec"])).values():
+            some = part.iloc[rows]
+            x, rep, copies, block = unit(raw), some["rep"].to_numpy(), some["copies"].to_numpy(), some["block"].to_numpy()
+            table, owner = int(some["table"].iat[0]), some["owner"].to_numpy()
+            marks = np.stack(list(some["marks"])).reshape(len(some), -1)
+            own, near = marks[:, :tables], marks[:, tables:].reshape(len(some), tables, -1)
+            look = np.concatenate([own[:, :, None], near], 2)
+            look = np.where(look == 0, 1, look)  # 0: not a hot cell
+            left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+            root, others = np.arange(len(some)), np.zeros(len(some), np.int64)
+            for lo in range(0, len(left), 128):
+                mine = left[lo : lo + 128]
+                near_by = x[mine] @ x[right].T
+                i, j = np.nonzero(near_by >= least - 1e-9)
+                close = near_by[i, j]
+                i, j = mine[i], right[j]
+                keep = (owner[i] | owner[j]) & ((i < j) | (key[1] != key[2]))
+                i, j, close = i[keep], j[keep], close[keep]
+                edge = np.flatnonzero(close < least + 1e-9)
+                keep = np.ones(len(i), bool)
+                keep[edge] = cosine(raw[i[edge]], raw[j[edge]]) >= least
+                i, j = i[keep], j[keep]
+                root = _roots(root, i, j)
+                for earlier in range(table):
+                    new = ~_meets(own, look, i, j, earlier)
+                    i, j = i[new], j[new]
+                a, b = own[i, table], own[j, table]
+                there = np.where((b[:, None] == look[i, table]).any(1), b, cell)
+                here = np.where((a[:, None] == look[j, table]).any(1), a, cell)
+                first = np.minimum(there, here) == cell
+                i, j = i[first], j[first]
+                np.add.at(others, i, copies[j])
+                np.add.at(others, j, copies[i])
+            has = np.flatnonzero((others > 0) | (root != np.arange(len(root))))
+            out.append(pd.DataFrame({"a": rep[has], "b": rep[root[has]], "n": others[has]}))
+        return pd.concat(out)
+
+    return compare
+
+
+def _hot_links(own: DataFrame, looks: DataFrame, hot: DataFrame, least: float, tables: int, near: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, n)`` of the hot cells, block by block, and ``(rep, owned, looked)``: the hot cells of each vector."""
+    members = looks.join(F.broadcast(hot), "cell") if hot.count() <= 100_000 else looks.join(hot, "cell")
+    members = materialise(members.select("cell", "n", "rep", "at"), "hot-members")
+    at = F.map_from_entries(F.collect_list(F.struct("at", "cell")))
+    marks = members.groupBy("rep").agg(at.alias("m"), F.collect_list(F.when(F.col("at") < tables, F.col("cell"))).alias("owned"), F.collect_list("cell").alias("looked"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(tables * (1 + near) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    marks = materialise(marks.select("rep", "owned", "looked", every.alias("marks")), "hot-marks")
+    parts = F.ceil(F.col("n") / block_rows).cast("int")
+    table = F.when(F.col("at") < tables, F.col("at")).otherwise(((F.col("at") - tables) / near).cast("int"))
+    rows = members.select("cell", "rep", table.alias("table"), (F.col("at") < tables).alias("owner"), parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("block"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda b: F.struct(F.least(b, "block").alias("p"), F.greatest(b, "block").alias("q")))
+    rows = rows.withColumn("pair", F.explode(pair)).select("cell", "pair.p", "pair.q", "rep", "table", "owner", "block")
+    rows = rows.join(own.join(marks.select("rep", "marks"), "rep"), "rep")
+    return rows.groupBy("cell", "p", "q").applyInPandas(_compare(least, tables), "a long, b long, n long"), marks.select("rep", "owned", "looked")
+
+
+def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3, scale: float = 3.0, probes: int = 2, seed: int = 11, hot_pairs: int = 1 << 20, block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Links of distinct vectors ``(rep, copies, vec)`` whose cosine is at least ``least``, as far as the tables find them.
+
+    First ``(a, b)`` of the pairs that meet in cells of up to ``hot_pairs`` candidate pairs and in none of more. The hot
+    cells' pairs don't come one by one: they are verified in blocks of up to ``block_rows`` vectors, which give second
+    ``(a, b, n)``: n more links of a (those to copies counted each), b a vector that a is connected with.
+    """
 
     def name(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -105,11 +189,18 @@ def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3,
                 for i in range(0, len(rows), 2048):
                     mine, near = cells(unit(x[i : i + 2048]), tables, groups, scale, probes, seed)
                     bits = sketch(unit(x[i : i + 2048]), seed)
-                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows[i : i + 2048]], "s": bits[:, 0], "t": bits[:, 1], "own": list(mine), "near": list(near)})
-
-    named = materialise(own.select("rep", "vec").mapInPandas(name, "rep long, s long, t long, own array<long>, near array<long>"), "cells")
-    index = named.select(F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"), F.explode("own").alias("cell"))
-    look = named.select(F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"), F.explode(F.concat("own", "near")).alias("cell"))
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows[i : i + 2048]], "s": bits[:, 0], "t": bits[:, 1], "cells": list(np.concatenate([mine, near], 1))})
+
+    named = materialise(own.select("rep", "vec").mapInPandas(name, "rep long, s long, t long, cells array<long>"), "cells")
+    looks = named.select("rep", "s", "t", F.posexplode("cells").alias("at", "cell"))
+    sizes = looks.groupBy("cell").agg(F.count_if(F.col("at") < tables).alias("n_own"), F.count("*").alias("n"))
+    hot = materialise(sizes.where(F.col("n_own") * F.col("n") > hot_pairs).select("cell", "n"), "hot-cells")
+    some_hot = not hot.isEmpty()
+
+    index = looks.where(F.col("at") < tables).select(F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"), "cell")
+    if some_hot:
+        index = index.join(hot, "cell", "left_anti")
+    look = looks.select(F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"), "cell")
     differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb")))
     met = index.join(look, "cell").where("a != b").where(differ <= sketch_limit(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = materialise(met, "met")
@@ -119,12 +210,17 @@ def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3,
             same = part[part["va"].map(len) == part["vb"].map(len)]
             for rows, x in by_length(list(same["va"])).values():
                 y = np.stack([same["vb"].iat[i] for i in rows])
-                cosine = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-                yield same[["a", "b"]].iloc[rows[cosine >= least]]
+                yield same[["a", "b"]].iloc[rows[cosine(x, y) >= least]]
 
     one = own.select(F.col("rep").alias("a"), F.col("vec").alias("va"))
     two = own.select(F.col("rep").alias("b"), F.col("vec").alias("vb"))
-    return met.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInPandas(verify, "a long, b long")
+    found = met.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInPandas(verify, "a long, b long")
+    if not some_hot:
+        return found, own.sparkSession.createDataFrame([], "a long, b long, n long")
+    counted, marks = _hot_links(own, looks, hot, least, tables, groups * probes, block_rows)
+    found = found.join(marks.toDF("a", "oa", "la"), "a", "left").join(marks.toDF("b", "ob", "lb"), "b", "left")
+    also_hot = F.arrays_overlap("oa", "lb") | F.arrays_overlap("ob", "la")
+    return found.where(~F.coalesce(also_hot, F.lit(False))).select("a", "b"), counted
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, **options: float) -> DataFrame:
@@ -135,11 +231,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, **options: float) ->
     isn't kept. Repeated rows stay, each counting as a vector. An empty table gives an empty table.
     """
     own, members = classes(vectors)
-    found = materialise(links(own, least, **options), "verified")
+    found, counted = links(own, least, **options)
+    found, counted = materialise(found, "verified"), materialise(counted, "hot-links")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = own.select("rep", "copies")
-    count = both.join(copies.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    root = components(found)
+    count = both.join(copies.withColumnRenamed("rep", "b"), "b").select("a", F.col("copies").alias("n")).unionByName(counted.select("a", "n"))
+    count = count.groupBy("a").agg(F.sum("n").alias("others"))
+    root = components(found.unionByName(counted.select("a", "b")))
     info = copies.join(count, copies["rep"] == count["a"], "left").join(root, copies["rep"] == root["node"], "left")
     info = info.select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     info = materialise(members.join(info, "rep").select("vec_id", "n_links", "component_id").distinct(), "vector-links")

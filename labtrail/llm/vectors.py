@@ -30,6 +30,12 @@ def by_length(vectors: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarr
     return {int(n): (i := np.flatnonzero(size == n), np.stack([vectors[k] for k in i]).astype(np.float64)) for n in np.unique(size)}
 
 
+def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of each row of x and of y, in double precision; rows are scaled by powers of two first, so that no product overflows."""
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (x, y))
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
