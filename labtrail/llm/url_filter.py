@@ -2,7 +2,7 @@
 
 Labelled pages are item sets: tokens of their urls, and whether the label calls them bad. FP-growth mines token combinations
 that imply a bad page; rules below the confidence, or with fewer bad pages than the least support, are pruned, and so are rules
-that hold a shorter one. The rules that stay are matched by an inverted index under their rarest token.
+that hold all items of a shorter one, for they block nothing more. The rules that stay are matched by an inverted index under their rarest token.
 """
 
 from __future__ import annotations
@@ -67,18 +67,25 @@ def mine(pages: DataFrame, labels: DataFrame, confidence: float = 0.8, least_pag
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least_pages - 0.5, 0.5) / n), minConfidence=confidence).fit(baskets)
     share = n / every.count()
     found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("consequent") == 1))
-    return materialise(found.select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * share).alias("support")), "url-rules")
+    found = materialise(found.select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * share).alias("support")), "url-rules")
+    longer = holders(found.select(F.col("items").alias("id"), F.col("items").alias("has")), found, proper=True).withColumnRenamed("id", "items")
+    return found.join(longer, "items", "left_anti")
 
 
-def bad_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct ``url`` that hold all items of some rule, by an index of each rule's rarest item."""
-    have = urls.where("url is not null").select("url").distinct().withColumn("has", tokens(F.col("url")))
-    item = rules.withColumn("id", F.monotonically_increasing_id())
+def holders(have: DataFrame, rules: DataFrame, proper: bool = False) -> DataFrame:
+    """The distinct ``id`` of ``have(id, has)`` that hold all items of some rule (and more, if ``proper``), by an index of each rule's rarest item."""
     common = have.select(F.explode("has").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    index = item.select("id", "items", F.explode("items").alias("item")).join(common, "item").groupBy("id").agg(F.first("items").alias("items"), F.min_by("item", F.struct("n", "item")).alias("rare"))
-    index = materialise(index.select("items", "rare"), "url-index")
-    met = have.select("url", "has", F.explode("has").alias("rare")).join(index, "rare")
-    return met.where(F.size(F.array_except("items", "has")) == 0).select("url").distinct()
+    index = rules.select("items", F.explode("items").alias("item")).join(common, "item").groupBy("items").agg(F.min_by("item", F.struct("n", "item")).alias("rare"))
+    index = materialise(index, "url-index")
+    met = have.select("id", "has", F.explode("has").alias("rare")).join(index, "rare")
+    met = met.where(F.size(F.array_except("items", "has")) == 0)
+    return (met.where(F.size("has") > F.size("items")) if proper else met).select("id").distinct()
+
+
+def bad_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The distinct ``url`` that some rule fits."""
+    have = urls.where("url is not null").select(F.col("url").alias("id")).distinct().withColumn("has", tokens(F.col("id")))
+    return holders(have, rules).withColumnRenamed("id", "url")
 
 
 def judge(pages: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
@@ -86,8 +93,9 @@ def judge(pages: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
 
     A null url, or one without ``://``, has neither host nor path; no rule and no mined combination fits it: allow. Labels
     are read by ``doc_id = page_id``; a page is bad if any row of it says toxic 1 or quality 0; null labels say nothing.
-    Repeated rows stay. Further columns are ignored, empty tables give an empty table; without labels everything that no
-    rule blocks is allowed.
+    Of fixed rules that fit, the longest host and path wins; no two that fit one url are equally long. Mined ones all block,
+    so their order doesn't matter. Repeated rows stay, and a very long url has as many items as parts. Further columns are
+    ignored, empty tables give an empty table; without labels everything that no rule blocks is allowed.
     """
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule(F.col("host"), F.col("path")))
@@ -101,3 +109,13 @@ def judge(pages: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+#: Host, path and fixed rule of each page; the verdict where no rule fits is mined, which SQL can't express.
+RULE_SQL = r"""
+WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules AS (FROM (VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/')) AS r(name, start)),
+fits AS (SELECT page_id, max_by(name || start, length(name || start)) AS rule FROM parts JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+SELECT page_id, host, path, rule FROM parts LEFT JOIN fits USING (page_id)
+"""
