@@ -121,8 +121,12 @@ def _mix(docs: DataFrame, share: float, epochs: int, seed: int, domain: Column |
 
     last = planned.withColumn("key", _key(seed, F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)).withColumn("epoch", F.col("whole"))
     sums = last.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("rest_of"))
-    upto = F.sum("held").over(W.partitionBy(*leaf).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-    sums = sums.withColumn("upto", upto).where("upto - held <= rest_of").select(*leaf, "bucket", "upto", (F.col("upto") - F.col("held")).alias("passed"))
+    # running sums in two levels, so that no task orders all buckets of a leaf
+    sums = materialise(sums.withColumn("stretch", F.substring("bucket", 1, 1)), "mix-sums")
+    before = F.sum("stretch_held").over(W.partitionBy(*leaf).orderBy("stretch").rowsBetween(W.unboundedPreceding, 0)) - F.col("stretch_held")
+    stretches = sums.groupBy(*leaf, "stretch").agg(F.sum("held").alias("stretch_held")).withColumn("before", before).drop("stretch_held")
+    upto = F.col("before") + F.sum("held").over(W.partitionBy(*leaf, "stretch").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+    sums = sums.join(stretches, [*leaf, "stretch"]).withColumn("upto", upto).where("upto - held <= rest_of").select(*leaf, "bucket", "upto", (F.col("upto") - F.col("held")).alias("passed"))
     last = last.join(materialise(sums, "mix-buckets"), [*leaf, "bucket"])
     inside = last.where("upto <= rest").select(*out)
     run = F.sum("n_tokens").over(W.partitionBy(*leaf, "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0))

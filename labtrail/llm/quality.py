@@ -4,7 +4,7 @@ Terms are hashed words and word shapes (end and start bytes, case, length, repet
 sample of labelled texts (``sample`` rows, half of either label where there are so many) gives term weights and the
 leading singular directions of its term matrix; the sample's vectors in that space, at most ``sample`` x ``dims``
 numbers, are broadcast. Each text's vector is multiplied with all of them in blocks, and the ``neighbours`` of largest
-cosine vote with their similarity.
+cosine, and those as near as the last of them, vote with the fourth power of their similarity.
 """
 
 from __future__ import annotations
@@ -93,16 +93,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, dims: int = 48)
 def _vote(model: dict, terms: np.ndarray, neighbours: int) -> np.ndarray:
     if not len(model["y"]):
         return np.full(len(terms), model["prior"])
-    near = _unit(terms @ model["weight"]) @ model["near"].T
-    k = min(neighbours, near.shape[1])
-    best = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-    w = np.maximum(np.take_along_axis(near, best, 1).astype(np.float64), 0) ** 4
-    total = w.sum(1)
-    return np.where(total > 0, (w * model["y"][best]).sum(1) / np.where(total > 0, total, 1), model["prior"])
+    out = np.full(len(terms), model["prior"])
+    for lo in range(0, len(terms), 1024):
+        near = _unit(terms[lo : lo + 1024] @ model["weight"]) @ model["near"].T
+        k = min(neighbours, near.shape[1])
+        last = np.maximum(np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k], np.finfo(np.float32).tiny)
+        row, at = np.nonzero(near >= last[:, None])
+        w = near[row, at].astype(np.float64) ** 4
+        total = np.bincount(row, w, minlength=len(near))
+        some = np.flatnonzero(total)
+        out[lo + some] = np.bincount(row, w * model["y"][at], minlength=len(near))[some] / total[some]
+    return out
 
 
 def score(text: Column, model: dict, spark: SparkSession, neighbours: int = 15) -> Column:
-    """A column from 0 to 1, higher where label 1 is likelier. Null and empty texts have no terms and score the sample's share of label 1 (1 if nothing is labelled)."""
+    """A column from 0 to 1, higher where label 1 is likelier. Null and empty texts have no terms and score the sample's share of label 1 (1 if nothing is labelled), and so does a text without a labelled one on its side of the space. A very long text is one block of one task; blocks are otherwise bounded."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
