@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``, our own only where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own in local mode; on a cluster that is an error."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return own or f"{tempfile.gettempdir()}/checkpoints"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -37,9 +41,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what ``materialise`` has written, once nothing reads it any more."""
-    df._written.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(df._written, True)
+    for df in tables:
+        df._written.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(df._written, True)
 
 
 def sha256_hex(column: Column) -> Column:

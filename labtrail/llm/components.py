@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labtrail.llm.common import materialise
+from labtrail.llm.common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node that has a link; component is the smallest node reachable.
 
     Each round joins links with each node's smallest neighbour; no group of links is gathered in one place, and
-    the state between rounds is a table in the shared folder. Null ends and self-links are left out. The number of
+    the state between rounds is a table in the shared folder, deleted once the next is written. Null ends and self-links are left out. The number of
     rounds grows with the logarithm of the longest path.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = materialise(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialise(small.where("u != v").distinct(), "small")
+        done, edges = edges, materialise(small.where("u != v").distinct(), "small")
+        discard(done, large)
         last, state = state, _state(edges)
         if state == last:
             break

@@ -1,14 +1,21 @@
 """Each operator against a plain version, on odd rows and on the small tables."""
 
+import collections
+import itertools
+
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labtrail.llm import embedding_dedup, mixing, neighbours, pieces, pii, quality, simhash, substring_dedup, tokens, url_filter
 from labtrail.llm.common import table
 from labtrail.llm.components import components
+from labtrail.llm.vectors import unit
+from labtrail.llm.words import xxh64
 from tests.compare import connect, differences
 from tests.llm import plain
 
@@ -62,7 +69,7 @@ def test_long_posting_lists_lose_no_link(spark):
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
     at = {p: i for i, p in enumerate(prints)}
     expected = {p: min(prints[i] for i in g) for p, g in zip(prints, plain.groups(len(prints), [(at[a], at[b]) for a, b in linked]), strict=True)}
-    found = {r["node"]: r["component"] for r in components(simhash.links(df, list_rows=8, block_rows=50), "x", "y").collect()}
+    found = {r["node"]: r["component"] for r in components(simhash.links(df, list_rows=8), "x", "y").collect()}
     assert {p: found.get(p, p) for p in prints} == expected
 
 
@@ -191,27 +198,199 @@ def test_quality_of_odd_rows_and_without_labels(spark, odd):
     assert quality.score_documents(odd, some).where("score is null or score < 0 or score > 1").count() == 0
 
 
-def test_embeddings_against_all_pairs(spark):
-    import numpy as np
+def test_long_runs_are_counted_as_the_library_does(spark):
+    n = 2_000_000
+    texts = [" " * n, "\n" * n + "x", "x" + " " * n + "y", "a" * n, "!" * n, "a \u3000\n" * 5_000 + "\u3000" * 9_000, "<|endoftext|>" + "\t" * 9_000 + "<|endoftext|> b", " " * 5_000 + "'s" + "\x1c" * 9_000, "\x85" * 5_000 + " 1"]
+    library = Tokenizer.from_file(public_tokenizers.path(BYTES))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    expected = [(i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+    same(tokens.count_tokens(df, public_tokenizers.path(BYTES)), expected)
+    short = df.where("doc_id > 4")
+    same(tokens.count_tokens(short, public_tokenizers.path(BYTES), chunk=1 << 20), expected[5:])
+
+
+def test_shingle_hashes_are_xxh64():
+    draw = np.random.default_rng(2)
+    texts = [draw.bytes(n) for n in [*range(1, 150), 1000, 40_000]]
+    end = np.cumsum([len(t) for t in texts])
+    got = xxh64(b"".join(texts) + bytes(8), end - [len(t) for t in texts], end, 42)
+    assert got.tolist() == [xxhash.xxh64_intdigest(t, 42) for t in texts]
+
+
+def test_dense_fingerprints_lose_no_link(spark):
+    draw = np.random.default_rng(3)
+    near = [int(sum(1 << int(b) for b in draw.choice(64, draw.integers(0, 5), replace=False))) for _ in range(900)]
+    prints = np.unique(np.array([*near, *(x << 32 for x in range(200)), *draw.integers(0, 1 << 63, 200)], np.uint64))
+    close = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
+    signed = prints.view(np.int64).tolist()
+    linked = list(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    for list_rows in (8, 64, 1024):
+        edges = [(r["x"], r["y"]) for r in simhash.links(df, list_rows=list_rows).collect()]
+        at = {p: i for i, p in enumerate(signed)}
+        assert plain.groups(len(signed), [(at[a], at[b]) for a, b in edges]) == plain.groups(len(signed), linked)
+
+
+def embeddings(draw, base, copies, noise):
+    x = draw.normal(size=(base, 64))
+    return np.concatenate([x, x[: base // 3].repeat(copies, 0) + draw.normal(size=(base // 3 * copies, 64)) * noise, x[:5]]).tolist()
+
+
+ODD_VECTORS = [(900_000, None), (900_001, [0.0] * 64), (900_002, [float("nan")] * 64), (900_003, [float("inf")] + [1.0] * 63), (900_004, [None] + [1.0] * 63), (900_005, []), (900_006, [1.0, 2.0]), (900_007, [2.0, 4.0]), (900_008, [1e200] * 64), (900_009, [2e200] * 64), (900_010, [1e-200] * 63 + [0.0])]
+
+
+def vectors(spark, x):
+    rows = [*enumerate(x), *ODD_VECTORS, (None, x[0])]
+    return spark.createDataFrame([(i, v, 1, 2, 3, "s") for i, v in rows], "vec_id long, embedding array<double>, rep long, copies long, a long, cell string").repartition(6)
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_pairs": 40, "block_rows": 16}, {"hot_pairs": 400}])
+def test_embedding_links_and_components_are_exact(spark, options):
+    x = embeddings(np.random.default_rng(1), 150, 4, 0.05)
+    df = vectors(spark, x)
+    every = {i: v for i, v in [*enumerate(x), *ODD_VECTORS[8:]]}
+    ids = list(every)
+    c = plain.cosines([np.array(v) / max(np.abs(v)) for v in every.values()])
+    linked = [(i, j) for i in range(len(ids)) for j in range(i) if c[i, j] >= 0.9]
+    groups = plain.groups(len(ids), linked)
+    expected = {ids[i]: (int((c[i] >= 0.9).sum()) - 1, min(ids[k] for k in g)) for i, g in enumerate(groups)}
+    small = {900_006: (1, 900_006), 900_007: (1, 900_006)}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, **options).collect()}
+    assert len(got) == df.count()
+    for i, r in got.items():
+        n, top = (expected | small).get(i, (0, i))
+        assert (r["n_links"], r["component_id"], r["kept"]) == (n, top, i is not None and i == top), i
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 30])
+def test_embedding_links_reach_their_recall(spark, hot):
+    x = embeddings(np.random.default_rng(1), 300, 1, 0.33)
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    c = plain.cosines(x)
+    true = (c >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, hot_pairs=hot, block_rows=7).collect()}
+    assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.9 * true.sum()
+
 
-    r = np.random.default_rng(1)
-    base = r.normal(size=(300, 64))
-    near = base[:100] + r.normal(size=(100, 64)) * 0.33
-    x = np.concatenate([base, near, base[:5]]).tolist()
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 64), (902, [float("nan")] * 64), (None, x[0])], "vec_id long, embedding array<double>")
+def test_neighbours_ranks_ties_and_recall(spark):
+    x = embeddings(np.random.default_rng(1), 300, 1, 0.33)
+    df = vectors(spark, x)
     c = plain.cosines(x)
-    linked = [(i, j) for i in range(len(x)) for j in range(i) if c[i, j] >= 0.9]
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
-    assert sum(got[i]["n_links"] for i in range(len(x))) >= 0.9 * 2 * len(linked)
-    assert all(got[i]["n_links"] <= (c[i] >= 0.9).sum() - 1 for i in range(len(x)))
-    assert all(got[i]["component_id"] == i and got[i]["n_links"] == 0 for i in (900, 901, 902))
-    hits = total = 0
-    for q, rows in neighbours.nearest(df, df.where("vec_id % 50 = 0")).toPandas().groupby("query_id"):
-        c[q, q] = -2
-        best = np.lexsort((np.arange(len(x)), -c[q]))[:5]
-        hits, total = hits + len(set(best) & set(rows["vec_id"])), total + 5
-        assert np.allclose(rows.sort_values("rank")["score"], c[q][rows.sort_values("rank")["vec_id"]])
-    assert hits >= 0.9 * total
+    got = neighbours.nearest(df, df.where("vec_id % 50 = 0 or vec_id > 900000")).toPandas()
+    assert set(got["query_id"]) == {i for i in range(len(x)) if i % 50 == 0} | {900_006, 900_007, 900_008, 900_009, 900_010}
+    assert got["score"].between(-1.0000001, 1.0000001).all()
+    for q, rows in got.groupby("query_id"):
+        rows = rows.sort_values("rank")
+        assert rows["rank"].tolist() == list(range(1, len(rows) + 1)) and q not in set(rows["vec_id"])
+        assert rows.sort_values(["score", "vec_id"], ascending=[False, True])["vec_id"].tolist() == rows["vec_id"].tolist()
+    assert got[got["query_id"] == 900_006][["vec_id", "rank"]].to_numpy().tolist() == [[900_007, 1]]
+    # vectors of the ordinary rows only, for which all cosines are at hand
+    own = df.where(f"vec_id < {len(x)}")
+    for options in ({}, {"shard_rows": 100, "block_rows": 3}):
+        rows = neighbours.nearest(own, own.where("vec_id % 50 = 0"), **options).toPandas().sort_values(["query_id", "rank"])
+        hits = 0
+        for q, part in rows.groupby("query_id"):
+            near = np.where(np.arange(len(x)) == q, -2, c[q])
+            hits += len(set(np.lexsort((np.arange(len(x)), -near.round(12)))[:5]) & set(part["vec_id"]))
+            assert np.allclose(part["score"], c[q][part["vec_id"]], atol=1e-12, rtol=0)
+        assert hits >= 0.9 * len(rows) and len(rows) == 5 * len(range(0, len(x), 50))
+
+
+def test_inserted_nodes_are_found():
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(size=(1500, 64)), draw.normal(size=(1, 64)) + draw.normal(size=(1500, 64)) * 0.05])
+    order, levels = neighbours.build(x, compared=256)
+    u = unit(x[order]).astype(np.float32)
+    number, _ = neighbours.search(u, levels, u[::10], 64)
+    best = np.argsort(-(u[::10] @ u.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b[:5])) / 5 for a, b in zip(best, number, strict=True)]) >= 0.9
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in levels[0])
+
+
+def test_votes_are_those_of_the_nearest_labelled_texts(spark, docs, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels)
+    texts = [t or "" for _, t in pairs(docs)]
+    terms = np.concatenate([quality._terms([t.encode()]) for t in texts])
+    space = terms.astype(np.float64) @ model["weight"]
+    near = model["near"].astype(np.float64)
+    own, expected = {}, []
+    for v in space:
+        size = np.linalg.norm(v)
+        c = near @ (v / size) if size else np.zeros(len(near))
+        best = np.argsort(-c)[:15]
+        w = np.maximum(c[best], 0) ** 4
+        expected.append((w * model["y"][best]).sum() / w.sum() if w.sum() else model["prior"])
+    got = docs.select("doc_id", quality.score(F.col("text"), model, spark).alias("s")).collect()
+    # neighbours that are equally near in single precision may change places
+    off = np.abs(np.array([r["s"] for r in got]) - expected)
+    assert (off < 1e-3).mean() > 0.97 and np.median(off) < 1e-5
+    assert not {r["doc_id"] for r in quality._labelled(docs, labels, 4000).collect()} & {r["doc_id"] for r in docs.where(quality.held_out(F.col("doc_id"))).collect()}
+
+
+def test_votes_of_all_that_are_as_near_as_the_last():
+    near = np.array([[1, 0], [1, 0], [1, 0], [0, 1]], np.float32)
+    model = {"weight": np.eye(2, dtype=np.float32), "near": near, "y": np.array([1.0, 0.0, 0.0, 1.0]), "prior": 0.5}
+    assert quality._vote(model, np.array([[2, 0], [0, 0], [-1, -1]], np.float32), 2).tolist() == [1 / 3, 0.5, 0.5]
+
+
+def test_url_host_path_and_rule_equal_their_sql(spark, sf_dir):
+    big = sf_dir.replace("0.001", "0.1")
+    got = url_filter.judge(table(spark, big, "pages"), table(spark, big, "labels"))
+    assert differences(got.select("page_id", "host", "path", "rule"), connect(big), url_filter.RULE_SQL) == ""
+
+
+def test_mined_url_rules_equal_plain_enumeration(spark, sf_dir):
+    big = sf_dir.replace("0.001", "0.01")
+    pages, labels = table(spark, big, "pages"), table(spark, big, "labels")
+    bad = {}
+    for r in labels.collect():
+        bad[r["doc_id"]] = bad.get(r["doc_id"], False) or r["toxic"] == 1 or r["quality"] == 0
+    sets = {r["page_id"]: (r["url"], frozenset(r["t"])) for r in pages.select("page_id", "url", url_filter.tokens(F.col("url")).alias("t")).collect()}
+    known = [(items, bad[i]) for i, (_, items) in sets.items() if i in bad]
+    count = collections.Counter(c for items, b in known if b for n in range(1, len(items) + 1) for c in itertools.combinations(sorted(items), n))
+    least, confidence = 5, 0.4
+    rules = {}
+    for c, n in count.items():
+        if n >= least and (share := n / sum(set(c) <= items for items, _ in known)) >= confidence:
+            rules[c] = share
+    rules = {c: s for c, s in rules.items() if not any(set(d) < set(c) for d in rules)}
+    assert rules
+    got = {tuple(r["items"]): r["confidence"] for r in url_filter.mine(pages, labels, confidence, least).collect()}
+    assert got.keys() == rules.keys() and all(abs(got[c] - rules[c]) < 1e-12 for c in rules)
+    verdicts = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, labels, confidence=confidence, least_pages=least).collect()}
+    blocked = {i for i, (rule, verdict) in verdicts.items() if rule is None and verdict == "block"}
+    assert blocked == {i for i, (_, items) in sets.items() if verdicts[i][0] is None and any(set(c) <= items for c in rules)} and blocked
+
+
+def test_personal_data_query(spark, sf_dir):
+    rows = pairs(table(spark, sf_dir, "documents"))
+    found = {r["doc_id"]: r for r in pii.op5_pii(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        base = plain.base_spans(t or "")
+        kinds = [s.split(":")[0] for s in base.split(",") if s]
+        r = found[i]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [kinds.count(k) for k in pii.KINDS]
+        assert r["base_sha256"] == plain.sha(base) and set(base.split(",")) <= {*r["spans"].split(","), ""}
+        order = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
+        assert order == sorted(order)
+
+
+def test_queries_return_their_columns(spark, sf_dir):
+    from labtrail.llm.queries import QUERIES
+
+    columns = {
+        "op1_substring_dedup": "doc_id n_words n_removed kept_sha256", "op2_embedding_near_dedup": "vec_id n_links component_id kept", "op3_token_counts": "doc_id n_bytes n_tokens over_limit",
+        "op4_nearest_neighbours": "query_id rank vec_id score", "op5_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op6_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op7_mix_sources": "doc_id domain lang source epoch n_tokens", "op8_simhash_near_dedup": "doc_id fingerprint component_id", "op9_url_filter": "page_id host path rule verdict", "op10_quality_classifier": "doc_id held_out score predicted",
+    }
+    rows = {t: table(spark, sf_dir, t).count() for t in ("documents", "embeddings", "pages")}
+    for name, query in QUERIES.items():
+        got = query(spark, sf_dir)
+        assert got.columns == columns[name].split()
+        if name[:3] not in ("op4", "op7"):
+            assert got.count() == rows["embeddings" if name[:3] == "op2" else "pages" if name[:3] == "op9" else "documents"]
 
 
 def test_empty_tables(spark, odd):
