@@ -179,3 +179,12 @@ def finding_text(variable: Column, run: Column, value: Column, sigmas: Column) -
 def first_filled(*texts: Column) -> Column:
     """The first text that isn't blank."""
     return F.coalesce(*(F.nullif(F.trim(t), F.lit("")) for t in texts))
+
+
+def caveat_text(pct_imputed: Column) -> Column:
+    """What a finding on a thinly sampled series is told with."""
+    return F.concat(F.bround(pct_imputed * 100).cast("int").cast("string"), F.lit("% of the series is carried forward"))
+
+
+def question_text(variable: Column, run: Column, pct_imputed: Column) -> Column:
+    return F.concat(F.lit("Is "), variable, F.lit(" in "), run, F.lit(" as it seems, with "), F.bround(pct_imputed * 100).cast("int").cast("string"), F.lit("% carried forward?"))

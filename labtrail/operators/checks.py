@@ -45,14 +45,34 @@ def check_trajectories(series: DataFrame) -> DataFrame:
 
 
 def check_findings(found: DataFrame) -> DataFrame:
-    return _broken(found, ["experiment_id", "finding_id"], {"id_shape": F.col("finding_id").rlike(r"^F-\d{4,}$"), "evidence": F.col("observation_id").isNotNull(), "confidence": F.col("confidence").between(0, 1), "severity": F.col("severity").isin(*SEVERITIES)})
+    """Id shape, evidence, confidence and severity; with ``output_id`` that it prefixes the id, with ``extracted_via`` the cap of what a model judged."""
+    own = r"F-\d{4,}$"
+    shape = F.col("finding_id").rlike(f"^{own}")
+    if "output_id" in found.columns:
+        head = F.concat("output_id", F.lit(":"))
+        shape = F.col("finding_id").startswith(head) & F.substr("finding_id", F.length(head) + 1).rlike(f"^{own}")
+    rules = {"id_shape": shape, "evidence": F.col("observation_id").isNotNull(), "confidence": F.col("confidence").between(0, 1), "severity": F.col("severity").isin(*SEVERITIES)}
+    if "extracted_via" in found.columns:
+        rules["judged_cap"] = (F.col("extracted_via") != "llm_judged") | (F.col("confidence") <= 0.85)
+    return _broken(found, ["experiment_id", "finding_id"], rules)
+
+
+def _cited(claims: DataFrame) -> Column:
+    """At least one citation; analyses and questions need a finding or a narrative."""
+    n = F.size("cited_finding_ids")
+    if "cited_narrative_ids" in claims.columns:
+        n = n + F.size("cited_narrative_ids")
+    every = n + F.size("cited_trajectories") > 0
+    return F.when(F.col("kind").isin("analysis", "question"), n > 0).otherwise(every) if "kind" in claims.columns else every
 
 
 def check_claims(claims: DataFrame) -> DataFrame:
-    """Id shape, at least one citation, capped confidence, known basis, and no wording of cause."""
+    """Id shape, at least one citation, capped confidence, known basis, and no wording of cause; with ``kind`` the id and citations of that kind."""
+    letter = {"failure": "F", "trend": "T", "analysis": "A", "question": "Q"}
+    prefix = F.create_map(*(F.lit(x) for k in letter.items() for x in k))[F.col("kind")] if "kind" in claims.columns else None
     rules = {
-        "id_shape": F.col("claim_id").rlike(r"^D-[FTA]-\d{4,}$"),
-        "citation": F.size("cited_finding_ids") + F.size("cited_trajectories") > 0,
+        "id_shape": F.col("claim_id").rlike(r"^D-[FTA]-\d{4,}$") if prefix is None else F.regexp_extract("claim_id", r"^D-([FTAQ])-\d{4,}$", 1) == prefix,
+        "citation": _cited(claims),
         "confidence": F.col("confidence").between(0, 0.85),
         "basis": F.col("confidence_basis").isin(*BASES),
         "no_cause": F.size(S.causal_phrases(F.col("summary"))) == 0,
@@ -74,6 +94,17 @@ def check_version(outputs: DataFrame, current: str) -> DataFrame:
     return _broken(outputs, ["output_id"], {"version_current": F.col("version") == current})
 
 
+def check_priors_version(outputs: DataFrame, current: str | None) -> DataFrame:
+    """Outputs made with priors of another version; unset on either side is no fault."""
+    return _broken(outputs, ["output_id"], {"priors_version_current": F.col("priors_version").isNull() | F.lit(current is None) | (F.col("priors_version") == F.lit(current))})
+
+
+def check_errors(outputs: DataFrame, claims: DataFrame) -> DataFrame:
+    """``outputs(output_id, error)`` that report an error and have claims all the same."""
+    failed = outputs.where("error is not null").select("output_id")
+    return failed.join(claims.select("output_id"), "output_id", "left_semi").select("output_id", F.lit("error_has_no_claims").alias("rule"))
+
+
 def duplicate_ids(*collections: tuple[str, DataFrame]) -> DataFrame:
     """``collection, id, n`` of ids that occur more than once in their collection; each frame has a column ``id``."""
     parts = [df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("collection"), "id", "n") for name, df in collections]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,24 +59,37 @@ def _backfill_narratives(claims: DataFrame, narratives: DataFrame) -> DataFrame:
 
 
 def downgrade(claims: DataFrame, prior_variables: DataFrame, unknown: DataFrame) -> DataFrame:
-    """Claims on priors keep that basis if a variable of theirs has a prior and the experiment isn't ``unknown``."""
-    grounded = claims.where("confidence_basis = 'process_priors'").select(*ID, F.explode("affected_variables").alias("variable")).join(small(prior_variables.select("variable").distinct()), "variable", "left_semi")
+    """Claims on priors keep that basis if a variable of theirs has a prior and the experiment isn't ``unknown``.
+
+    ``prior_variables(variable)`` hold for all experiments, ``(experiment_id, variable)``, as of ``organism_priors``, for their own.
+    """
+    on = [c for c in ("experiment_id", "variable") if c in prior_variables.columns]
+    grounded = claims.where("confidence_basis = 'process_priors'").select(*ID, F.explode("affected_variables").alias("variable")).join(prior_variables.select(*on).distinct(), on, "left_semi")
     grounded = grounded.join(unknown, "experiment_id", "left_anti").select(*ID).distinct().withColumn("__grounded", F.lit(True))
     down = (F.col("confidence_basis") == "process_priors") & F.col("__grounded").isNull()
     own = claims.join(grounded, ID, "left").withColumn("provenance_downgraded", down)
     return own.withColumn("confidence_basis", F.when(down, "schema_only").otherwise(F.col("confidence_basis"))).drop("__grounded")
 
 
-def resolve_priors(priors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Priors whose organism or alias holds the query, or the other way round, whatever the case.
+def resolve_priors(priors: DataFrame, queries: DataFrame, family: str | None = None, variable: str | None = None) -> DataFrame:
+    """Priors whose organism or alias holds the query, or the other way round, whatever the case; of one family and variable, if asked.
 
-    ``priors`` is a dimension of at most ``SMALL`` rows; distinct queries are held against it where they are.
+    Distinct queries are held against blocks of about ``SMALL`` priors, one after the other, where they are.
     """
-    if priors.count() > SMALL:
-        raise ValueError(f"more than {SMALL} priors")
-    q, name = F.lower("query"), F.lower("organism")
+    for name, value in (("family", family), ("variable", variable)):
+        if value is not None:
+            priors = priors.where(F.lower(name) == value.lower())
+    q, name, asked = F.lower("query"), F.lower("organism"), queries.select("query").distinct()
     alias = F.exists("aliases", lambda x: F.lower(x).contains(q) | q.contains(F.lower(x)))
-    return queries.select("query").distinct().join(F.broadcast(priors), name.contains(q) | q.contains(name) | alias)
+    blocks = max(1, -(-priors.count() // SMALL))
+    parts = [priors.where(F.pmod(F.xxhash64("organism", "variable"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [priors]
+    return reduce(DataFrame.unionByName, (asked.join(F.broadcast(p), name.contains(q) | q.contains(name) | alias) for p in parts))
+
+
+def organism_priors(priors: DataFrame, organisms: DataFrame) -> DataFrame:
+    """``experiment_id`` and the priors of its organism, from ``organisms(experiment_id, organism)``; none for a blank one."""
+    known = organisms.where("trim(organism) <> ''").select("experiment_id", F.col("organism").alias("query"))
+    return known.join(resolve_priors(priors, known), "query").drop("query")
 
 
 def fingerprint(candidates: DataFrame, registry: DataFrame, present: DataFrame) -> DataFrame:
@@ -85,14 +100,19 @@ def fingerprint(candidates: DataFrame, registry: DataFrame, present: DataFrame)
 
 
 def prior_violations(rows: DataFrame, priors: DataFrame) -> DataFrame:
-    """Rows outside the soft range of a prior for their variable."""
-    return rows.join(small(priors.select("variable", "low", "high")), "variable").where("value < low or value > high")
+    """Rows outside the soft range of a prior for their variable, and for their experiment where ``priors`` are those of ``organism_priors``."""
+    on = [c for c in ("experiment_id", "variable") if c in priors.columns]
+    return rows.join(priors.select(*on, "low", "high"), on).where("value < low or value > high")
 
 
 def score(claims: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Recall of each experiment: expectations that some claim meets in keywords, citations and confidence."""
-    e = expectations.select("experiment_id", "keywords", "must_cite", "min_confidence").withColumn("__id", F.hash("keywords", "must_cite", "min_confidence"))
-    c = claims.select("experiment_id", F.lower("summary").alias("summary"), "cited_finding_ids", "confidence").distinct()
-    hit = F.forall("keywords", lambda k: F.col("summary").contains(F.lower(k))) & (F.size(F.array_except("must_cite", "cited_finding_ids")) == 0) & (F.col("confidence") >= F.col("min_confidence"))
-    met = c.join(small(e), "experiment_id").where(hit).select("experiment_id", "__id").distinct().withColumn("met", F.lit(1.0))
+    """Recall of each experiment: expectations that some claim meets in keywords and citations, one of these in confidence, and of these each ``tags`` entry one by its ``domain_tags``."""
+    none = F.array().cast("array<string>")
+    tagged = "tags" in expectations.columns
+    e = expectations.select("experiment_id", "keywords", "must_cite", "min_confidence", F.coalesce("tags", none).alias("tags") if tagged else none.alias("tags"))
+    e = e.withColumn("__id", F.xxhash64("keywords", "must_cite", "min_confidence", "tags"))
+    c = claims.select("experiment_id", F.lower("summary").alias("summary"), "cited_finding_ids", "confidence", F.coalesce("domain_tags", none).alias("own_tags") if tagged else none.alias("own_tags")).distinct()
+    hit = F.forall("keywords", lambda k: F.col("summary").contains(F.lower(k))) & (F.size(F.array_except("must_cite", "cited_finding_ids")) == 0)
+    met = c.join(small(e), "experiment_id").where(hit).groupBy("experiment_id", "__id").agg(F.max(F.col("confidence") >= F.col("min_confidence")).alias("sure"), F.first("tags").alias("tags"), F.flatten(F.collect_set("own_tags")).alias("own_tags"))
+    met = met.where(F.col("sure") & (F.size(F.array_except("tags", "own_tags")) == 0)).select("experiment_id", "__id", F.lit(1.0).alias("met"))
     return e.join(met, ["experiment_id", "__id"], "left").groupBy("experiment_id").agg(F.count("*").alias("n_expected"), F.round(F.avg(F.coalesce("met", F.lit(0.0))), 4).alias("recall"))

@@ -42,7 +42,8 @@ def rollup(found: DataFrame, threshold: int = 100) -> DataFrame:
 def findings(candidates: DataFrame) -> DataFrame:
     """Numbered by severity, sigmas (rollups count as 0), run, time and variable."""
     order = [F.desc("severity_rank"), F.desc("order_sigmas"), F.col("run_id"), F.col("t_start"), F.col("variable"), F.col("observation_id")]
-    bucket = F.struct(-F.col("severity_rank"), -F.floor("order_sigmas"))
+    # hundredths of a sigma, rollups by run: no severity or range of sigmas is ordered in one task
+    bucket = F.struct(-F.col("severity_rank"), -F.floor(F.col("order_sigmas") * 100), F.when(F.col("order_sigmas") == 0, F.col("run_id")))
     out = number(candidates, order, ["experiment_id"], bucket)
     return out.withColumn("finding_id", F.format_string("F-%04d", "seq")).drop("order_sigmas")
 
@@ -99,12 +100,12 @@ def process_flags(rows: DataFrame, quality: DataFrame, coverage: DataFrame, fact
     return a.join(b, "experiment_id", "left").join(c, "experiment_id", "left").select("experiment_id", F.array_join(F.sort_array(F.array_compact(flags)), ",").alias("flags"))
 
 
-def filter_findings(found: DataFrame, run: str | None = None, variable: str | None = None, severity: str | None = None, limit: int = 100) -> DataFrame:
+def filter_findings(found: DataFrame, run: str | None = None, variable: str | None = None, severity: str | None = None, limit: int = 100, finding: str | None = None, tier: str | None = None) -> DataFrame:
     """The first ``limit`` findings of each experiment that fit, with their total.
 
     Totals are counted apart and joined, so that no experiment is gathered in one task for them.
     """
-    for name, value in (("run_id", run), ("variable", variable), ("severity", severity)):
+    for name, value in (("run_id", run), ("variable", variable), ("severity", severity), ("finding_id", finding), ("tier", tier)):
         if value is not None:
             found = found.where(F.col(name) == value)
     totals = found.groupBy("experiment_id").agg(F.count("*").alias("total"))

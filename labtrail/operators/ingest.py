@@ -63,12 +63,12 @@ def table_observations(cells: DataFrame, routed: DataFrame, runs: DataFrame) ->
     time_col = time_columns(cells)
     places = runs.select("table_id", F.col("col_idx").alias("run_col"), F.col("value").alias("run_value")).join(time_col, "table_id", "left")
     mapped = routed.where("route = 'mapped'").drop("raw_header", "route")
-    cells = cells.join(small(places), "table_id", "left")
+    cells = cells.join(places, "table_id", "left")
     of_row = cells.groupBy("table_id", "row_idx").agg(
         F.max(F.when(F.col("col_idx") == F.col("run_col"), S.run_id(F.col("raw_value")))).alias("cell_run"),
         F.max(F.when(F.col("col_idx") == F.col("time_col"), S.numeric(F.col("raw_value")))).alias("time_h"),
     )
-    own = drop_empty(cells).join(small(mapped), ["table_id", "col_idx"]).join(of_row, ["table_id", "row_idx"])
+    own = drop_empty(cells).join(mapped, ["table_id", "col_idx"]).join(of_row, ["table_id", "row_idx"])
     extraction = S.extraction_confidence(F.col("raw_value"), F.col("data_type"))
     return own.select(
         "table_id",
@@ -159,10 +159,31 @@ def residual(routed: DataFrame, cells: DataFrame) -> DataFrame:
     any_mapped = routed.groupBy("table_id").agg(F.bool_or(F.col("route") == "mapped").alias("any_mapped"))
     dim = routed.where("col_idx is not null").select("table_id", "col_idx", "route").join(any_mapped, "table_id")
     kind = F.when(F.col("any_mapped"), "tables_partial").otherwise("tables_unmapped")
-    own = cells.join(small(dim), ["table_id", "col_idx"], "left").where("route is null or route <> 'mapped' or not any_mapped")
+    own = cells.join(dim, ["table_id", "col_idx"], "left").where("route is null or route <> 'mapped' or not any_mapped")
     return own.select("table_id", "row_idx", "col_idx", "raw_header", "raw_value", kind.alias("kind"), F.coalesce("route", F.lit("no_mapping_returned")).alias("reason"))
 
 
+def residual_records(rest: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``kind, source, idx, content, reason``: whole rows of unmapped tables, unmapped columns of partly mapped ones, and all blocks of prose.
+
+    ``rest`` is ``residual``, ``blocks(doc_id, paragraph_idx, text)``. A row's cells are joined by ``|`` in their order, a
+    column stands by its number and header.
+    """
+    row = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "raw_value"))), lambda c: F.coalesce(c["raw_value"], F.lit("")))
+    rows = rest.where("kind = 'tables_unmapped'").groupBy("table_id", "row_idx").agg(F.array_join(row, "|").alias("content"), F.min("reason").alias("reason"))
+    columns = rest.where("kind = 'tables_partial'").groupBy("table_id", "col_idx").agg(F.max("raw_header").alias("content"), F.min("reason").alias("reason"))
+    out = rows.select(F.lit("tables_unmapped").alias("kind"), F.col("table_id").alias("source"), F.col("row_idx").cast("long").alias("idx"), "content", "reason")
+    out = out.unionByName(columns.select(F.lit("tables_partial").alias("kind"), F.col("table_id").alias("source"), F.col("col_idx").cast("long").alias("idx"), "content", "reason"))
+    return out.unionByName(blocks.select(F.lit("narrative").alias("kind"), F.col("doc_id").cast("string").alias("source"), F.col("paragraph_idx").cast("long").alias("idx"), F.col("text").alias("content"), F.lit("prose").alias("reason")))
+
+
+def experiment_residual(records: DataFrame, sources: DataFrame) -> DataFrame:
+    """Of each experiment the unmapped tables, the partly mapped ones and the blocks of prose; ``sources(source, experiment_id)``."""
+    own = records.join(sources, "source")
+    tables = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("source")))
+    return own.groupBy("experiment_id").agg(tables("tables_unmapped").alias("tables_unmapped"), tables("tables_partial").alias("tables_partial"), F.count_if(F.col("kind") == "narrative").alias("narrative_blocks"))
+
+
 def residual_counts(rest: DataFrame) -> DataFrame:
     return rest.groupBy("table_id", "kind", "reason").agg(F.count("*").alias("n"))
 

@@ -54,6 +54,13 @@ def pick_run_column(profile: DataFrame, exclude_time: bool = True) -> DataFrame:
     return own.groupBy("table_id").agg(best).select("table_id", "x.*")
 
 
+def rationale(resolved: DataFrame) -> DataFrame:
+    """``resolved`` with a sentence on why that run was taken."""
+    is_ = lambda s: F.col("strategy") == s
+    text = F.when(is_("manifest"), "the manifest lists it").when(is_("column"), F.concat(F.lit("column "), F.col("col_idx").cast("string"), F.lit(" looks like run names"))).when(is_("filename"), "the file name holds it").otherwise("nothing names it")
+    return resolved.withColumn("rationale", text)
+
+
 def resolve_runs(tables: DataFrame, picked: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """``tables(table_id, filename)`` with the first that is known of: manifest, column, file name, made-up name."""
     t = tables.join(picked.select("table_id", "col_idx", F.col("confidence").alias("of_column")), "table_id", "left")

@@ -35,8 +35,20 @@ def series_quality(points: DataFrame) -> DataFrame:
     return points.groupBy(*KEY).agg(share(F.col("observation_id").isNotNull()).alias("quality"), share(F.col("imputed")).alias("pct_imputed"), share(F.col("missing")).alias("pct_missing"))
 
 
+def units(rows: DataFrame) -> DataFrame:
+    """The unit of each series: that of its earliest row."""
+    return rows.groupBy(*KEY).agg(F.min_by("unit", F.struct("time_h", "observation_id")).alias("unit"))
+
+
+def available(points: DataFrame, run: str, variable: str) -> DataFrame:
+    """What ``timecourse`` has to offer where there is no such series: every pair of run and variable; nothing where there is."""
+    pairs = points.select(*KEY).distinct()
+    asked = pairs.where((F.col("run_id") == run) & (F.col("variable") == variable)).select("experiment_id").distinct()
+    return pairs.join(asked, "experiment_id", "left_anti")
+
+
 def trajectories(points: DataFrame) -> DataFrame:
-    """Arrays in time order, for export; the long form is what other operators read."""
+    """Arrays in time order, for export; the long form is what other operators read. ``units`` has their unit."""
     row = F.sort_array(F.collect_list(F.struct("grid_idx", "time_h", "value", "imputed", "observation_id")))
     t = points.groupBy(*KEY).agg(row.alias("x"))
     ids = F.filter(F.col("x.observation_id"), lambda i: i.isNotNull())

@@ -27,6 +27,20 @@ def contradictions(rows: DataFrame, dt: float, tolerance: float = 1e-3) -> DataF
     return own.where(~S.values_match(F.col("low"), F.col("high"), tolerance))
 
 
+def source_contradictions(rows: DataFrame, dt: float, tolerance: float = 1e-3) -> DataFrame:
+    """Points of a series where values of two different ``source``s disagree beyond ``tolerance``.
+
+    Each source counts by its extremes. If one source has both the lowest and the highest value of a point, the extremes
+    of the others are held against these.
+    """
+    point = [*KEY, "grid_idx"]
+    own = snap(rows, dt).groupBy(*point, "source").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    ends = own.groupBy(*point).agg(F.count("*").alias("n_sources"), F.min(F.struct("lo", "source")).alias("a"), F.max(F.struct("hi", "source")).alias("b")).where("n_sources > 1")
+    other = own.join(ends, point).groupBy(*point, "n_sources", "a", "b").agg(F.max(F.when(F.col("source") != F.col("a.source"), F.col("hi"))).alias("hi"), F.min(F.when(F.col("source") != F.col("b.source"), F.col("lo"))).alias("lo"))
+    apart = ~S.values_match(F.col("a.lo"), F.col("hi"), tolerance) | ~S.values_match(F.col("lo"), F.col("b.hi"), tolerance)
+    return other.where(apart).select(*point, "n_sources", F.col("a.lo").alias("low"), F.col("b.hi").alias("high"))
+
+
 def _pair(rows: DataFrame, dt: float, first: str, second: str) -> DataFrame:
     """Values ``a`` and ``b`` of two variables at one point of one run, from one grouping."""
     points = last_at_point(snap(rows.where(F.col("variable").isin(first, second)), dt))
@@ -66,6 +80,11 @@ def kinetic_fit(rows: DataFrame, window: float) -> DataFrame:
     return fit.where("n >= 3")
 
 
+def kinetic_anomalies(fit: DataFrame, specs: DataFrame) -> DataFrame:
+    """Fits whose slope leaves the range of ``specs(variable, slope_low, slope_high)``."""
+    return fit.join(specs, "variable").where("slope < slope_low or slope > slope_high").select(*KEY, "window_idx", "slope", "slope_low", "slope_high")
+
+
 def trend_direction(points: DataFrame, flat: float = 1e-3) -> DataFrame:
     """``oscillating`` where the rate changes sign in over half of its steps, else by the slope."""
     slope = points.where("observation_id is not null").groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.regr_slope("value", "time_h"), 6).alias("slope"))

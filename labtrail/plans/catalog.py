@@ -1,7 +1,7 @@
 """Queries and their SQL by name."""
 
-from labtrail.plans import analytics, ingest, integrity, products, scalars
+from labtrail.plans import analytics, ingest, integrity, products, rules, scalars
 
-PARTS = (analytics, ingest, integrity, products, scalars)
+PARTS = (analytics, ingest, integrity, products, scalars, rules)
 QUERIES: dict = {k: q for p in PARTS for k, q in p.QUERIES.items()}
 SQL: dict[str, str] = {k: q for p in PARTS for k, q in p.SQL.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,12 @@ DIMENSIONS = {
 DOSSIER = "experiment_id string, golden_columns map<string, struct<observations: array<struct<observation_id: string, run_id: string, time_h: double, value: double, unit: string>>>>"
 
 
-def load_dimension(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(DIMENSIONS[kind]).json(path)
+def load_dimension(spark: SparkSession, path: str | None, kind: str, variable: str | None = None, default: str | None = None) -> DataFrame:
+    """The file that is given, else the one that an environment variable names, else the default."""
+    found = path or (os.environ.get(variable) if variable else None) or default
+    if not found:
+        raise ValueError(f"no file for the {kind}")
+    return spark.read.schema(DIMENSIONS[kind]).json(found)
 
 
 def scan_delimited(spark: SparkSession, path: str, tabbed: bool | None = None) -> DataFrame:
@@ -58,6 +64,28 @@ def write_dossiers(obs: DataFrame, path: str, part_rows: int = 10_000) -> None:
     per.select("experiment_id", F.create_map("variable", F.struct("observations")).alias("golden_columns")).write.json(path)
 
 
+def write_extras(residual: DataFrame, source_files: DataFrame, path: str, part_rows: int = 10_000) -> None:
+    """The rest of the dossiers: JSON objects of an experiment and about ``part_rows`` of its residual records, or of its source files.
+
+    ``residual(experiment_id, kind, source, idx, content, reason)``, ``source_files(experiment_id, file_id, status)``.
+    """
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        row = F.struct(*(c for c in df.columns if c != "experiment_id"))
+        number_of = df.groupBy("experiment_id").agg(F.ceil(F.count("*") / part_rows).alias("__parts"))
+        dealt = df.join(number_of, "experiment_id").withColumn("__part", F.pmod(F.xxhash64(row), F.col("__parts")))
+        return dealt.groupBy("experiment_id", "__part").agg(F.sort_array(F.collect_list(row)).alias(name)).drop("__part")
+
+    parts(residual, "residual").unionByName(parts(source_files, "source_files"), allowMissingColumns=True).write.json(path)
+
+
+def read_extras(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Residual records and source files of dossiers."""
+    d = spark.read.schema("experiment_id string, residual array<struct<kind: string, source: string, idx: long, content: string, reason: string>>, source_files array<struct<file_id: string, status: string>>").json(path)
+    return d.select("experiment_id", F.inline("residual")), d.select("experiment_id", F.inline("source_files"))
+
+
 def write_points(points: DataFrame, path: str) -> None:
-    """The long series file, one folder for each experiment; imputed is 0 or 1, a missing value is empty."""
-    points.select(*KEY, "time_h", F.when(~F.isnan("value"), F.col("value")).alias("value"), F.col("imputed").cast("int").alias("imputed")).write.partitionBy("experiment_id").option("header", True).csv(path)
+    """The long series file, one folder for each experiment; imputed is 0 or 1, a missing value is empty, ``unit`` comes last where ``points`` have it."""
+    unit = [c for c in ("unit",) if c in points.columns]
+    points.select(*KEY, "time_h", F.when(~F.isnan("value"), F.col("value")).alias("value"), F.col("imputed").cast("int").alias("imputed"), *unit).write.partitionBy("experiment_id").option("header", True).csv(path)

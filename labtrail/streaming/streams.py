@@ -8,6 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from labtrail.operators import findings, summary
 
+#: Hexadecimal digits of the hash that partition the files already seen.
+PREFIX = 2
+
 
 def range_stream(observations: DataFrame, specs: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Violations of each run and variable in tumbling windows of ``event_time``; rows later than ``late`` are left out."""
@@ -18,16 +21,22 @@ def range_stream(observations: DataFrame, specs: DataFrame, late: str = "1 hour"
 def ingest_stream(files: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append files whose (experiment_id, content hash) ``target`` doesn't hold yet; runs over what is there, then ends.
 
-    A batch that runs again after a failure finds its rows in ``target`` and adds none twice.
+    A batch that runs again after a failure finds its rows in ``target`` and adds none twice. ``target`` is partitioned by
+    the first digits of the hash, and a batch reads the partitions of its own hashes alone.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         hashed = batch.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
         first = hashed.groupBy("experiment_id", "sha256").agg(F.min("file_id").alias("file_id"))
-        known = spark.read.schema(first.schema).option("recursiveFileLookup", "true").parquet(target) if _exists(spark, target) else None
-        fresh = first if known is None else first.join(known, ["experiment_id", "sha256"], "left_anti")
-        fresh.write.mode("append").parquet(target)
+        first = first.withColumn("prefix", F.substring("sha256", 1, PREFIX)).persist()
+        if _exists(spark, target):
+            own = [r["prefix"] for r in first.select("prefix").distinct().collect()]  # at most 16 ** PREFIX
+            known = spark.read.schema(first.schema).parquet(target).where(F.col("prefix").isin(own))
+            first.join(known, ["experiment_id", "sha256"], "left_anti").write.mode("append").partitionBy("prefix").parquet(target)
+        else:
+            first.write.partitionBy("prefix").parquet(target)
+        first.unpersist()
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

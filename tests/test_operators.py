@@ -175,3 +175,37 @@ def test_totals_of_findings_need_no_window(spark):
     got = findings.filter_findings(found, limit=3)
     assert values(got.select("seq", "total", "place", "truncated")) == [(k, 7, k, True) for k in (1, 2, 3)]
     assert "count(1) windowspec" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_priors_in_blocks(spark, monkeypatch):
+    rows = [(f"organism {k}", [f"alias{k}x"], "batch", "v") for k in range(60)]
+    priors = spark.createDataFrame(rows, "organism string, aliases array<string>, family string, variable string")
+    asked = spark.createDataFrame([("ORGANISM 7",), ("alias33x",), ("none",)], "query string")
+    whole = values(claims.resolve_priors(priors, asked, family="BATCH").select("query", "organism"))
+    monkeypatch.setattr(claims, "SMALL", 7)
+    assert values(claims.resolve_priors(priors, asked).select("query", "organism")) == whole == [("ORGANISM 7", "organism 7"), ("alias33x", "organism 33")]
+
+
+def test_contradictions_need_two_sources(spark):
+    rows = [("e", "r", "x", 1.0, v, s) for v, s in ((1.0, "a"), (9.0, "a"))]  # one source with itself
+    rows += [("e", "r", "y", 1.0, v, s) for v, s in ((1.0, "a"), (9.0, "a"), (9.0, "b"))]
+    rows += [("e", "r", "z", 1.0, v, s) for v, s in ((5.0, "a"), (5.0, "b"))]
+    df = spark.createDataFrame(rows, "experiment_id string, run_id string, variable string, time_h double, value double, source string")
+    assert values(trends.source_contradictions(df, 12.0)) == [("e", "r", "y", 0, 2, 1.0, 9.0)]
+
+
+def test_a_dimension_file_is_found_in_order(spark, tmp_path, monkeypatch):
+    for name in "abc":
+        (tmp_path / name).write_text(f'{{"table_id": "{name}", "run_id": "r"}}\n')
+    found = lambda path: files.load_dimension(spark, path, "manifest", "LABTRAIL_TEST_MANIFEST", str(tmp_path / "c")).first()["table_id"]
+    assert found(None) == "c"
+    monkeypatch.setenv("LABTRAIL_TEST_MANIFEST", str(tmp_path / "b"))
+    assert found(None) == "b" and found(str(tmp_path / "a")) == "a"
+    with pytest.raises(ValueError):
+        files.load_dimension(spark, None, "manifest")
+
+
+def test_superscripts_and_stuff_of_units(spark):
+    df = spark.createDataFrame([("g of dry cell weight/L",), ("m·s⁻¹²",), ("kg/m³",)], "unit string")
+    got = {r.unit: r.plain for r in units.normalize_chain(df, units.normalize_units).collect()}
+    assert got == {"g of dry cell weight/L": "g/L", "m·s⁻¹²": "m*s^-12", "kg/m³": "kg/m^3"}
