@@ -114,7 +114,7 @@ def _roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
 
 
-def _compare(least: float, tables: int):
+def _compare(least: float, tables: int, near: int):
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         """Links between two blocks of a hot cell: for each vector how many it has, counted in the first cell where a pair meets, and a relative."""
         cell, out = key[0], []
@@ -122,17 +122,18 @@ def _compare(least: float, tables: int):
             some = part.iloc[rows]
             x, rep, copies, block = unit(raw), some["rep"].to_numpy(), some["copies"].to_numpy(), some["block"].to_numpy()
             table, owner = int(some["table"].iat[0]), some["owner"].to_numpy()
-            marks = np.stack(list(some["marks"])).reshape(len(some), -1)
-            own, near = marks[:, :tables], marks[:, tables:].reshape(len(some), tables, -1)
-            look = np.concatenate([own[:, :, None], near], 2)
-            look = np.where(look == 0, 1, look)  # 0: not a hot cell
+            marks = np.zeros((len(some), tables * (1 + near)), np.int64)  # 0: not a hot cell
+            marks[np.repeat(np.arange(len(some)), some["ats"].map(len)), np.concatenate(list(some["ats"]))] = np.concatenate(list(some["hot"]))
+            own = marks[:, :tables]
+            look = np.concatenate([own[:, :, None], marks[:, tables:].reshape(len(some), tables, near)], 2)
+            look = np.where(look == 0, 1, look)
             left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
             root, others = np.arange(len(some)), np.zeros(len(some), np.int64)
             for lo in range(0, len(left), 128):
                 mine = left[lo : lo + 128]
-                near_by = x[mine] @ x[right].T
-                i, j = np.nonzero(near_by >= least - 1e-9)
-                close = near_by[i, j]
+                cosines = x[mine] @ x[right].T
+                i, j = np.nonzero(cosines >= least - 1e-9)
+                close = cosines[i, j]
                 i, j = mine[i], right[j]
                 keep = (owner[i] | owner[j]) & ((i < j) | (key[1] != key[2]))
                 i, j, close = i[keep], j[keep], close[keep]
@@ -161,25 +162,25 @@ def _compare(least: float, tables: int):
 def _hot_links(own: DataFrame, looks: DataFrame, hot: DataFrame, least: float, tables: int, near: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """``(a, b, n)`` of the hot cells, block by block, and ``(rep, owned, looked)``: the hot cells of each vector."""
     members = looks.join(F.broadcast(hot), "cell") if hot.count() <= 100_000 else looks.join(hot, "cell")
-    members = materialise(members.select("cell", "n", "rep", "at"), "hot-members")
-    at = F.map_from_entries(F.collect_list(F.struct("at", "cell")))
-    marks = members.groupBy("rep").agg(at.alias("m"), F.collect_list(F.when(F.col("at") < tables, F.col("cell"))).alias("owned"), F.collect_list("cell").alias("looked"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(tables * (1 + near) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    marks = materialise(marks.select("rep", "owned", "looked", every.alias("marks")), "hot-marks")
+    members = materialise(members.select("cell", "rep", "at"), "hot-members")
+    marks = members.groupBy("rep").agg(F.collect_list(F.struct("at", "cell")).alias("m"))
+    owned = F.transform(F.filter("m", lambda x: x["at"] < tables), lambda x: x["cell"])
+    marks = materialise(marks.select("rep", owned.alias("owned"), F.col("m.at").alias("ats"), F.col("m.cell").alias("hot")), "hot-marks")
+    members = members.join(members.groupBy("cell").agg(F.count("*").alias("n")), "cell")
     parts = F.ceil(F.col("n") / block_rows).cast("int")
     table = F.when(F.col("at") < tables, F.col("at")).otherwise(((F.col("at") - tables) / near).cast("int"))
     rows = members.select("cell", "rep", table.alias("table"), (F.col("at") < tables).alias("owner"), parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("block"))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda b: F.struct(F.least(b, "block").alias("p"), F.greatest(b, "block").alias("q")))
     rows = rows.withColumn("pair", F.explode(pair)).select("cell", "pair.p", "pair.q", "rep", "table", "owner", "block")
-    rows = rows.join(own.join(marks.select("rep", "marks"), "rep"), "rep")
-    return rows.groupBy("cell", "p", "q").applyInPandas(_compare(least, tables), "a long, b long, n long"), marks.select("rep", "owned", "looked")
+    rows = rows.join(own.join(marks.select("rep", "ats", "hot"), "rep"), "rep")
+    return rows.groupBy("cell", "p", "q").applyInPandas(_compare(least, tables, near), "a long, b long, n long"), marks.select("rep", "owned", F.col("hot").alias("looked"))
 
 
-def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3, scale: float = 3.0, probes: int = 2, seed: int = 11, hot_pairs: int = 1 << 20, block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3, scale: float = 3.0, probes: int = 2, seed: int = 11, hot_rows: int = 64, block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Links of distinct vectors ``(rep, copies, vec)`` whose cosine is at least ``least``, as far as the tables find them.
 
-    First ``(a, b)`` of the pairs that meet in cells of up to ``hot_pairs`` candidate pairs and in none of more. The hot
-    cells' pairs don't come one by one: they are verified in blocks of up to ``block_rows`` vectors, which give second
+    First ``(a, b)`` of the pairs that meet in cells of up to ``hot_rows`` own vectors and in none of more. The hot cells'
+    pairs don't come one by one: they are verified in blocks of up to ``block_rows`` vectors, which give second
     ``(a, b, n)``: n more links of a (those to copies counted each), b a vector that a is connected with.
     """
 
@@ -193,8 +194,8 @@ def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3,
 
     named = materialise(own.select("rep", "vec").mapInPandas(name, "rep long, s long, t long, cells array<long>"), "cells")
     looks = named.select("rep", "s", "t", F.posexplode("cells").alias("at", "cell"))
-    sizes = looks.groupBy("cell").agg(F.count_if(F.col("at") < tables).alias("n_own"), F.count("*").alias("n"))
-    hot = materialise(sizes.where(F.col("n_own") * F.col("n") > hot_pairs).select("cell", "n"), "hot-cells")
+    mine = named.select(F.explode(F.slice("cells", 1, tables)).alias("cell"))
+    hot = materialise(mine.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("cell"), "hot-cells")
     some_hot = not hot.isEmpty()
 
     index = looks.where(F.col("at") < tables).select(F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"), "cell")
@@ -203,6 +204,12 @@ def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3,
     look = looks.select(F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"), "cell")
     differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb")))
     met = index.join(look, "cell").where("a != b").where(differ <= sketch_limit(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    counted = own.sparkSession.createDataFrame([], "a long, b long, n long")
+    if some_hot:
+        counted, marks = _hot_links(own, looks, hot, least, tables, groups * probes, block_rows)
+        met = met.join(marks.toDF("a", "oa", "la"), "a", "left").join(marks.toDF("b", "ob", "lb"), "b", "left")
+        also_hot = F.arrays_overlap("oa", "lb") | F.arrays_overlap("ob", "la")
+        met = met.where(~F.coalesce(also_hot, F.lit(False))).select("a", "b")
     met = materialise(met, "met")
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,13 +221,7 @@ def links(own: DataFrame, least: float = 0.9, tables: int = 16, groups: int = 3,
 
     one = own.select(F.col("rep").alias("a"), F.col("vec").alias("va"))
     two = own.select(F.col("rep").alias("b"), F.col("vec").alias("vb"))
-    found = met.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInPandas(verify, "a long, b long")
-    if not some_hot:
-        return found, own.sparkSession.createDataFrame([], "a long, b long, n long")
-    counted, marks = _hot_links(own, looks, hot, least, tables, groups * probes, block_rows)
-    found = found.join(marks.toDF("a", "oa", "la"), "a", "left").join(marks.toDF("b", "ob", "lb"), "b", "left")
-    also_hot = F.arrays_overlap("oa", "lb") | F.arrays_overlap("ob", "la")
-    return found.where(~F.coalesce(also_hot, F.lit(False))).select("a", "b"), counted
+    return met.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInPandas(verify, "a long, b long"), counted
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, **options: float) -> DataFrame:
