@@ -172,9 +172,9 @@ def bootstrap(instances: DataFrame, rounds: int = 3, least_seeds: int = 5, confi
 
 
 def find(docs: DataFrame, **options: float) -> DataFrame:
-    """``doc_id, th, base, spans`` for each row of ``docs(doc_id, text)``; spans are (kind, start, end) in code points.
+    """``doc_id, th, base, more, spans`` for each row of ``docs(doc_id, text)``; spans are (kind, start, end) in code points.
 
-    ``base`` has the spans of the fixed formats, ``spans`` these and the discovered ones, by kind and start. Null texts are
+    ``base`` has the spans of the fixed formats, ``more`` the discovered ones, ``spans`` both, by kind and start. Null texts are
     empty and hold none. Repeated rows stay, with equal spans; nulls in doc_id stay; further columns are ignored; an empty
     table gives an empty table.
     """
@@ -183,8 +183,9 @@ def find(docs: DataFrame, **options: float) -> DataFrame:
     known = bootstrap(flat, **options)
     more = flat.where("not seed").join(known, ["kind", "value"]).groupBy("rid", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
     more = more.groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))
-    return rows.drop("found").join(more, "rid", "left").select("doc_id", "th", "base", spans.alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
+    out = rows.drop("found").join(more, "rid", "left").withColumn("more", F.coalesce("more", none))
+    return out.select("doc_id", "th", "base", "more", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
 def _listed(spans: str) -> F.Column:
@@ -196,25 +197,27 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in square brackets; overlapping spans as one, by the first's.
 
     All columns stay, whatever their names, and so do all rows, repeated ones too. Null texts stay null, empty ones empty; a
-    very long text is masked whole, in one row of one task. An empty table gives an empty table. Spans find their texts by a
-    128-bit digest.
+    very long text is masked whole, in one row of one task. An empty table gives an empty table. A text's own spans are found
+    where it is; only the discovered ones are joined, by a 128-bit digest of their text.
     """
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def mask(texts: pd.Series, more: pd.Series) -> pd.Series:
         out = []
-        for text, own in zip(texts, spans, strict=True):
-            if own is not None and len(own):
+        for text, found in zip(texts, more, strict=True):
+            own = [(a, -b, k) for k, a, b in base_spans(text)] if text else []
+            own += [(s["start"], -s["end"], s["kind"]) for s in found] if found is not None else []
+            if own:
                 parts, done = [], 0
-                for s in sorted(own, key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= done:
-                        parts += [text[done : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                    done = max(done, s["end"])
+                for start, end, kind in sorted(own):
+                    if start >= done:
+                        parts += [text[done:start], f"[{KINDS[kind].upper()}]"]
+                    done = max(done, -end)
                 text = "".join([*parts, text[done:]])
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    spans = find(docs).where("size(spans) > 0").groupBy("th").agg(F.first("spans").alias("__spans"))
+    spans = find(docs).where("size(more) > 0").groupBy("th").agg(F.first("more").alias("__spans"))
     spans = materialise(spans, "spans").withColumnRenamed("th", "__th")
     marked = docs.join(spans, F.md5(docs["text"]) == spans["__th"], "left")
     return marked.select(*(docs[c] if c != "text" else mask(docs["text"], spans["__spans"]).alias("text") for c in docs.columns))
