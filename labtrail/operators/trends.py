@@ -97,10 +97,10 @@ def trend_direction(points: DataFrame, flat: float = 1e-3) -> DataFrame:
 
 
 def cross_run_delta(rows: DataFrame) -> DataFrame:
-    """Each run's mean against the mean of all runs' means of the variable."""
+    """Each run's mean against the mean of all runs' means of the variable; halves are rounded as such, whatever the order of the sums."""
     runs = rows.groupBy(*KEY).agg(F.avg("value").alias("mean"))
     every = runs.groupBy("experiment_id", "variable").agg(F.avg("mean").alias("of_all"))
-    return runs.join(every, ["experiment_id", "variable"]).select(*KEY, F.round("mean", 4).alias("mean"), F.round(F.col("mean") - F.col("of_all"), 4).alias("delta"))
+    return runs.join(every, ["experiment_id", "variable"]).select(*KEY, F.round(F.round("mean", 9), 4).alias("mean"), F.round(F.round(F.col("mean") - F.col("of_all"), 9), 4).alias("delta"))
 
 
 def facts_graph(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
