@@ -117,3 +117,9 @@ def duplicate_ids(*collections: tuple[str, DataFrame]) -> DataFrame:
 def missing_references(references: DataFrame, known: DataFrame, id_column: str) -> DataFrame:
     """``references(experiment_id, label, <id>)`` whose id the experiment doesn't have."""
     return references.join(known.select("experiment_id", id_column).distinct(), ["experiment_id", id_column], "left_anti").select("experiment_id", "label", id_column)
+
+
+def missing_endpoints(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``kind, end, id`` of the ends of ``edges(kind, src, dst)`` that are no vertex; an end without id counts among them."""
+    ends = F.explode(F.array(*(F.struct(F.lit(e).alias("end"), F.col(e).alias("id")) for e in ("src", "dst"))))
+    return edges.select("kind", ends.alias("x")).select("kind", "x.*").join(vertices.select("id").distinct(), "id", "left_anti").select("kind", "end", "id")

@@ -80,6 +80,12 @@ def kinetic_fit(rows: DataFrame, window: float) -> DataFrame:
     return fit.where("n >= 3")
 
 
+def fit_evidence(rows: DataFrame, window: float) -> DataFrame:
+    """The observations behind each fit of ``kinetic_fit``: its key, ``window_idx`` and ``observation_id``."""
+    own = rows.where("value > 0").withColumn("window_idx", F.floor(F.col("time_h") / window).cast("int"))
+    return own.join(kinetic_fit(rows, window).select(*KEY, "window_idx"), [*KEY, "window_idx"], "left_semi").select(*KEY, "window_idx", "observation_id")
+
+
 def kinetic_anomalies(fit: DataFrame, specs: DataFrame) -> DataFrame:
     """Fits whose slope leaves the range of ``specs(variable, slope_low, slope_high)``."""
     return fit.join(specs, "variable").where("slope < slope_low or slope > slope_high").select(*KEY, "window_idx", "slope", "slope_low", "slope_high")

@@ -173,6 +173,26 @@ def c15_all_references(spark, d):
     return line.unionByName(asked)
 
 
+def c15_edges(spark, d):
+    """Ends of the graph's edges that are no vertex, where measurements of 200 and more are missing."""
+    vertices = trends.facts_graph(p._rows(spark, d).where("value < 200"))[0]
+    return checks.missing_endpoints(trends.facts_graph(p._rows(spark, d))[1], vertices)
+
+
+def c16_all_kinds(spark, d):
+    """Evidence of findings, deviations, series and fits that observations below 200 lack."""
+    rows, key = p._rows(spark, d), F.concat_ws("/", "run_id", "variable")
+    used = p._evidence(spark, d).select("experiment_id", F.col("finding_id").alias("label"), "observation_id")
+    others = (
+        (f.deviations(p._spec_rows(spark, d)), F.lit("deviation")),
+        (p._points(spark, d).where("observation_id is not null"), F.concat(F.lit("series "), key)),
+        (trends.fit_evidence(rows, 120.0), F.concat(F.lit("fit "), F.concat_ws("/", key, "window_idx"))),
+    )
+    for own, label in others:
+        used = used.unionByName(own.select("experiment_id", label.alias("label"), "observation_id"))
+    return checks.missing_references(used, rows.where("value < 200"), "observation_id")
+
+
 def d7_arrays(spark, d):
     """The arrays of each series, weighted by place so that order counts, and the unit of its earliest row."""
     rows = p._rows(spark, d, p.RUNS).withColumn("unit", F.concat(F.lit("u"), (F.substring("observation_id", 3, 9).cast("long") % 7).cast("string")))
@@ -249,6 +269,8 @@ QUERIES = {
     "c12_by_family": c12_by_family,
     "c14_hourly": c14_hourly,
     "c15_all_references": c15_all_references,
+    "c15_edges": c15_edges,
+    "c16_all_kinds": c16_all_kinds,
     "c17_narratives": c17_narratives,
     "c18_by_organism": c18_by_organism,
     "d2_with_files": d2_with_files,
@@ -296,6 +318,11 @@ SQL = {
     "c12_by_family": "SELECT DISTINCT 'E. COLI ' || c_mktsegment AS query, 'E. coli' AS organism, 'purchase' AS variable FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT DISTINCT 'baker', 'S. cerevisiae', 'click' FROM customer WHERE c_custkey % 3 = 1",
     "c14_hourly": _HOURLY + " SELECT * FROM asked",
     "c15_all_references": _HOURLY + " SELECT experiment_id, 'timeline' AS label, finding_id FROM found WHERE t_start IS NOT NULL AND seq % 2 = 0 UNION ALL SELECT experiment_id, 'question', first_finding FROM asked WHERE CAST(substr(first_finding, 3) AS BIGINT) % 2 = 0",
+    "c15_edges": p._BASE + " SELECT 'measured_on' AS kind, 'src' AS end, observation_id AS id FROM kept WHERE value >= 200 OR isnan(value) UNION ALL SELECT 'measures', 'src', observation_id FROM kept WHERE value >= 200 OR isnan(value)",
+    "c16_all_kinds": p._grid(p._EVID, p.RUNS) + """, fits AS (SELECT experiment_id, 'fit ' || run_id || '/' || variable || '/' || CAST(floor(time_h / 120) AS INTEGER) AS label, observation_id, count(*) OVER (PARTITION BY experiment_id, run_id, variable, floor(time_h / 120)) AS n FROM kept WHERE value > 0),
+ used AS (SELECT experiment_id, finding_id AS label, observation_id FROM evid UNION ALL SELECT experiment_id, 'deviation', observation_id FROM s WHERE expected IS NOT NULL AND expected_std_dev IS NOT NULL
+ UNION ALL SELECT experiment_id, 'series ' || run_id || '/' || variable, observation_id FROM points WHERE observation_id IS NOT NULL UNION ALL SELECT experiment_id, label, observation_id FROM fits WHERE n >= 3)
+ SELECT * FROM used WHERE observation_id NOT IN (SELECT observation_id FROM kept WHERE value < 200)""",
     "c17_narratives": _CLAIMS + " SELECT experiment_id, claim_id, coalesce(cited_narrative, (SELECT string_agg(narrative_id, '|' ORDER BY narrative_id) FROM nar WHERE nar.experiment_id = c2.experiment_id AND list_contains(vars, variable)), '') AS cited FROM c2",
     "c18_by_organism": _CLAIMS + _ORG + " SELECT experiment_id, claim_id, CASE WHEN down THEN 'schema_only' ELSE basis END AS confidence_basis, down AS provenance_downgraded FROM (SELECT *, basis = 'process_priors' AND NOT EXISTS (FROM pr WHERE pr.experiment_id = c2.experiment_id AND pr.variable = c2.variable) AS down FROM c2)",
     "d2_with_files": t._OBS + """, s AS (SELECT table_id, count(*) AS total, count(*) FILTER (combined_confidence >= 0.85) AS high_confidence, count(*) FILTER (needs_review) AS n_review, CAST(0 AS BIGINT) AS n_narrative, CAST(round_even(count(DISTINCT variable) * 100.0 / 4, 0) AS BIGINT) AS coverage_pct FROM obs GROUP BY 1),

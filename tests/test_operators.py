@@ -209,3 +209,15 @@ def test_superscripts_and_stuff_of_units(spark):
     df = spark.createDataFrame([("g of dry cell weight/L",), ("m·s⁻¹²",), ("kg/m³",)], "unit string")
     got = {r.unit: r.plain for r in units.normalize_chain(df, units.normalize_units).collect()}
     assert got == {"g of dry cell weight/L": "g/L", "m·s⁻¹²": "m*s^-12", "kg/m³": "kg/m^3"}
+
+
+def test_edges_need_both_ends(spark):
+    edges = spark.createDataFrame([("of", "a", "b"), ("of", "a", "c"), ("in", None, "b")], "kind string, src string, dst string")
+    vertices = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    assert sorted((tuple(r) for r in checks.missing_endpoints(edges, vertices).collect()), key=str) == [("in", "src", None), ("of", "dst", "c")]
+
+
+def test_fits_name_their_observations(spark):
+    rows = [("e", "r", "x", float(t), v, f"o{t}") for t, v in enumerate((1.0, 2.0, 0.0, 4.0, None, 8.0, 9.0))] + [("e", "r", "y", 0.0, 1.0, "o9")]
+    df = spark.createDataFrame(rows, "experiment_id string, run_id string, variable string, time_h double, value double, observation_id string")
+    assert values(trends.fit_evidence(df, 5.0)) == [("e", "r", "x", 0, "o0"), ("e", "r", "x", 0, "o1"), ("e", "r", "x", 0, "o3")]
