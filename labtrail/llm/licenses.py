@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labtrail.llm.common import table
+from labtrail.llm.common import materialise, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that always count, and the opening words of well-known notices. Fixed values.
@@ -115,7 +115,8 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, notices:
     templates += [(label, text, False) for label, text in (NOTICES if notices is None else notices)]
     if short := [t for _, t, _ in templates if len(re.findall(WORD, t.lower())) < k]:
         raise ValueError(f"fewer than {k} words: {short}")
-    found = diagonals(docs, templates, k)
+    # A few rows for each place, written so that the texts are cut into grams once and not once for each use.
+    found = materialise(diagonals(docs, templates, k), "diagonals")
     base = places(found, k).select("a", "b", F.lit(True).alias("whole"), "label", "start", F.lit(None).cast("int").alias("end"), F.lit(1.0).alias("share"))
     more = spans(found, k, slack).select("a", "b", F.lit(False).alias("whole"), "label", "start", "end", "share")
     good = F.col("share") >= share
