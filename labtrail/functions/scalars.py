@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,11 +167,70 @@ def confidence_basis(basis: Column) -> Column:
     return F.when(basis.isin("process_priors", "schema_only", "cross_run"), basis).otherwise("schema_only")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is written and evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _two_product(a: Column, b: Column) -> Column:
+    """The product as a double (p), and what it lacks of the exact one (e)."""
+    split = lambda v: (v * 134217729.0) - ((v * 134217729.0) - v)
+    parts = F.struct(a.alias("a"), b.alias("b"), (a * b).alias("p"), split(a).alias("x"), split(b).alias("y"))
+    return let(parts, lambda t: F.struct(t["p"].alias("p"), (((t["x"] * t["y"] - t["p"]) + t["x"] * (t["b"] - t["y"]) + (t["a"] - t["x"]) * t["y"]) + (t["a"] - t["x"]) * (t["b"] - t["y"])).alias("e")))
+
+
+def _far_powers() -> tuple[list[float], list[float], list[float]]:
+    """10**q from -340 to 320 as the sum of two doubles, and the power of two that these are scaled by to stay in range."""
+    out: tuple[list[float], list[float], list[float]] = ([], [], [])
+    for q in range(-340, 321):
+        shift = -600 if q > 150 else 600 if q < -150 else 0
+        exact = Fraction(10) ** q * Fraction(2) ** shift
+        for column, x in zip(out, (float(exact), float(exact - Fraction(float(exact))), 2.0**shift), strict=True):
+            column.append(x)
+    return out
+
+
+def _six_digits(m: Column) -> Column:
+    """Six digits (k) and the decimal exponent (e) of a positive number."""
+    text = lambda t: F.struct(F.replace(F.substring_index(t, "e", 1), F.lit("."), F.lit("")).cast("int").alias("digit"), F.substring_index(t, "e", -1).cast("int").alias("power"))
+    # Rounded up from a half of the shortest decimal, which may lie above the exact value: compared exactly with that half.
+    lower = lambda s: F.struct(s["digit"], s["power"], F.when(s["digit"] == 100_000, 999_999).otherwise(s["digit"] - 1).alias("down"), F.when(s["digit"] == 100_000, s["power"] - 1).otherwise(s["power"]).alias("below"))
+    tens = lambda q: F.pow(F.lit(10.0), F.least(F.greatest(q, F.lit(0)), F.lit(22)))
+
+    def choose(s: Column) -> Column:
+        half, q = (2 * s["down"] + 1).cast("double"), s["below"] - 5
+        high, low, shift = (F.get(F.array(*map(F.lit, c)), q + 340) for c in _far_powers())
+        far = let(F.struct(_two_product(half, high).alias("t"), low.alias("low"), (2 * (m * shift)).alias("own")), lambda t: ((t["own"] - t["t"]["p"]) - t["t"]["e"]) - half * t["low"])
+        up = let(_two_product(half, tens(q)), lambda t: (2 * m - t["p"]) - t["e"])
+        under = let(_two_product(2 * m, tens(-q)), lambda t: (t["p"] - half) + t["e"])
+        gap = F.when(F.abs(q) > 22, far).when(q >= 0, up).otherwise(under)
+        down = let(gap, lambda g: (g < 0) | ((g == 0) & (s["down"] % 2 == 0)))
+        return let(down, lambda d: F.struct(F.when(d, s["down"]).otherwise(s["digit"]).cast("string").alias("k"), F.when(d, s["below"]).otherwise(s["power"]).alias("e")))
+
+    return let(let(let(F.format_string("%.5e", m), text), lower), choose)
+
+
 def fmt_g(x: Column) -> Column:
-    """Six significant digits without zeros at the end, for magnitudes from 1e-4 up to 1e6."""
-    digits = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.abs(x))).cast("int"))
-    text = F.format_string("%.10f", F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
-    return F.when(x == 0, "0").otherwise(F.regexp_replace(text, r"\.?0+$", ""))
+    """Six significant digits without zeros at the end; an exponent below 1e-4 and from 1e6 on.
+
+    Digits are those of the exact value, a half goes to the even digit; numbers below 2.3e-308 have fewer digits.
+    """
+    short = lambda t: F.regexp_replace(t, r"\.?0*$", "")
+
+    def spelt(s: Column) -> Column:
+        k, e = s["k"], s["e"]
+        plain = F.when(e >= 0, F.concat(F.substr(k, F.lit(1), e + 1), F.lit("."), F.substr(k, e + 2, F.lit(6)))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), k))
+        tall = F.concat(short(F.concat(F.substring(k, 1, 1), F.lit("."), F.substring(k, 2, 5))), F.format_string("e%+03d", e))
+        return F.when(e.between(-4, 5), short(plain)).otherwise(tall)
+
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
+    body = lambda m: F.when(m == 0, "0").when(m == float("inf"), "inf").otherwise(let(_six_digits(m), spelt))
+    return F.when(F.isnan(x), "nan").otherwise(F.concat(sign, let(F.abs(x), body)))
+
+
+def ratio_half_up(a: Column, b: Column) -> Column:
+    """The whole number nearest to ``a / b`` of whole numbers, b positive, halves away from zero; it must fit a long."""
+    return F.signum(a.cast("double")).cast("long") * F.call_function("div", 2 * F.abs(a) + b, 2 * b)
 
 
 def finding_text(variable: Column, run: Column, value: Column, sigmas: Column) -> Column:

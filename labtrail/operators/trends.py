@@ -103,10 +103,18 @@ def trend_direction(points: DataFrame, flat: float = 1e-3) -> DataFrame:
 
 
 def cross_run_delta(rows: DataFrame) -> DataFrame:
-    """Each run's mean against the mean of all runs' means of the variable."""
-    runs = rows.groupBy(*KEY).agg(F.avg("value").alias("mean"))
-    every = runs.groupBy("experiment_id", "variable").agg(F.avg("mean").alias("of_all"))
-    return runs.join(every, ["experiment_id", "variable"]).select(*KEY, F.round("mean", 4).alias("mean"), F.round(F.col("mean") - F.col("of_all"), 4).alias("delta"))
+    """Each run's mean against the mean of all runs' means of the variable, to four places, halves away from zero.
+
+    Values are summed in whole millionths and means held in billionths, so that no order of summing changes a result;
+    a mean beyond 9e9 doesn't fit and fails.
+    """
+    whole = F.round(F.col("value") * 1e6).cast("decimal(38,0)")
+    runs = rows.groupBy(*KEY).agg(F.sum(whole).alias("s"), F.count("value").alias("n")).where("n > 0").select(*KEY, S.ratio_half_up(F.col("s") * 1000, F.col("n")).alias("m"))
+    every = runs.groupBy("experiment_id", "variable").agg(F.sum(F.col("m").cast("decimal(38,0)")).alias("of_all"), F.count("*").alias("runs"))
+    off = F.col("m").cast("decimal(38,0)") * F.col("runs") - F.col("of_all")
+    places = lambda a, b: S.ratio_half_up(a, b).cast("double") / 1e4
+    both = runs.join(every, ["experiment_id", "variable"])
+    return both.select(*KEY, places(F.col("m"), F.lit(100_000)).alias("mean"), places(off, F.col("runs") * 100_000).alias("delta"))
 
 
 def facts_graph(obs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,5 +3,16 @@
 from labtrail.plans import analytics, ingest, integrity, products, rules, scalars
 
 PARTS = (analytics, ingest, integrity, products, scalars, rules)
-QUERIES: dict = {k: q for p in PARTS for k, q in p.QUERIES.items()}
-SQL: dict[str, str] = {k: q for p in PARTS for k, q in p.SQL.items()}
+
+
+def _all(which: str) -> dict:
+    found: dict = {}
+    for part in PARTS:
+        if twice := found.keys() & getattr(part, which).keys():
+            raise ValueError(f"{which} named twice: {sorted(twice)}")
+        found |= getattr(part, which)
+    return found
+
+
+QUERIES: dict = _all("QUERIES")
+SQL: dict[str, str] = _all("SQL")

@@ -66,9 +66,8 @@ def c18_downgrade(spark, d):
 
 
 def c20_supported_facts(spark, d):
-    """The third word of a document, held against its own lines of at most 200 characters, as its SQL asks."""
-    facts, spans = _facts(spark, d)
-    return prose.supported_facts(facts, spans.where("length(span) <= 200"))
+    """The third word of a document, held against its own lines."""
+    return prose.supported_facts(*_facts(spark, d))
 
 
 def _facts(spark, d):
@@ -128,7 +127,6 @@ QUERIES = {
     "c17_backfill": lambda s, d: claims.backfill(_claims(s, d), p._rows(s, d)).select("experiment_id", "claim_id", F.array_join(F.transform("cited_trajectories", lambda x: F.concat_ws("/", x["run_id"], x["variable"])), "|").alias("cited")),
     "c18_downgrade": c18_downgrade,
     "c20_supported_facts": c20_supported_facts,
-    "c20_all_lines": lambda s, d: prose.supported_facts(*_facts(s, d)),
     "d18_duplicate_ids": d18_duplicate_ids,
     "v4_trajectories": v4_trajectories,
     "v5_findings": lambda s, d: checks.check_findings(p._findings(s, d)),
@@ -161,8 +159,7 @@ SQL = {
     "c16_all_evidence": p._EVID + " SELECT experiment_id, finding_id AS label, observation_id FROM evid WHERE observation_id NOT IN (SELECT observation_id FROM kept WHERE value < 200)",
     "c17_backfill": _CLAIMS + ", t AS (SELECT experiment_id, variable, string_agg(DISTINCT run_id || '/' || variable, '|' ORDER BY run_id || '/' || variable) AS every FROM kept GROUP BY ALL) SELECT experiment_id, claim_id, CASE WHEN by_series THEN run_id || '/' || variable WHEN cited IS NULL THEN every ELSE '' END AS cited FROM claims LEFT JOIN t USING (experiment_id, variable)",
     "c18_downgrade": _CLAIMS + ", g AS (SELECT *, basis = 'process_priors' AND NOT (variable IN ('click', 'view') AND experiment_id <> 'EXP-1') AS down FROM claims) SELECT experiment_id, claim_id, CASE WHEN down THEN 'schema_only' ELSE basis END AS confidence_basis, down AS provenance_downgraded FROM g",
-    "c20_supported_facts": "WITH f AS (SELECT doc_id, string_split(text, ' ')[3] AS value FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS span FROM documents) SELECT * FROM f WHERE length(value) > 0 AND EXISTS (FROM s WHERE s.doc_id = f.doc_id AND length(span) <= 200 AND contains(lower(span), lower(value)))",
-    "c20_all_lines": "WITH f AS (SELECT doc_id, string_split(text, ' ')[3] AS value FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS span FROM documents) SELECT * FROM f WHERE length(value) > 0 AND EXISTS (FROM s WHERE s.doc_id = f.doc_id AND contains(lower(span), lower(value)))",
+    "c20_supported_facts": "WITH f AS (SELECT doc_id, string_split(text, ' ')[3] AS value FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS span FROM documents) SELECT * FROM f WHERE length(value) > 0 AND EXISTS (FROM s WHERE s.doc_id = f.doc_id AND contains(lower(span), lower(value)))",
     "d18_duplicate_ids": "SELECT 'lineitem' AS collection, l_orderkey || '-' || l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'texts', sha256(text), count(*) FROM documents GROUP BY ALL HAVING count(*) > 1",
     "v4_trajectories": p._PTS + " SELECT experiment_id, run_id, variable, 'shares_add_up' AS rule FROM quality WHERE abs(quality + pct_imputed + pct_missing - 1) > 0.001",
     "v5_findings": p._FIND + " SELECT experiment_id, finding_id, 'confidence' AS rule FROM found WHERE confidence NOT BETWEEN 0 AND 1 UNION ALL SELECT experiment_id, finding_id, 'evidence' FROM found WHERE observation_id IS NULL",
@@ -180,7 +177,9 @@ SQL = {
  t AS (SELECT experiment_id, run_id, variable, CAST(sum(CASE WHEN turn THEN 1 ELSE 0 END) AS BIGINT) AS turns FROM (SELECT *, sign(rate) * sign(lag(rate) OVER (PARTITION BY experiment_id, run_id, variable ORDER BY grid_idx)) < 0 AS turn FROM r WHERE rate IS NOT NULL) GROUP BY ALL),
  s AS (SELECT experiment_id, run_id, variable, count(*) AS n, round(regr_slope(value, time_h), 6) AS slope FROM points WHERE observation_id IS NOT NULL GROUP BY ALL)
  SELECT experiment_id, run_id, variable, n, turns, slope, CASE WHEN turns * 2 > n - 2 THEN 'oscillating' WHEN abs(slope) <= 0.001 THEN 'plateau' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction FROM s JOIN t USING (experiment_id, run_id, variable) WHERE n >= 3""",
-    "l8_cross_run_delta": p._BASE + ", r AS (SELECT experiment_id, run_id, variable, avg(value) AS mean FROM kept GROUP BY ALL) SELECT experiment_id, run_id, variable, round(mean, 4) AS mean, round(mean - avg(mean) OVER (PARTITION BY experiment_id, variable), 4) AS delta FROM r",
+    "l8_cross_run_delta": p._BASE + """, r AS (SELECT experiment_id, run_id, variable, CAST(sum(CAST(round(value * 1e6) AS HUGEINT)) AS HUGEINT) AS s, count(*) AS n FROM kept GROUP BY ALL),
+ m AS (SELECT *, sign(s) * ((2000 * abs(s) + n) // (2 * n)) AS m FROM r), e AS (SELECT *, count(*) OVER w AS runs, m * count(*) OVER w - CAST(sum(m) OVER w AS HUGEINT) AS off FROM m WINDOW w AS (PARTITION BY experiment_id, variable))
+ SELECT experiment_id, run_id, variable, CAST(sign(m) * ((2 * abs(m) + 100000) // 200000) AS DOUBLE) / 1e4 AS mean, CAST(sign(off) * ((2 * abs(off) + 100000 * runs) // (200000 * runs)) AS DOUBLE) / 1e4 AS delta FROM e""",
     "l9_edges": p._BASE + " SELECT 'measured_on' AS kind, observation_id AS src, experiment_id || '/' || run_id AS dst FROM kept UNION ALL SELECT 'measures', observation_id, variable FROM kept",
     "l10_latest_ids": "SELECT event_id AS id, last_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS latest FROM events",
     "l11_relationship": _PAIR + " SELECT *, round(a / nullif(b, 0), 6) AS ratio FROM pair WHERE ratio < 0.2 OR ratio > 5",

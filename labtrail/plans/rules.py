@@ -243,10 +243,9 @@ def b17_by_tier(spark, d):
     return some.unionByName(f.filter_findings(own, finding="F-0002")).select("experiment_id", "finding_id", "place", "total", "truncated")
 
 
-def h15_texts(spark, d):
+def h15_series_texts(spark, d):
     own = series.series_quality(p._points(spark, d))
-    # numbers are compared as such, for halves may round either way as text
-    return own.select(*series.KEY, S.sampling_hint(F.col("variable")).alias("hint"), F.regexp_replace(S.caveat_text(F.col("pct_imputed")), "^[0-9]+", "n").alias("caveat"), F.regexp_replace(S.question_text(F.col("variable"), F.col("run_id"), F.col("pct_imputed")), " [0-9]+%", " n%").alias("question"))
+    return own.select(*series.KEY, S.caveat_text(F.col("pct_imputed")).alias("caveat"), S.question_text(F.col("variable"), F.col("run_id"), F.col("pct_imputed")).alias("question"))
 
 
 def j2_chain(spark, d):
@@ -261,7 +260,7 @@ QUERIES = {
     "a3_block_classes": lambda s, d: t._blocks(s, d).withColumn("block_class", S.block_class(F.when(F.length("text") < 60, "Section-Header").when(F.col("text").startswith("-"), "List-Item").otherwise("Text"))).groupBy("doc_id", "block_class").agg(F.count("*").alias("n")),
     "a7_units": a7_units,
     "a8_extras": a8_extras,
-    "a11_residual": lambda s, d: _records(s, d).select("kind", "source", "idx", "content"),
+    "a11_records": lambda s, d: _records(s, d).select("kind", "source", "idx", "content"),
     "b17_by_tier": b17_by_tier,
     "b19_available": lambda s, d: series.available(p._points(s, d), "RUN-none", "view"),
     "c9_citations": c9_citations,
@@ -279,7 +278,7 @@ QUERIES = {
     "d11_all_flags": d11_all_flags,
     "d14_all_stats": d14_all_stats,
     "h12_rationale": lambda s, d: runs.rationale(t._resolved(s, d)).select("table_id", "strategy", "rationale"),
-    "h15_texts": h15_texts,
+    "h15_series_texts": h15_series_texts,
     "j2_chain": j2_chain,
     "l2_by_source": lambda s, d: trends.source_contradictions(_sourced(s, d), 12.0),
     "l5_anomalies": l5_anomalies,
@@ -308,7 +307,7 @@ SQL = {
     "a3_block_classes": _RECORDS + " SELECT doc_id, CASE WHEN length(text) < 60 THEN 'heading' WHEN starts_with(text, '-') THEN 'list_item' ELSE 'paragraph' END AS block_class, count(*) AS n FROM blocks GROUP BY ALL",
     "a7_units": p._PTS + " SELECT experiment_id, run_id, variable, 'u' AS unit, count(*) AS n, CAST(sum(CAST(imputed AS INTEGER)) AS BIGINT) AS imputed FROM points GROUP BY ALL",
     "a8_extras": _RECORDS + " SELECT experiment_id, kind, source, idx FROM placed UNION ALL SELECT DISTINCT 'EXP-' || (length(table_id) % 2), 'file ok', table_id, CAST(NULL AS BIGINT) FROM cells",
-    "a11_residual": _RECORDS + " FROM records",
+    "a11_records": _RECORDS + " FROM records",
     "b17_by_tier": p._FIND + """, a AS (SELECT experiment_id, finding_id, CAST(row_number() OVER (PARTITION BY experiment_id ORDER BY seq) AS INTEGER) AS place, count(*) OVER (PARTITION BY experiment_id) AS total FROM found WHERE NOT aggregated AND severity = 'minor')
  SELECT *, total > 7 AS truncated FROM a WHERE place <= 7 UNION ALL SELECT experiment_id, finding_id, 1, 1, false FROM found WHERE finding_id = 'F-0002'""",
     "b19_available": p._PTS + " SELECT DISTINCT experiment_id, run_id, variable FROM points",
@@ -335,7 +334,7 @@ SQL = {
  SELECT x AS experiment_id, array_to_string(list_sort(list_filter([CASE WHEN low THEN 'LOW_QUALITY_TRAJECTORY' END, CASE WHEN n < 20 OR k % 5 = 0 OR v * 20 < 50 THEN 'SPARSE_DATA' END, CASE WHEN runs > 1 THEN 'MULTI_RUN' END, CASE WHEN bare * 2 > v THEN 'SPECS_MOSTLY_MISSING' END, CASE WHEN k % 3 = 0 THEN 'STALE_SCHEMA_OBSERVATIONS' END, CASE WHEN k % 4 = 0 THEN 'UNKNOWN_PROCESS' END, CASE WHEN k % 7 = 0 THEN 'UNKNOWN_ORGANISM' END], lambda y: y IS NOT NULL)), ',') AS flags FROM e LEFT JOIN w USING (x)""",
     "d14_all_stats": t._GATED + " SELECT doc_id, count(*) FILTER (verdict = 'ok' AND NOT had) AS kept, count(*) FILTER (verdict <> 'ok') AS rejected, count(*) FILTER (verdict = 'ok' AND had) AS deduped FROM (SELECT *, doc_id % 3 = 0 AND doc_id % 2 = 0 AS had FROM gated) GROUP BY 1",
     "h12_rationale": t._CELLS + t._PROFILE + " SELECT table_id, strategy, CASE strategy WHEN 'column' THEN 'column ' || col_idx || ' looks like run names' WHEN 'filename' THEN 'the file name holds it' ELSE 'nothing names it' END AS rationale FROM resolved",
-    "h15_texts": p._PTS + " SELECT experiment_id, run_id, variable, 'finer_' || variable || '_sampling' AS hint, 'n% of the series is carried forward' AS caveat, 'Is ' || variable || ' in ' || run_id || ' as it seems, with n% carried forward?' AS question FROM quality",
+    "h15_series_texts": p._PTS + " SELECT experiment_id, run_id, variable, CAST(round_even(pct_imputed * 100, 0) AS INTEGER) || '% of the series is carried forward' AS caveat, 'Is ' || variable || ' in ' || run_id || ' as it seems, with ' || CAST(round_even(pct_imputed * 100, 0) AS INTEGER) || '% carried forward?' AS question FROM quality",
     "j2_chain": """WITH u AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'OD600' WHEN 1 THEN 'g of ' || lower(p_brand) WHEN 2 THEN 'm\u00b2' WHEN 3 THEN 'flerbs' ELSE p_type END AS unit FROM part), k AS (SELECT unit, CASE WHEN unit = 'OD600' THEN 0 WHEN unit LIKE 'g of %' THEN 1 WHEN unit = 'm\u00b2' THEN 2 WHEN unit = 'flerbs' THEN 3 WHEN regexp_matches(unit, '[A-Za-z] [A-Za-z]') THEN 4 WHEN unit LIKE 'S%' THEN 5 ELSE 3 END AS k FROM u)
  SELECT unit, CASE WHEN k = 5 THEN 1 WHEN k <> 3 THEN 0 END AS step, CASE k WHEN 0 THEN 'dimensionless' WHEN 3 THEN 'unconvertible' ELSE 'rewrite' END AS action, CASE k WHEN 1 THEN 'g' WHEN 2 THEN 'm^2' WHEN 4 THEN replace(unit, ' ', '*') WHEN 5 THEN 'piece' END AS plain, CAST(CASE k WHEN 0 THEN 0.95 WHEN 3 THEN 0 WHEN 5 THEN 0.8 ELSE 0.85 END AS DOUBLE) AS confidence FROM k""",
     "l2_by_source": p._BASE + """, w AS (SELECT experiment_id, run_id, variable, CAST(floor(time_h / 12) AS INTEGER) AS grid_idx, CAST(substr(observation_id, 3) AS BIGINT) % 3 AS s, min(value) AS lo, max(value) AS hi FROM kept GROUP BY ALL),

@@ -13,7 +13,7 @@ from labtrail.sources import adapters as a
 
 #: Texts around a number, chosen by the order's key: plain, padded, signed, with an exponent, and what is none.
 SHAPES = ("{}", " {} ", "-{}", "{}e3", "1_{}", "{}d", "nan", "inf", "1e999", "", " x{} ")
-UNITS = ("mg/mL", "kg/m³", "g L^-1", "µg/mL of pellet", "OD600", "flerbs", "% w/w")
+UNITS = ("mg/mL", "kg/m³", "g L^-1", "µg/mL of {}", "OD600", "{}", "% w/w", "log CFU/mL ({})", "g·L⁻¹", "{}/{} of broth")
 FILES = ("in/data_R{}.csv", "experiment_{}.csv", "trial-{}.tsv", "EXP_2024_run{}.csv", "notes.csv", "a b {}!.csv")
 
 
@@ -48,7 +48,9 @@ def _lines(spark, d):
 
 
 def _unit_rows(spark, d):
-    return a.load(spark, d, "part").select(_chosen(UNITS, "p_partkey", "''").alias("unit")).distinct()
+    """Units as headers and tables hold them: of each brand and type, spelt in one of several ways."""
+    some = a.load(spark, d, "part").select(_chosen(UNITS, "p_partkey", "lower(p_brand)").alias("unit")).distinct()
+    return some.unionByName(a.load(spark, d, "part").select(F.col("p_type").alias("unit")).distinct())
 
 
 def h9_synthetic_run(spark, d):
@@ -66,9 +68,21 @@ def h7_values_match(spark, d):
     return _lines(spark, d).select("l_orderkey", "l_linenumber", S.values_match(F.col("l_extendedprice"), other).alias("same"))
 
 
+#: Over the whole range of doubles.
+SCALES = (1e-300, 1e-30, 1e-12, 1e-8, 1e-3, 1e5, 1e9, 1e16, 1e80, 1e295)
+
+
+def h14_fmt_g(spark, d):
+    """Prices, seven digits that may end in 5 among them, the same of either sign from 1e-297 to 1e300, and products near zero."""
+    scale = F.get(F.array(*(F.lit(x) for x in SCALES)), (F.col("l_orderkey") % len(SCALES)).cast("int"))
+    scaled = F.when(F.col("l_linenumber") % 2 == 1, -1).otherwise(1) * F.col("l_extendedprice") * scale
+    texts = [S.fmt_g(x).alias(n) for n, x in (("price", F.col("l_extendedprice")), ("scaled", scaled), ("small", F.col("l_discount") * (F.col("l_tax") - 0.04)))]
+    return _lines(spark, d).select("l_orderkey", "l_linenumber", *texts)
+
+
 def h15_texts(spark, d):
     v = p._violations(spark, d)
-    return v.select("experiment_id", "observation_id", S.finding_text(F.col("variable"), F.col("run_id"), F.floor("value").cast("double"), F.floor(F.abs("sigmas")).cast("double")).alias("summary"), S.sampling_hint(F.col("variable")).alias("hint"))
+    return v.select("experiment_id", "observation_id", S.finding_text(F.col("variable"), F.col("run_id"), F.col("value"), F.col("sigmas")).alias("summary"), S.sampling_hint(F.col("variable")).alias("hint"))
 
 
 def h19_organism(spark, d):
@@ -103,7 +117,7 @@ QUERIES = {
     "h10_score_columns": lambda s, d: runs.score_columns(runs.profile_columns(t._cells(s, d))).select("table_id", "col_idx", "score", "confidence"),
     "h11_id_shaped": lambda s, d: runs.profile_columns(t._cells(s, d)).select("table_id", "col_idx", runs.id_shaped().alias("shaped")),
     "h13_time_columns": lambda s, d: g.time_columns(g.headers(t._cells(s, d))),
-    "h14_fmt_g": lambda s, d: a.load(s, d, "part").select("p_partkey", S.fmt_g(F.col("p_retailprice")).alias("price")),
+    "h14_fmt_g": h14_fmt_g,
     "h15_texts": h15_texts,
     "h16_organism_matches": lambda s, d: a.load(s, d, "part").select("p_partkey", S.organism_matches(F.substring("p_name", 1, 3), F.concat("p_type", F.lit(" Red"))).alias("same")),
     "h18_numeric": lambda s, d: _raws(s, d).select("o_orderkey", S.numeric(F.col("raw")).isNotNull().alias("is_number")),
@@ -130,7 +144,10 @@ SQL = {
     "b21_clamp": _RAWS + " SELECT o_orderkey, CAST(least(0.85, coalesce(TRY_CAST(CASE WHEN regexp_full_match('0.' || raw, '0\\.\\d*(e\\d+)?\\s*') THEN trim('0.' || raw) END AS DOUBLE), 0.6)) AS DOUBLE) AS narrative, CAST(greatest(0, least(0.85, coalesce(x, 0))) AS DOUBLE) AS claim FROM n",
     "h1_normalize_header": _HEADS + " SELECT p_partkey, CASE p_partkey % 6 WHEN 5 THEN lower(p_name) || ' (' ELSE lower(p_name) END AS name FROM heads",
     "h2_extract_unit": _HEADS + " SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_brand WHEN 1 THEN p_brand WHEN 2 THEN 'a) (' || p_brand END AS unit FROM heads",
-    "h3_normalize_units": "SELECT * FROM (VALUES ('mg/mL', 'unconvertible', NULL, 0::DOUBLE), ('kg/m³', 'rewrite', 'kg/m^3', 0.85::DOUBLE), ('g L^-1', 'rewrite', 'g*L^-1', 0.85::DOUBLE), ('µg/mL of pellet', 'rewrite', 'µg/mL', 0.85::DOUBLE), ('OD600', 'dimensionless', NULL, 0.95::DOUBLE), ('flerbs', 'unconvertible', NULL, 0::DOUBLE), ('% w/w', 'dimensionless', NULL, 0.95::DOUBLE)) u(unit, action, plain, confidence) WHERE unit IN (SELECT " + _chosen_sql(UNITS, "p_partkey", "''") + " FROM part)",
+    "h3_normalize_units": "WITH u AS (SELECT DISTINCT " + _chosen_sql(UNITS, "p_partkey", "lower(p_brand)") + """ AS unit FROM part UNION SELECT p_type FROM part),
+ k AS (SELECT unit, CASE WHEN unit IN ('OD600', '% w/w') OR unit LIKE 'log CFU/mL (%' THEN 0 WHEN unit LIKE '% of %' OR unit IN ('kg/m³', 'g L^-1', 'g·L⁻¹') OR regexp_matches(unit, '[A-Za-z] [A-Za-z]') THEN 1 ELSE 2 END AS k FROM u)
+ SELECT unit, CASE k WHEN 0 THEN 'dimensionless' WHEN 1 THEN 'rewrite' ELSE 'unconvertible' END AS action, CASE WHEN k <> 1 THEN NULL WHEN unit LIKE '% of %' THEN string_split(unit, ' of ')[1]
+   WHEN unit = 'kg/m³' THEN 'kg/m^3' WHEN unit = 'g L^-1' THEN 'g*L^-1' WHEN unit = 'g·L⁻¹' THEN 'g*L^-1' ELSE replace(unit, ' ', '*') END AS plain, CAST(CASE k WHEN 0 THEN 0.95 WHEN 1 THEN 0.85 ELSE 0 END AS DOUBLE) AS confidence FROM k""",
     "h5_value_forms": "SELECT l_orderkey, l_linenumber, concat_ws('|', q, q || '.0', q || '.00', q || '.000') AS forms FROM (SELECT *, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem)",
     "h7_values_match": "SELECT l_orderkey, l_linenumber, abs(x - y) / greatest(abs(x), abs(y), 1.0) <= CAST(0.001 AS DOUBLE) AS same FROM (SELECT *, l_extendedprice AS x, l_extendedprice * (1 + l_linenumber * CAST(0.0003 AS DOUBLE)) AS y FROM lineitem)",
     "h8_run_from_filename": _FILES + " SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN 'RUN-2024' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE printf('RUN-%04d', p_size) END AS run FROM files",
@@ -138,8 +155,8 @@ SQL = {
     "h10_score_columns": t._CELLS + t._PROFILE + " SELECT table_id, col_idx, score, least(CAST(0.95 AS DOUBLE), CAST(0.5 AS DOUBLE) + score / 10) AS confidence FROM scored",
     "h11_id_shaped": t._CELLS + t._PROFILE + " SELECT table_id, col_idx, n_decimal < greatest(1, n_distinct // 2) AND (all_runs OR (longest <= 20 AND longest - shortest <= 4)) AS shaped FROM prof",
     "h13_time_columns": t._CELLS + " SELECT table_id, min(col_idx) AS time_col FROM cells WHERE lower(trim(raw_header)) = 'time (h)' GROUP BY 1",
-    "h14_fmt_g": "SELECT p_partkey, printf('%g', p_retailprice) AS price FROM part",
-    "h15_texts": p._VIOL + " SELECT experiment_id, observation_id, variable || ' in ' || run_id || ': ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ', ' || CAST(CAST(floor(abs(sigmas)) AS BIGINT) AS VARCHAR) || ' standard deviations off' AS summary, 'finer_' || variable || '_sampling' AS hint FROM viol",
+    "h14_fmt_g": "SELECT l_orderkey, l_linenumber, printf('%g', l_extendedprice) AS price, printf('%g', CASE l_linenumber % 2 WHEN 1 THEN -1 ELSE 1 END * l_extendedprice * list_extract([1e-300, 1e-30, 1e-12, 1e-8, 1e-3, 1e5, 1e9, 1e16, 1e80, 1e295]::DOUBLE[], CAST(l_orderkey % 10 AS INTEGER) + 1)) AS scaled, printf('%g', l_discount * (l_tax - 0.04::DOUBLE)) AS small FROM lineitem",
+    "h15_texts": p._VIOL + " SELECT experiment_id, observation_id, variable || ' in ' || run_id || ': ' || printf('%g', value) || ', ' || printf('%g', abs(sigmas)) || ' standard deviations off' AS summary, 'finer_' || variable || '_sampling' AS hint FROM viol",
     "h16_organism_matches": "SELECT p_partkey, contains(lower(p_type || ' Red'), lower(substr(p_name, 1, 3))) AS same FROM part",
     "h18_numeric": _RAWS + " SELECT o_orderkey, x IS NOT NULL AS is_number FROM n",
     "h19_organism": "SELECT p_partkey, CASE WHEN p_partkey % 2 <> 0 THEN p_name WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END AS organism FROM part",

@@ -33,4 +33,5 @@ def differences(df, con, sql):
     a, b = rows(mine, df.collect()), rows(theirs, rel.fetchall())
     if a == b:
         return ""
-    return f"{len(a)} and {len(b)} rows; {[x for x in a if x not in set(b)][:2]} and {[x for x in b if x not in set(a)][:2]}"
+    own, other = set(a), set(b)
+    return f"{len(a)} and {len(b)} rows; {[x for x in a if x not in other][:2]} and {[x for x in b if x not in own][:2]}"

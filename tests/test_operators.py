@@ -1,5 +1,8 @@
 """Operators on small inputs whose results are known."""
 
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +224,27 @@ def test_fits_name_their_observations(spark):
     rows = [("e", "r", "x", float(t), v, f"o{t}") for t, v in enumerate((1.0, 2.0, 0.0, 4.0, None, 8.0, 9.0))] + [("e", "r", "y", 0.0, 1.0, "o9")]
     df = spark.createDataFrame(rows, "experiment_id string, run_id string, variable string, time_h double, value double, observation_id string")
     assert values(trends.fit_evidence(df, 5.0)) == [("e", "r", "x", 0, "o0"), ("e", "r", "x", 0, "o1"), ("e", "r", "x", 0, "o3")]
+
+
+def test_six_digits_of_the_whole_range(spark):
+    draw = random.Random(3)
+    xs = [0.0, -0.0, 1e-4, 9.999995e-5, 999999.5, 100000.5, 33333.35, 123.4375, 1e300, -1e-300, float("nan"), float("inf"), float("-inf")]
+    xs += [draw.choice([-1, 1]) * draw.random() * 10.0 ** draw.randint(-300, 300) for _ in range(1000)]
+    xs += [float(f"{draw.randint(100000, 999999)}5e{draw.randint(-305, 300)}") for _ in range(1000)]
+    found = spark.createDataFrame([(x,) for x in xs], "x double").select("x", S.fmt_g(F.col("x"))).collect()
+    assert [(r[0], r[1]) for r in found if r[1] != f"{r[0]:g}"] == []
+
+
+def test_run_deltas_do_not_depend_on_the_order_of_rows(spark):
+    draw = random.Random(3)
+    rows = [("E", f"R{i % 3}", "v", round(draw.uniform(-60, 60), 4)) for i in range(400)] + [("E", "R9", "v", None)]
+    seen = set()
+    for n in (1, 3, 7):
+        draw.shuffle(rows)
+        df = spark.createDataFrame(rows, "experiment_id string, run_id string, variable string, value double").repartition(n)
+        seen.add(tuple(sorted(map(tuple, trends.cross_run_delta(df).collect()))))
+    exact = {r: [Fraction(str(v)) for _, q, _, v in rows if q == r and v is not None] for r in ("R0", "R1", "R2")}
+    means = {r: sum(v) / len(v) for r, v in exact.items()}
+    assert len(seen) == 1
+    for _, run, _, mean, delta in seen.pop():
+        assert abs(means[run] - Fraction(str(mean))) <= Fraction(50001, 10**9) and abs(means[run] - sum(means.values()) / 3 - Fraction(str(delta))) <= Fraction(50002, 10**9)
