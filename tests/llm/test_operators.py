@@ -334,6 +334,29 @@ def test_votes_of_all_that_are_as_near_as_the_last():
     assert quality._vote(model, np.array([[2, 0], [0, 0], [-1, -1]], np.float32), 2).tolist() == [1 / 3, 0.5, 0.5]
 
 
+def test_deep_urls_cost_no_more_than_flat_ones(spark):
+    deep = "/".join(f"part{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(30))
+    bad = [(i, f"http://spam.org/{deep}/{'abc'[i % 3]}") for i in range(40)]
+    mixed = [(100 + i, f"http://mixed.org/{deep}/m/{'n' if i < 30 else 'o'}/{chr(97 + i % 7)}") for i in range(60)]
+    pages = spark.createDataFrame([*bad, *mixed], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 0) for i, _ in bad] + [(i, int(i >= 130), 0) for i, _ in mixed], "doc_id long, quality int, toxic int")
+    rules = {tuple(r["items"]): r["confidence"] for r in url_filter.mine(pages, labels).collect()}
+    assert rules == {("h1:spam",): 1.0, ("p:n",): 1.0}
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, labels).collect()}
+    assert [i for i, v in verdicts.items() if v == "block"] and all((v == "block") == (i < 130) for i, v in verdicts.items())
+
+
+def test_a_combination_fits_by_any_of_the_items_that_always_occur_together(spark):
+    ways = [("http://a.b/one/two", 0), ("http://c.d/one/two", 1), ("http://a.b/three/two", 1)]
+    pages = [(i, ways[i % 3][0]) for i in range(90)]
+    labels = spark.createDataFrame([(i, ways[i % 3][1], 0) for i, _ in pages], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([*pages, (900, "http://x.b/one"), (901, "http://a.q/one"), (902, "http://x.q/one")], "page_id long, url string")
+    rules = {tuple(r["items"]) for r in url_filter.mine(pages, labels).collect()}
+    assert rules == {("h0:b", "p:one"), ("h1:a", "p:one")}
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, labels).where("page_id >= 900").collect()}
+    assert verdicts == {900: "block", 901: "block", 902: "allow"}
+
+
 def test_url_host_path_and_rule_equal_their_sql(spark, sf_dir):
     big = sf_dir.replace("0.001", "0.1")
     got = url_filter.judge(table(spark, big, "pages"), table(spark, big, "labels"))
