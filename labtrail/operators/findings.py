@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
-from labtrail.operators.numbering import number
+from labtrail.operators.numbering import number_by_range
+from labtrail.operators.scans import LENGTH, neighbour, stretches
 
 GROUP = ["experiment_id", "run_id", "variable"]
 
@@ -42,9 +43,7 @@ def rollup(found: DataFrame, threshold: int = 100) -> DataFrame:
 def findings(candidates: DataFrame) -> DataFrame:
     """Numbered by severity, sigmas (rollups count as 0), run, time and variable."""
     order = [F.desc("severity_rank"), F.desc("order_sigmas"), F.col("run_id"), F.col("t_start"), F.col("variable"), F.col("observation_id")]
-    # hundredths of a sigma, rollups by run: no severity or range of sigmas is ordered in one task
-    bucket = F.struct(-F.col("severity_rank"), -F.floor(F.col("order_sigmas") * 100), F.when(F.col("order_sigmas") == 0, F.col("run_id")))
-    out = number(candidates, order, ["experiment_id"], bucket)
+    out = number_by_range(candidates, order, ["experiment_id"])
     return out.withColumn("finding_id", F.format_string("F-%04d", "seq")).drop("order_sigmas")
 
 
@@ -55,10 +54,14 @@ def evidence(found: DataFrame, rows: DataFrame) -> DataFrame:
     return single.unionByName(many.select("experiment_id", "finding_id", "observation_id"))
 
 
-def timeline(found: DataFrame) -> DataFrame:
-    """Findings in time order; lag to the run's next event in seconds, null where it isn't positive."""
-    own = number(found.where("t_start is not null").drop("seq"), [F.col("t_start"), F.desc("severity_rank"), F.col("run_id"), F.col("variable"), F.col("finding_id")], ["experiment_id"], F.floor("t_start"))
-    gap = F.round((F.lead("t_start").over(W.partitionBy("experiment_id", "run_id").orderBy("seq")) - F.col("t_start")) * 3600, 6)
+def timeline(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Findings in time order; lag to the run's next event in seconds, null where it isn't positive.
+
+    A run's events are read in stretches of ``length`` places of the experiment's order.
+    """
+    own = number_by_range(found.where("t_start is not null").drop("seq"), [F.col("t_start"), F.desc("severity_rank"), F.col("run_id"), F.col("variable"), F.col("finding_id")], ["experiment_id"])
+    own = neighbour(own, ["experiment_id", "run_id"], "seq", stretches("seq", length), ["t_start"], "after", following=True)
+    gap = F.round((F.col("after.t_start") - F.col("t_start")) * 3600, 6)
     return own.withColumn("lag_s", F.when(gap > 0, gap)).select("experiment_id", "seq", "finding_id", "run_id", "variable", "t_start", "severity", "lag_s")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labtrail.operators.scans import LENGTH, carried, neighbour, stretches
+
 KEY = ["experiment_id", "run_id", "variable"]
 
 
@@ -19,15 +21,18 @@ def last_at_point(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY, "grid_idx").agg(last).select(*KEY, "grid_idx", "x.*")
 
 
-def grid_points(rows: DataFrame, dt: float, end: float) -> DataFrame:
-    """Every grid point of every series; values are carried forward over gaps, what comes before the first is missing."""
+def grid_points(rows: DataFrame, dt: float, end: float, length: int = LENGTH) -> DataFrame:
+    """Every grid point of every series; values are carried forward over gaps, what comes before the first is missing.
+
+    They are carried inside stretches of ``length`` points and from one stretch to the next, so no series is one task.
+    """
     real = last_at_point(snap(rows, dt))
     n = int(round(end / dt))
     points = real.select(*KEY).distinct().withColumn("grid_idx", F.explode(F.sequence(F.lit(0), F.lit(n))))
     points = points.join(real, [*KEY, "grid_idx"], "left")
-    so_far = W.partitionBy(*KEY).orderBy("grid_idx").rowsBetween(W.unboundedPreceding, 0)
-    carried = F.last("value", ignorenulls=True).over(so_far)
-    return points.select(*KEY, "grid_idx", F.round(F.col("grid_idx") * F.lit(dt), 6).alias("time_h"), carried.alias("value"), (F.col("value").isNull() & carried.isNotNull()).alias("imputed"), carried.isNull().alias("missing"), "observation_id")
+    points = carried(points, KEY, "grid_idx", stretches("grid_idx", length), "value", "known")
+    known = F.col("known")
+    return points.select(*KEY, "grid_idx", F.round(F.col("grid_idx") * F.lit(dt), 6).alias("time_h"), known.alias("value"), (F.col("value").isNull() & known.isNotNull()).alias("imputed"), known.isNull().alias("missing"), "observation_id")
 
 
 def series_quality(points: DataFrame) -> DataFrame:
@@ -56,12 +61,10 @@ def trajectories(points: DataFrame) -> DataFrame:
     return t.select(*KEY, F.col("x.time_h").alias("time_grid"), F.col("x.value").alias("values"), F.col("x.imputed").alias("imputation_flags"), ids.alias("source_observation_ids"), method.alias("imputation_method"))
 
 
-def rates(points: DataFrame) -> DataFrame:
-    """First differences over time between real points."""
-    real = points.where("observation_id is not null")
-    w = W.partitionBy(*KEY).orderBy("grid_idx")
-    step = F.col("time_h") - F.lag("time_h").over(w)
-    return real.select(*KEY, "grid_idx", ((F.col("value") - F.lag("value").over(w)) / step).alias("rate"))
+def rates(points: DataFrame, length: int = LENGTH) -> DataFrame:
+    """First differences over time between real points, in stretches of ``length`` grid points."""
+    real = neighbour(points.where("observation_id is not null"), KEY, "grid_idx", stretches("grid_idx", length), ["time_h", "value"], "before")
+    return real.select(*KEY, "grid_idx", ((F.col("value") - F.col("before.value")) / (F.col("time_h") - F.col("before.time_h"))).alias("rate"))
 
 
 def timecourse(points: DataFrame, run: str, variable: str, lo: float, hi: float, k: int = 100) -> DataFrame:

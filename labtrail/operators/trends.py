@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
+from labtrail.operators.scans import neighbour, stretches
 from labtrail.operators.series import KEY, last_at_point, rates, snap
 from labtrail.sources.shared import written
 
@@ -94,8 +95,8 @@ def kinetic_anomalies(fit: DataFrame, specs: DataFrame) -> DataFrame:
 def trend_direction(points: DataFrame, flat: float = 1e-3) -> DataFrame:
     """``oscillating`` where the rate changes sign in over half of its steps, else by the slope."""
     slope = points.where("observation_id is not null").groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.regr_slope("value", "time_h"), 6).alias("slope"))
-    w = W.partitionBy(*KEY).orderBy("grid_idx")
-    r = rates(points).where("rate is not null").withColumn("turn", (F.signum("rate") * F.signum(F.lag("rate").over(w)) < 0).cast("int"))
+    r = neighbour(rates(points).where("rate is not null"), KEY, "grid_idx", stretches("grid_idx"), ["rate"], "before")
+    r = r.withColumn("turn", (F.signum("rate") * F.signum("before.rate") < 0).cast("int"))
     turns = r.groupBy(*KEY).agg(F.sum(F.coalesce("turn", F.lit(0))).alias("turns"))
     own = slope.where("n >= 3").join(turns, KEY)
     label = F.when(F.col("turns") * 2 > F.col("n") - 2, "oscillating").when(F.abs("slope") <= flat, "plateau").when(F.col("slope") > 0, "increasing").otherwise("decreasing")

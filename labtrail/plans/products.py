@@ -125,10 +125,10 @@ def g4_missing_variables(spark, d):
 
 
 def n1_number(spark, d):
-    """Order lines in the order of their dates, numbered for each flag; days are the buckets."""
+    """Order lines in the order of their dates, numbered for each flag."""
     own = a.load(spark, d, "lineitem").select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").distinct()
     order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    out = numbering.number(own, order, ["l_returnflag"], F.to_date("l_shipdate"))
+    out = numbering.number_by_range(own, order, ["l_returnflag"])
     return out.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.format_string("E-%04d", "seq").alias("id"))
 
 

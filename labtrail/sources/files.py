@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.operators.numbering import number
+from labtrail.operators.numbering import number, number_by_range
 from labtrail.operators.series import KEY
 
 #: Schemas of the dimension files: JSON, one object a line.
@@ -57,8 +57,7 @@ def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
 def write_dossiers(obs: DataFrame, path: str, part_rows: int = 10_000) -> None:
     """JSON objects of an experiment, a variable and at most ``part_rows`` of its observations in time order; a dossier is all objects of its experiment."""
     order = [F.col(c) for c in ("time_h", "observation_id", "run_id", "value", "unit")]
-    # Structs, for nulls are equal in them.
-    own = number(obs.withColumn("__per", F.struct("experiment_id", "variable")), order, ["__per"], F.struct(F.floor("time_h")), "__seq")
+    own = number_by_range(obs, order, ["experiment_id", "variable"], "__seq")
     o = F.sort_array(F.collect_list(F.struct(*order)))
     per = own.groupBy("experiment_id", "variable", F.floor((F.col("__seq") - 1) / part_rows).alias("__part")).agg(o.alias("observations"))
     per.select("experiment_id", F.create_map("variable", F.struct("observations")).alias("golden_columns")).write.json(path)

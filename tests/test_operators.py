@@ -4,10 +4,11 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
-from labtrail.operators import checks, claims, findings, ingest, narratives, prose, trends, units
+from labtrail.operators import checks, claims, findings, ingest, narratives, numbering, prose, scans, series, trends, units
 from labtrail.sources import files
 from labtrail.streaming import streams
 
@@ -248,3 +249,42 @@ def test_run_deltas_do_not_depend_on_the_order_of_rows(spark):
     assert len(seen) == 1
     for _, run, _, mean, delta in seen.pop():
         assert abs(means[run] - Fraction(str(mean))) <= Fraction(50001, 10**9) and abs(means[run] - sum(means.values()) / 3 - Fraction(str(delta))) <= Fraction(50002, 10**9)
+
+
+def gappy(spark):
+    """Series with stretches that have no rows, or none with a value."""
+    draw = random.Random(7)
+    rows = [(k, i, draw.choice([None, float(i)]) if i % 40 < 20 else None) for k in "abc" for i in range(300) if i % 50 > 12 and draw.random() < 0.6]
+    return spark.createDataFrame(rows, "k string, i long, v double")
+
+
+@pytest.mark.parametrize("length", [1, 4, 7, 1000])
+def test_scans_in_stretches_equal_windows_over_the_series(spark, length):
+    df = gappy(spark)
+    w = W.partitionBy("k").orderBy("i")
+    stretch = scans.stretches("i", length)
+    assert values(scans.carried(df, ["k"], "i", stretch, "v", "c").select("k", "i", "c")) == values(df.select("k", "i", F.last("v", ignorenulls=True).over(w).alias("c")))
+    for following, edge in ((False, F.lag), (True, F.lead)):
+        found = scans.neighbour(df, ["k"], "i", stretch, ["i", "v"], "n", following=following)
+        assert values(found.select("k", "i", F.col("n.i"), F.coalesce("n.v", F.lit(-1.0)))) == values(df.select("k", "i", edge("i").over(w), F.coalesce(edge("v").over(w), F.lit(-1.0))))
+
+
+def test_no_window_runs_over_a_bare_series(spark):
+    rows = spark.createDataFrame([("E", "R", "v", float(h), f"O-{h}", float(h % 5), "u") for h in range(60)], "experiment_id string, run_id string, variable string, time_h double, observation_id string, value double, unit string")
+    points = series.grid_points(rows, 2.0, 80.0, length=8)
+    assert values(series.rates(points, length=8)) == values(series.rates(series.grid_points(rows, 2.0, 80.0)))
+    for df in (points, series.rates(points), trends.trend_direction(points)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        bare = [x for x in plan.split("\n") if "Window [" in x and "__stretch" not in x]
+        assert bare == [], bare  # the short windows are ordered by __stretch, the others are in one
+
+
+def test_numbering_by_ranges_splits_one_dense_value(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("e"), F.lit(1.0).alias("sigmas"), (F.col("id") * 7919 % 5003).alias("o"))
+    df = df.unionByName(spark.sql("SELECT cast(null as long) e, 1.0D sigmas, id o FROM range(100)"))
+    order = [F.desc("sigmas"), F.col("o")]
+    found = numbering.number_by_range(df, order, ["e"])
+    assert values(found.select(F.coalesce("e", F.lit(9)), "o", "seq")) == values(df.select(F.coalesce("e", F.lit(9)), "o", F.row_number().over(W.partitionBy("e").orderBy(*order)).cast("long").alias("seq")))
+    assert numbering.number_by_range(df.where("false"), order, ["e"]).collect() == []
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
