@@ -44,3 +44,10 @@ def carried(df: DataFrame, key: list[str], order: str, stretch: Column, value: s
     inside = F.last(value, ignorenulls=True)
     out = _handed(df, key, order, stretch, inside, known, lambda edge, w: F.last(edge, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
     return out.withColumn(into, F.coalesce("__in", "__out")).drop("__in", "__out", "__stretch")
+
+
+def summed_before(df: DataFrame, key: list[str], order: str, stretch: Column, value: str, into: str) -> DataFrame:
+    """``into``: the sum of ``value`` over the series' rows before this one. ``key`` must hold no nulls."""
+    inside = F.sum(value)
+    out = _handed(df, key, order, stretch, inside, F.sum(value), lambda edge, w: F.sum(edge).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    return out.withColumn(into, F.coalesce("__in", F.lit(0)) + F.coalesce("__out", F.lit(0)) - F.coalesce(F.col(value), F.lit(0))).drop("__in", "__out", "__stretch")

@@ -33,6 +33,17 @@ def a1_scan_delimited(spark, d):
     return cells.select("p_type", "row_idx", "col_idx", "raw_header", "raw_value")
 
 
+def a1_quoted_cells(spark, d):
+    """Documents as CSV files, one for each source, their texts in quotes with all their line ends, read as cells."""
+    at = _place(spark, "quoted")
+    text = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = a.load(spark, d, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), text, "lang").alias("value"), "source", "doc_id")
+    head = docs.select("source").distinct().select(F.lit('Id,"The\ntext, whole",Lang').alias("value"), "source", F.lit(-1).cast("long").alias("doc_id"))
+    head.unionByName(docs).repartition("source").sortWithinPartitions("source", "doc_id").select("value", "source").write.partitionBy("source").text(at)
+    cells = files.scan_delimited(spark, at).withColumn("source", F.regexp_extract("table_id", "source=([^/]*)/", 1))
+    return cells.select("source", "row_idx", "col_idx", "raw_header", "raw_value")
+
+
 def a5_load_dimension(spark, d):
     """A dictionary of the tables' own variables, written as a dimension file and read again."""
     at = _place(spark, "dictionary")
@@ -166,6 +177,7 @@ def v9_wording(spark, d):
 
 
 QUERIES = {
+    "a1_quoted_cells": a1_quoted_cells,
     "a1_scan_delimited": a1_scan_delimited,
     "a5_load_dimension": a5_load_dimension,
     "a6_dossiers": a6_dossiers,
@@ -198,6 +210,8 @@ _ITEMS = f"""WITH k AS (SELECT *, CAST((conv_id + turn) % 9 AS INTEGER) AS k FRO
  narr AS (SELECT *, 'EXP-' || (doc_id % 3) AS experiment_id, printf('N-%05d-%02d', doc_id, item_idx) AS narrative_id FROM items),
  tags AS (SELECT experiment_id, string_agg(DISTINCT tag, '|' ORDER BY tag) AS tags_present FROM narr GROUP BY 1)"""
 SQL = {
+    "a1_quoted_cells": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_idx FROM documents)
+ SELECT source, row_idx, unnest([{'col_idx': 0, 'raw_header': 'Id', 'raw_value': CAST(doc_id AS VARCHAR)}, {'col_idx': 1, 'raw_header': 'The' || chr(10) || 'text, whole', 'raw_value': nullif(trim(text), '')}, {'col_idx': 2, 'raw_header': 'Lang', 'raw_value': lang}], recursive := true) FROM x""",
     "a1_scan_delimited": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY concat_ws(chr(9), p_partkey, ' ' || p_name, CASE WHEN p_partkey % 5 <> 0 THEN p_brand ELSE '' END)) - 1 AS row_idx FROM part)
  SELECT p_type, row_idx, unnest([{'col_idx': 0, 'raw_header': 'Key', 'raw_value': CAST(p_partkey AS VARCHAR)}, {'col_idx': 1, 'raw_header': 'P Name', 'raw_value': p_name}, {'col_idx': 2, 'raw_header': 'Brand', 'raw_value': CASE WHEN p_partkey % 5 <> 0 THEN p_brand END}], recursive := true) FROM x""",
     "a5_load_dimension": "SELECT event_type AS variable, 'u' AS unit, 'float' AS data_type, upper(event_type) AS synonyms, round(avg(value), 2) AS nominal, CAST(NULL AS DOUBLE) AS std_dev FROM events GROUP BY 1",

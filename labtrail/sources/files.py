@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labtrail.operators import scans
 from labtrail.operators.numbering import number, number_by_range
 from labtrail.operators.series import KEY
 
@@ -31,12 +32,16 @@ def load_dimension(spark: SparkSession, path: str | None, kind: str, variable: s
 def scan_delimited(spark: SparkSession, path: str, tabbed: bool | None = None) -> DataFrame:
     """``table_id, row_idx, col_idx, raw_header, raw_value`` of every CSV or TSV file that ``path`` names: by suffix, unless ``tabbed`` says.
 
-    Cells stay text, trimmed, null if blank. Lines are read as text, so files of different headers are one scan; rows are
-    numbered from 0 by their order in the file. Quoted cells may hold the delimiter, not a line end.
+    Cells stay text, trimmed, null if blank. Lines are read as text, so files of different headers are one scan and a large file is
+    read in blocks; rows are numbered from 0 by their order in the file. Quoted cells of CSV files may hold the delimiter, doubled
+    quotes and line ends (``\\n`` in the cell, whatever the file has): a line starts a row if an even number of quotes comes before it in its file,
+    counted in blocks and carried from block to block. In a file whose quotes are odd in number each line is a row. Blank lines
+    between rows are none; a row is one value, so it must fit a task.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("table_id"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), "value").where("trim(value) <> ''")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("table_id"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), "value")
     by_tab = F.lower("table_id").endswith(".tsv") if tabbed is None else F.lit(tabbed)
-    quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    lines = _whole_rows(lines, by_tab).where("trim(value) <> ''")
+    quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"\z', ""), F.lit('""'), F.lit('"'))).otherwise(c))
     cells = F.when(by_tab, F.split("value", "\t")).otherwise(quoted)
     rows = lines.select("table_id", "at", F.transform(cells, lambda c: F.nullif(F.trim(c), F.lit(""))).alias("cells"))
     heads = rows.groupBy("table_id").agg(F.min(F.struct("at", "cells")).alias("h")).select("table_id", F.col("h.at").alias("head_at"), F.col("h.cells").alias("heads"))
@@ -47,6 +52,18 @@ def scan_delimited(spark: SparkSession, path: str, tabbed: bool | None = None) -
     return out.select("table_id", "row_idx", "col_idx", F.get("heads", F.col("col_idx")).alias("raw_header"), "raw_value")
 
 
+def _whole_rows(lines: DataFrame, by_tab: Column) -> DataFrame:
+    """Lines of ``lines(table_id, at, value)`` to rows that may go over several of them, ``at`` being the first one's."""
+    own = lines.withColumn("quotes", F.when(by_tab, 0).otherwise(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))))
+    odd = own.groupBy("table_id").agg((F.sum("quotes") % 2 == 1).alias("odd"))
+    own = own.join(odd, "table_id").withColumn("quotes", F.when(F.col("odd"), 0).otherwise(F.col("quotes")))
+    stretch = F.struct("at.block", F.shiftright("at.line", 16))
+    own = scans.summed_before(own, ["table_id"], "at", stretch, "quotes", "before").withColumn("start", F.when(F.col("before") % 2 == 0, F.col("at")))
+    own = scans.carried(own, ["table_id"], "at", stretch, "start", "first")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n")
+    return own.groupBy("table_id", F.col("first").alias("at")).agg(text.alias("value"))
+
+
 def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
     """Observations of nested dossiers, in one object for each experiment or in parts; columns that hold no object are passed over."""
     d = spark.read.schema(DOSSIER).json(path)

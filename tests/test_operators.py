@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -288,3 +289,27 @@ def test_numbering_by_ranges_splits_one_dense_value(spark):
     assert numbering.number_by_range(df.where("false"), order, ["e"]).collect() == []
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan
+
+
+def test_line_ends_in_quoted_cells_over_several_splits(spark, tmp_path):
+    draw = random.Random(5)
+    cell = lambda: "".join(draw.choice(["a", "bc ", ",", "\n", "\n\n", '""', "é"]) for _ in range(draw.randint(1, 60))).strip() or "x"
+    (tmp_path / "in").mkdir()
+    head = 'Key,"Long\nname",Third\n'
+    rows = [(i, cell(), cell().replace('""', "").replace(",", "").replace("\n", "") or "y") for i in range(800)]
+    (tmp_path / "in/a.csv").write_text(head + "".join(f'{i},"{a}",{b}\n' + ("\n" if i % 9 == 0 else "") for i, a, b in rows))
+    (tmp_path / "in/odd.csv").write_text('Size,N\n5" pipe,3\n6,4\n')
+    (tmp_path / "in/t.tsv").write_text('Q\tR\na"b\t1\nc\t2\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = [(r["table_id"].rsplit("/", 1)[1], r["row_idx"], r["raw_header"], r["raw_value"]) for r in files.scan_delimited(spark, str(tmp_path / "in")).collect()]
+        assert spark.read.text(str(tmp_path / "in/a.csv")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    read = duckdb.sql(f"SELECT * FROM read_csv('{tmp_path}/in/a.csv', all_varchar = true, header = true, quote = '\"', escape = '\"', delim = ',', null_padding = false)").fetchall()
+    heads = ["Key", "Long\nname", "Third"]
+    expected = [("a.csv", i, h, v.strip(" ") or None) for i, r in enumerate(read) for h, v in zip(heads, r, strict=True)]
+    assert len(read) == 800 and sorted(x for x in found if x[0] == "a.csv") == sorted(expected)
+    assert sorted(x for x in found if x[0] == "odd.csv") == [("odd.csv", 0, "N", "3"), ("odd.csv", 0, "Size", '5" pipe'), ("odd.csv", 1, "N", "4"), ("odd.csv", 1, "Size", "6")]
+    assert sorted(x for x in found if x[0] == "t.tsv") == [("t.tsv", 0, "Q", 'a"b'), ("t.tsv", 0, "R", "1"), ("t.tsv", 1, "Q", "c"), ("t.tsv", 1, "R", "2")]
