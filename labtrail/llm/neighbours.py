@@ -3,8 +3,8 @@
 Shards hold at most about ``shard_rows`` distinct vectors, dealt by a hash. Each becomes one graph: levels of geometrically
 fewer nodes, on each a node's diverse near neighbours (a candidate is taken if it is nearer to the node than to those
 taken before) and the nearest nodes that chose it, kept as flat arrays of neighbour numbers, ``width`` for each node and
--1 for none. Nodes are numbered from the highest down, so a level is a prefix. The first nodes of a level are compared with
-each other, the others are inserted in batches by searching what is there. A search goes down greedily from the top and keeps a
+-1 for none. Nodes are numbered from the highest down, so a level is a prefix. The nodes of a level are compared with each other in blocks, at
+every size. A search goes down greedily from the top and keeps a
 beam on the lowest level, all queries of a block in step. Queries stream past each shard's graph, each shard gives its best
 classes, and these are merged.
 """
@@ -23,11 +23,9 @@ from labtrail.llm.common import materialise, table
 from labtrail.llm.vectors import classes, cosine, unit
 
 GRAPH = "shard int, dims int, reps array<long>, vectors binary, sizes array<int>, near binary"
-#: Nodes of a level that are compared with each other: up to about four times as many that costs less than inserting them.
-FIRST = 1 << 14
+#: Distinct vectors of a shard, about: so many are compared with each other.
+SHARD_ROWS = 1 << 14
 BATCH = 1024
-#: The fewest rows that are worth a shard of their own.
-LEAST = 1 << 12
 
 
 def _diverse(x: np.ndarray, best: np.ndarray, to: np.ndarray, degree: int) -> np.ndarray:
@@ -78,8 +76,11 @@ class _Level:
         self.near[node, self.degree :], self.back[node] = _nearest_first(number, value, self.back.shape[1])
 
 
-def build(vectors: np.ndarray, degree: int = 16, candidates: int = 64, seed: int = 3, compared: int = FIRST) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The order in which the vectors are numbered, and the neighbour table of each level, the lowest with all nodes first."""
+def build(vectors: np.ndarray, degree: int = 16, candidates: int = 64, seed: int = 3, compared: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order in which the vectors are numbered, and the neighbour table of each level, the lowest with all nodes first.
+
+    All nodes of a level are compared with each other; with ``compared``, only so many of the first, and the others are inserted.
+    """
     height = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(vectors))) / np.log(degree)).astype(int)
     order = np.argsort(-height, kind="stable")
     x = unit(vectors[order]).astype(np.float32)
@@ -88,7 +89,7 @@ def build(vectors: np.ndarray, degree: int = 16, candidates: int = 64, seed: int
         rows = int((height >= high).sum())
         wide = degree * 2 if high == 0 else degree
         level = _Level(x, rows, wide, wide + degree)
-        start = min(rows, max(compared, len(levels[0]) if levels else 0))
+        start = rows if compared is None else min(rows, max(compared, len(levels[0]) if levels else 0))
         for lo in range(0, start if start > 1 else 0, 256):
             own = np.arange(lo, min(lo + 256, start))
             near = x[own] @ x[:start].T
@@ -154,21 +155,21 @@ def search(x: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, beam: i
     return np.where(score > -np.inf, number, -1), score
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 1 << 16, block_rows: int = 1 << 17, beam: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = 1 << 17, beam: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found of ``vectors(vec_id, embedding)`` by cosine, for each row of ``queries(vec_id)``.
 
     A query is a row of vectors, which is no candidate for itself. Ties go to the smaller vec_id. Vectors that are null,
     empty, zero or hold null or non-finite components take no part, rows without vec_id neither; a query among them has no
     rows. Equal vectors are one node of a graph, and their rows come from the class. Vectors of different lengths aren't
     compared. A vec_id that occurs twice counts once. Fewer than ``k`` candidates all come. Further columns are ignored; an
-    empty table gives an empty table. Small tables are dealt in more shards, up to the number of cores. A graph is copied
+    empty table gives an empty table. Shards, and so results, depend on the rows alone, not on the cluster. A graph is copied
     once for each ``block_rows`` queries, a query once for each shard.
     """
     own, members = classes(vectors)
     members = materialise(members.distinct(), "members")
     asked = materialise(members.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id"), "asked")
     rows = own.count()
-    shards = max(1, -(-rows // shard_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-rows // LEAST)))
+    shards = max(1, -(-rows // shard_rows))
     blocks = max(1, -(-asked.select("rep").distinct().count() // block_rows))
     keep = k + 1
 

@@ -307,6 +307,16 @@ def test_inserted_nodes_are_found():
     assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in levels[0])
 
 
+def test_neighbours_do_not_depend_on_the_cluster(spark, sf_dir, monkeypatch):
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    found = []
+    for cores, parts in ((2, 3), (64, 8)):
+        monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda _, n=cores: n))
+        found.append(sorted(map(tuple, neighbours.nearest(rows.repartition(parts), asked, shard_rows=120).collect())))
+    assert found[0] == found[1] and len(found[0]) == 50
+
+
 def test_votes_are_those_of_the_nearest_labelled_texts(spark, docs, sf_dir):
     labels = table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels)
