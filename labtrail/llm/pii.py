@@ -2,8 +2,8 @@
 
 The fixed formats (email, ip, card, phone) give base spans. These are also the seeds of a bootstrap: every seed, and every
 loosely similar string that no format accepts, is an *instance* that stands in lexical patterns (the word before, the two
-words before, the words on both sides). Spark scores the graph of patterns and instances in rounds: a pattern is as good
-as the share of its distinct instances that are of the kind, an instance as good as its patterns together make it.
+words before, the words on both sides). Spark scores the graph of patterns and instances in rounds: a pattern is as good as what
+its instances say for the kind against what they say for another or against the kind (unknown ones say nothing), an instance as good as its patterns together make it.
 Instances that end above the threshold become further spans of that kind.
 """
 
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm.common import materialise, table
+from labtrail.llm.common import discard, materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -25,7 +25,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Loose forms of each kind, candidates for the bootstrap only.
+#: A pattern's words are those that end within so many characters before an instance, or begin within so many after it: a word that
+#: goes on beyond is cut there. Blanks of such a length leave no word, and an instance without a word before has no pattern.
+BEFORE, AFTER = 80, 40
+#: Characters on each side of an ``@`` that a loose address may have; what is longer is cut.
+REACH = 64
+#: Loose forms of each kind, candidates for the bootstrap only: addresses with ``@`` or a spelt one (parts of up to 64 characters),
+#: numbers of 7 to 31 characters, groups of hexadecimal digits. Longer strings are no identifiers and no candidates.
 NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9][0-9().\x20/-]{5,28}[0-9](?![0-9A-Za-z])")
 ADDRESS6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]{1,64}){1,6}")
@@ -76,9 +82,9 @@ def _loose(text: str) -> Iterator[tuple[int, int, int]]:
     at = text.find("@")
     while at >= 0:
         a, b = at, at + 1
-        while a and at - a < 64 and not text[a - 1].isspace():
+        while a and at - a < REACH and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and b - at < 64 and not text[b].isspace():
+        while b < len(text) and b - at < REACH and not text[b].isspace():
             b += 1
         if b - at > 2 and at - a > 0:
             yield 0, a, b
@@ -98,8 +104,8 @@ def _loose(text: str) -> Iterator[tuple[int, int, int]]:
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    before = re.sub("[0-9]", "0", text[max(0, start - 80) : start].lower()).split()[-2:]
-    after = re.sub("[0-9]", "0", text[end : end + 40].lower()).split()[:1]
+    before = re.sub("[0-9]", "0", text[max(0, start - BEFORE) : start].lower()).split()[-2:]
+    after = re.sub("[0-9]", "0", text[end : end + AFTER].lower()).split()[:1]
     if not before:
         return []
     out = [f"L {before[-1]}"]
@@ -158,6 +164,7 @@ def bootstrap(instances: DataFrame, rounds: int = 3, least_seeds: int = 5, confi
     pairs = materialise(pairs.join(usable.select("pattern"), "pattern"), "pattern-graph")
     unseen = materialise(edges.where("not seed").select("kind", "value", "pattern").join(usable.select("pattern"), "pattern"), "pattern-unseen")
     known = unseen.where("false").select("kind", "value", F.lit(0.0).alias("score"))
+    spent: list[DataFrame] = []
     for _ in range(rounds):
         scores = known.groupBy("value").agg(*(F.max(F.when(F.col("kind") == k, F.col("score"))).alias(f"score{k}") for k in kinds))
         own = [F.when(F.col(f"seed{k}"), 1.0).when(F.col(f"doubt{k}"), 0.0).otherwise(F.coalesce(f"score{k}", F.lit(0.0))) for k in kinds]
@@ -167,7 +174,10 @@ def bootstrap(instances: DataFrame, rounds: int = 3, least_seeds: int = 5, confi
         patterns = sums.join(usable, "pattern").select("pattern", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), conf[k].alias("conf")) for k in kinds))))
         patterns = materialise(patterns.where(F.col("conf") >= confidence), "trusted-patterns")
         known = unseen.join(patterns, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
-        known = materialise(known, "known-instances")
+        last = materialise(known, "known-instances")
+        discard(patterns, *spent)
+        known, spent = last, [last]
+    discard(edges, usable, pairs, unseen)
     return known.where(F.col("score") >= confidence)
 
 

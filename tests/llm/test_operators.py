@@ -307,6 +307,49 @@ def test_inserted_nodes_are_found():
     assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in levels[0])
 
 
+def plain_bootstrap(rows, rounds=3, least=5, confidence=0.8):
+    """kind, value -> score, from (kind, value, seed, doubt, patterns)."""
+    edges = collections.defaultdict(lambda: [False, False])
+    for kind, value, seed, doubt, patterns in rows:
+        for p in patterns:
+            e = edges[kind, value, p]
+            edges[kind, value, p] = [e[0] or seed, e[1] or doubt]
+    values = collections.defaultdict(set)
+    for _, v, p in edges:
+        values[p].add(v)
+    is_ = lambda k, v, p, x: edges[k, v, p][x] if (k, v, p) in edges else False
+    known = {}
+    for _ in range(rounds):
+        trusted = {}
+        for p, vs in values.items():
+            for k in range(4):
+                seeds = sum(is_(k, v, p, 0) for v in vs)
+                own = {(v, j): 1.0 if is_(j, v, p, 0) else 0.0 if is_(j, v, p, 1) else known.get((j, v), 0.0) for v in vs for j in range(4)}
+                good = sum(own[v, k] for v in vs)
+                bad = sum(max([float(is_(k, v, p, 1) and not is_(k, v, p, 0)), *(own[v, j] for j in range(4) if j != k)]) for v in vs)
+                if seeds >= least and (c := good / (good + bad + 1)) >= confidence:
+                    trusted[p, k] = c
+        miss = collections.defaultdict(lambda: 1.0)
+        for (k, v, p), (seed, _) in edges.items():
+            if not seed and (p, k) in trusted:
+                miss[k, v] *= 1 - trusted[p, k]
+        known = {key: 1 - m for key, m in miss.items()}
+    return {key: s for key, s in known.items() if s >= confidence}
+
+
+def test_bootstrap_equals_a_plain_one(spark):
+    draw = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        kind, true = int(draw.integers(4)), draw.random() < 0.6
+        patterns = sorted({f"p{kind * 5 + int(draw.integers(5))}" if draw.random() < 0.97 else f"p{int(draw.integers(20))}" for _ in range(3)})
+        rows.append((kind, f"v{int(draw.integers(700))}", bool(true), bool(not true and draw.random() < 0.1), patterns))
+    found = {(r["kind"], r["value"]): r["score"] for r in pii.bootstrap(spark.createDataFrame(rows, "kind int, value string, seed boolean, doubt boolean, patterns array<string>")).collect()}
+    expected = plain_bootstrap(rows)
+    assert found.keys() == expected.keys() and len(found) > 20
+    assert all(abs(found[k] - s) < 1e-9 for k, s in expected.items())
+
+
 def test_neighbours_do_not_depend_on_the_cluster(spark, sf_dir, monkeypatch):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 50 = 0")
