@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labtrail.operators.ingest import SMALL, small
+from labtrail.operators.ingest import small
+from labtrail.operators.substrings import holding
 
 ID = ["experiment_id", "claim_id"]
 
@@ -74,16 +73,21 @@ def downgrade(claims: DataFrame, prior_variables: DataFrame, unknown: DataFrame)
 def resolve_priors(priors: DataFrame, queries: DataFrame, family: str | None = None, variable: str | None = None) -> DataFrame:
     """Priors whose organism or alias holds the query, or the other way round, whatever the case; of one family and variable, if asked.
 
-    Distinct queries are held against blocks of about ``SMALL`` priors, one after the other, where they are.
+    Queries and names meet by an index of trigrams, in either direction, whatever the number of priors; a prior comes once for a query
+    however many of its names fit, equal priors come as often as they are. Null names fit nothing, an empty one fits all.
     """
     for name, value in (("family", family), ("variable", variable)):
         if value is not None:
             priors = priors.where(F.lower(name) == value.lower())
-    q, name, asked = F.lower("query"), F.lower("organism"), queries.select("query").distinct()
-    alias = F.exists("aliases", lambda x: F.lower(x).contains(q) | q.contains(F.lower(x)))
-    blocks = max(1, -(-priors.count() // SMALL))
-    parts = [priors.where(F.pmod(F.xxhash64("organism", "variable"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [priors]
-    return reduce(DataFrame.unionByName, (asked.join(F.broadcast(p), name.contains(q) | q.contains(name) | alias) for p in parts))
+    asked = queries.where("query is not null").select("query").distinct().withColumn("__q", F.lower("query"))
+    row = F.struct(*priors.columns)
+    every = F.array_union(F.array(F.lower("organism")), F.coalesce(F.transform("aliases", F.lower), F.array().cast("array<string>")))
+    named = priors.select(row.alias("__row"), every.alias("__names")).groupBy("__row", "__names").agg(F.count("*").alias("__n")).select("__row", "__n", F.explode("__names").alias("__name"))
+    q, names = asked.select("__q").distinct(), named.where("__name is not null").select("__name").distinct()
+    inner = holding(q.withColumnRenamed("__q", "needle"), names.withColumnRenamed("__name", "whole")).select(F.col("needle").alias("__q"), F.col("whole").alias("__name"))
+    outer = holding(names.withColumnRenamed("__name", "needle"), q.withColumnRenamed("__q", "whole")).select(F.col("whole").alias("__q"), F.col("needle").alias("__name"))
+    fits = inner.unionByName(outer).join(named, "__name").select("__q", "__row", "__n").distinct()
+    return asked.join(fits, "__q").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).select("query", "__row.*")
 
 
 def organism_priors(priors: DataFrame, organisms: DataFrame) -> DataFrame:

@@ -43,6 +43,14 @@ def c9_drop_unknown(spark, d):
     return claims.drop_unknown(_claims(spark, d), p._findings(spark, d), p._rows(spark, d).where("run_id <> 'RUN-0003'")).select("experiment_id", "claim_id")
 
 
+def c12_many_priors(spark, d):
+    """As many priors as parts, asked for by pieces of their names of two characters and more."""
+    name = F.concat_ws(" ", "p_name", (F.col("p_partkey") % 500).cast("string"))
+    rows = a.load(spark, d, "part").select("p_partkey", name.alias("organism"), F.array(F.concat_ws(" ", "p_brand", "p_type")).alias("aliases"), F.col("p_type").alias("variable"))
+    asked = rows.select(F.expr("substring(organism, 1 + p_partkey % 4, 2 + p_partkey % 12)").alias("query"))
+    return claims.resolve_priors(rows.drop("p_partkey"), asked.unionByName(rows.select(F.concat_ws("/", "aliases", "variable").alias("query")))).select("query", "organism", "variable")
+
+
 def c13_fingerprint(spark, d):
     present = p._rows(spark, d, "user_id").withColumn("experiment_id", F.col("run_id")).groupBy("experiment_id").agg(F.collect_set("variable").alias("present"))
     registry = spark.createDataFrame(list(REGISTRY), "process_id string, required array<string>, forbidden array<string>")
@@ -119,6 +127,7 @@ def s2_range_windows(spark, d):
 
 QUERIES = {
     "c9_drop_unknown": c9_drop_unknown,
+    "c12_many_priors": c12_many_priors,
     "c12_resolve_priors": lambda s, d: claims.resolve_priors(_priors(s), a.load(s, d, "part").select(F.col("p_name").alias("query"))).select("query", "organism", "variable"),
     "c13_fingerprint": c13_fingerprint,
     "c15_missing_findings": lambda s, d: checks.missing_references(_claims(s, d).select("experiment_id", F.col("claim_id").alias("label"), F.explode("cited_finding_ids").alias("finding_id")), p._findings(s, d), "finding_id"),
@@ -151,6 +160,9 @@ _PAIR = p._grid(p._BASE, p.RUN10) + ", pair AS (SELECT x.experiment_id, x.run_id
 _BYRUN = p._PTS
 SQL = {
     "c9_drop_unknown": _CLAIMS + " SELECT experiment_id, claim_id FROM claims WHERE coalesce(cited <> 'F-999999', true) AND NOT (by_series AND run_id = 'RUN-0003')",
+    "c12_many_priors": """WITH pr AS (SELECT p_partkey, p_name || ' ' || (p_partkey % 500) AS organism, p_brand || ' ' || p_type AS alias, p_type AS variable FROM part),
+ q AS (SELECT DISTINCT substr(organism, CAST(1 + p_partkey % 4 AS BIGINT), CAST(2 + p_partkey % 12 AS BIGINT)) AS query FROM pr UNION SELECT alias || '/' || variable FROM pr)
+ SELECT query, organism, variable FROM q JOIN pr ON contains(lower(organism), lower(query)) OR contains(lower(query), lower(organism)) OR contains(lower(alias), lower(query)) OR contains(lower(query), lower(alias))""",
     "c12_resolve_priors": "WITH q AS (SELECT DISTINCT p_name AS query FROM part), pr(organism, alias, variable) AS (VALUES ('ring', 'ring', 'click'), ('ring', 'loop', 'click'), ('Bolt', 'bolt', 'view'), ('Bolt', 'screw', 'view'), ('Bolt', 'small', 'view')) SELECT DISTINCT query, organism, variable FROM q JOIN pr ON contains(lower(query), alias) OR contains(alias, lower(query))",
     "c13_fingerprint": _BYRUN + ", h AS (SELECT run_id, CAST(substr(run_id, 5) AS INTEGER) % 3 AS k, bool_or(variable = 'click') AS c, bool_or(variable = 'view') AS v, bool_or(variable = 'error') AS e FROM k2 GROUP BY 1) SELECT run_id AS experiment_id, 'P' || k AS process_id, CASE k WHEN 0 THEN c AND v WHEN 1 THEN false ELSE v AND NOT e END AS accepted FROM h",
     "s2_range_windows": "WITH " + a.SPECS_SQL + ", v AS (SELECT 'EXP-' || (user_id % 2) AS experiment_id, printf('RUN-%04d', user_id % 10) AS run_id, event_type AS variable, date_trunc('day', ts) AS day FROM events JOIN specs ON variable = event_type WHERE abs(round((value - nominal) / std_dev, 6)) >= 2) SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS window_start, experiment_id, run_id, variable, count(*) AS n_violations FROM v WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
-from labtrail.operators import checks, claims, findings, ingest, narratives, numbering, prose, scans, series, trends, units
+from labtrail.operators import checks, claims, findings, ingest, narratives, numbering, prose, scans, series, substrings, trends, units
 from labtrail.sources import files
 from labtrail.streaming import streams
 
@@ -182,12 +182,11 @@ def test_totals_of_findings_need_no_window(spark):
     assert "count(1) windowspec" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_priors_in_blocks(spark, monkeypatch):
+def test_priors_by_index(spark):
     rows = [(f"organism {k}", [f"alias{k}x"], "batch", "v") for k in range(60)]
     priors = spark.createDataFrame(rows, "organism string, aliases array<string>, family string, variable string")
     asked = spark.createDataFrame([("ORGANISM 7",), ("alias33x",), ("none",)], "query string")
     whole = values(claims.resolve_priors(priors, asked, family="BATCH").select("query", "organism"))
-    monkeypatch.setattr(claims, "SMALL", 7)
     assert values(claims.resolve_priors(priors, asked).select("query", "organism")) == whole == [("ORGANISM 7", "organism 7"), ("alias33x", "organism 33")]
 
 
@@ -313,3 +312,21 @@ def test_line_ends_in_quoted_cells_over_several_splits(spark, tmp_path):
     assert len(read) == 800 and sorted(x for x in found if x[0] == "a.csv") == sorted(expected)
     assert sorted(x for x in found if x[0] == "odd.csv") == [("odd.csv", 0, "N", "3"), ("odd.csv", 0, "Size", '5" pipe'), ("odd.csv", 1, "N", "4"), ("odd.csv", 1, "Size", "6")]
     assert sorted(x for x in found if x[0] == "t.tsv") == [("t.tsv", 0, "Q", 'a"b'), ("t.tsv", 0, "R", "1"), ("t.tsv", 1, "Q", "c"), ("t.tsv", 1, "R", "2")]
+
+
+def test_a_hundred_thousand_priors(spark):
+    rows = [(f"organism {k * 7919 % 100_003}", [f"alias{k}x", None] if k % 3 else None, "v") for k in range(100_000)] + [("dup", ["dup"], "v")] * 2 + [(None, ["ab"], "v")]
+    asked = ["ORGANISM 777", "alias33x", "none of these", "a", "9x", "an organism 5 more", "dup", "the dup", "ab", "Ab", "日", None, "x" * 200]
+    priors = spark.createDataFrame(rows, "organism string, aliases array<string>, variable string")
+    found = claims.resolve_priors(priors, spark.createDataFrame([(q,) for q in asked], "query string")).where("length(query) > 1").select("query", F.coalesce("organism", F.lit("-")))
+    fits = lambda q, n: n is not None and (q.lower() in n.lower() or n.lower() in q.lower())
+    expected = [(q, o or "-") for q in asked if q and len(q) > 1 for o, al, _ in rows if any(fits(q, n) for n in [o, *(al or [])])]
+    assert values(found) == sorted(expected) and len(expected) > 100
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_and_empty_needles(spark):
+    texts = ["", "a", "ab", "abc", "xabcx", "ABC", "日本語", "本", None]
+    df = lambda name: spark.createDataFrame([(t,) for t in texts], f"{name} string")
+    known = [t for t in texts if t is not None]
+    assert values(substrings.holding(df("needle"), df("whole"))) == sorted((n, w) for n in known for w in known if n in w)
