@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
+from labtrail.operators.numbering import number_by_range
 
 #: Dimension tables above so many rows are joined by shuffle, not broadcast.
 SMALL = 10_000
@@ -212,6 +213,16 @@ def grouped(obs: DataFrame) -> DataFrame:
     return obs.groupBy("experiment_id", "run_id", "variable").agg(F.sort_array(F.collect_list(F.struct("time_h", "observation_id", "value"))).alias("observations"))
 
 
+def grouped_chunks(obs: DataFrame, length: int = 1000) -> DataFrame:
+    """``chunk, offset`` and at most ``length`` observations of each variable of a run, in time order: no row grows with its run."""
+    key = ["experiment_id", "run_id", "variable"]
+    own = number_by_range(obs.select(*key, "time_h", "observation_id", "value"), [F.col("time_h"), F.col("observation_id"), F.col("value")], key, "__seq")
+    place = F.floor((F.col("__seq") - 1) / length)
+    some = F.sort_array(F.collect_list(F.struct("__seq", "time_h", "observation_id", "value")))
+    out = own.groupBy(*key, place.alias("chunk")).agg(some.alias("x"))
+    return out.select(*key, "chunk", (F.col("chunk") * length).alias("offset"), F.transform("x", lambda o: F.struct(o["time_h"], o["observation_id"], o["value"])).alias("observations"))
+
+
 def present_variables(obs: DataFrame) -> DataFrame:
     return obs.groupBy("experiment_id").agg(F.sort_array(F.collect_set("variable")).alias("present"))
 

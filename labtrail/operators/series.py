@@ -73,3 +73,17 @@ def timecourse(points: DataFrame, run: str, variable: str, lo: float, hi: float,
     w = W.partitionBy(*KEY)
     own = own.withColumn("n", F.row_number().over(w.orderBy("grid_idx"))).withColumn("truncated", F.count("*").over(w) > k)
     return own.where(F.col("n") <= k).select(*KEY, "grid_idx", "time_h", "value", "imputed", "truncated")
+
+
+def chunks(points: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``chunk, offset`` and arrays of at most ``length`` grid points of a series, in order, ``offset`` the first's: no row grows with its series."""
+    row = F.sort_array(F.collect_list(F.struct("grid_idx", "time_h", "value", "imputed", "observation_id")))
+    t = points.groupBy(*KEY, stretches("grid_idx", length).alias("chunk")).agg(row.alias("x"))
+    return t.select(*KEY, "chunk", F.col("x.grid_idx")[0].alias("offset"), F.col("x.grid_idx").alias("places"), F.col("x.time_h").alias("time_grid"), F.col("x.value").alias("values"), F.col("x.imputed").alias("imputation_flags"), F.col("x.observation_id").alias("observation_ids"))
+
+
+def chunk_range(parts: DataFrame, lo: int, hi: int, length: int = LENGTH) -> DataFrame:
+    """The grid points lo to hi, hi excluded, of ``chunks`` of that ``length``; other chunks aren't opened."""
+    here = parts.where(F.col("chunk").between(lo // length, (hi - 1) // length))
+    cells = F.arrays_zip(F.col("places").alias("grid_idx"), F.col("time_grid").alias("time_h"), F.col("values").alias("value"), F.col("imputation_flags").alias("imputed"), F.col("observation_ids").alias("observation_id"))
+    return here.select(*KEY, F.explode(cells).alias("c")).select(*KEY, "c.*").where((F.col("grid_idx") >= lo) & (F.col("grid_idx") < hi))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
+from labtrail.operators.ingest import small
 from labtrail.operators.scans import neighbour, stretches
 from labtrail.operators.series import KEY, last_at_point, rates, snap
 from labtrail.sources.shared import written
@@ -61,17 +62,30 @@ def relationship_checks(rows: DataFrame, dt: float, first: str, second: str, low
 
 
 def precedes(rows: DataFrame, first: str, second: str, max_lag: float) -> DataFrame:
-    """Each ``first`` of a run with the earliest ``second`` within ``max_lag`` hours after it; joined by stretches of time."""
-    a = rows.where(F.col("variable") == first).select("experiment_id", "run_id", F.col("observation_id").alias("a_id"), F.col("time_h").alias("a_time"), F.floor(F.col("time_h") / max_lag).alias("stretch"))
-    b = rows.where(F.col("variable") == second).select("experiment_id", "run_id", F.col("time_h").alias("b_time"), F.floor(F.col("time_h") / max_lag).alias("own"))
-    key = ["experiment_id", "run_id", "stretch"]
+    """Each ``first`` of a run with the earliest ``second`` within ``max_lag`` hours after it."""
+    pair = rows.sparkSession.createDataFrame([(first, second, float(max_lag))], "first string, second string, max_lag double")
+    return precedes_any(rows, pair).drop("first", "second")
+
+
+def precedes_any(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``first, second`` of ``pairs(first, second, max_lag)``, and each ``first`` of a run with the earliest ``second`` within that lag after it.
+
+    All pairs in one pass, each joined by stretches of time as wide as its lag; a pair that is listed twice counts once, with its longest lag.
+    """
+    pairs = small(pairs.where("first is not null and second is not null and max_lag > 0").groupBy("first", "second").agg(F.max("max_lag").alias("max_lag")))
+    own = rows.select("experiment_id", "run_id", "variable", "observation_id", F.col("time_h").alias("t")).where("t is not null")
+    place = F.floor(F.col("t") / F.col("max_lag"))
+    a = own.join(pairs, own["variable"] == pairs["first"]).withColumn("stretch", place)
+    b = own.join(pairs, own["variable"] == pairs["second"]).withColumn("stretch", place)
+    key = ["first", "second", "experiment_id", "run_id", "stretch"]
     # Within a stretch only its earliest later event counts: the next one in time order, else the first of the next stretch.
-    first_of = b.groupBy("experiment_id", "run_id", F.col("own").alias("stretch")).agg(F.min("b_time").alias("earliest")).withColumn("stretch", F.col("stretch") - 1)
-    mixed = a.select(*key, "a_id", F.col("a_time").alias("t"), F.lit(0).alias("is_b")).unionByName(b.select("experiment_id", "run_id", F.col("own").alias("stretch"), F.lit(None).cast("string").alias("a_id"), F.col("b_time").alias("t"), F.lit(1).alias("is_b")))
+    first_of = b.groupBy(*key).agg(F.min("t").alias("earliest")).withColumn("stretch", F.col("stretch") - 1)
+    mixed = a.select(*key, "max_lag", F.col("observation_id").alias("a_id"), "t", F.lit(0).alias("is_b")).unionByName(b.select(*key, "max_lag", F.lit(None).cast("string").alias("a_id"), "t", F.lit(1).alias("is_b")))
     w = W.partitionBy(*key).orderBy("t", F.desc("is_b")).rowsBetween(1, W.unboundedFollowing)
     after = mixed.withColumn("inside", F.min(F.when(F.col("is_b") == 1, F.col("t"))).over(w)).where("is_b = 0")
-    own = after.join(first_of, key, "left").withColumn("b_time", F.coalesce("inside", "earliest"))
-    return own.where((F.col("b_time") > F.col("t")) & (F.col("b_time") - F.col("t") <= max_lag)).select("experiment_id", "run_id", "a_id", "b_time", F.round(F.col("b_time") - F.col("t"), 6).alias("lag_h"))
+    met = after.join(first_of, key, "left").withColumn("b_time", F.coalesce("inside", "earliest"))
+    met = met.where((F.col("b_time") > F.col("t")) & (F.col("b_time") - F.col("t") <= F.col("max_lag")))
+    return met.select("first", "second", "experiment_id", "run_id", "a_id", "b_time", F.round(F.col("b_time") - F.col("t"), 6).alias("lag_h"))
 
 
 def kinetic_fit(rows: DataFrame, window: float) -> DataFrame:
@@ -81,6 +95,36 @@ def kinetic_fit(rows: DataFrame, window: float) -> DataFrame:
     return fit.where("n >= 3")
 
 
+def sliding_fit(rows: DataFrame, window: float, least: int = 3, spread: float = 0.5) -> DataFrame:
+    """``observation_id, time_h, n, slope``: least squares of ln(value) on time over the ``window`` hours up to each observation, both ends included.
+
+    Such a window lies in the observation's stretch of ``window`` hours and the one before: its sums are the stretch's
+    up to the observation, and the earlier stretch's whole sums less those before the window's start, all from running sums of
+    moments around the stretch's start. No window of rows is wider than a stretch, and no pair of rows is joined. A fit needs ``least``
+    rows and times that deviate by ``spread`` hours (root of their mean square). Only rows of ``value > 0`` count.
+    """
+    key, names = [*KEY, "stretch"], ("n", "t", "y", "tt", "ty")
+    own = rows.where("value > 0 and time_h is not null").select(*KEY, "observation_id", "time_h", F.ln("value").alias("log")).withColumn("stretch", F.floor(F.col("time_h") / window))
+    at, log = F.col("time_h") - F.col("stretch") * window, F.col("log")
+    moments = F.struct(*(x.alias(n) for n, x in zip(names, (F.lit(1.0), at, log, at * at, at * log), strict=True)))
+    own = own.withColumn("m", moments)
+    # A probe stands where the window starts, a stretch earlier and before the rows of its own time.
+    probes = own.select(*KEY, "observation_id", "time_h", (F.col("stretch") - 1).alias("stretch"), (F.col("time_h") - window).alias("t"), F.lit(0).alias("is_row"), F.lit(None).cast("struct<n:double,t:double,y:double,tt:double,ty:double>").alias("m"))
+    mixed = own.select(*KEY, "observation_id", "time_h", "stretch", F.col("time_h").alias("t"), F.lit(1).alias("is_row"), "m").unionByName(probes)
+    upto = W.partitionBy(*key).orderBy("t", "is_row").rangeBetween(W.unboundedPreceding, W.currentRow)
+    mixed = mixed.select(*key, "observation_id", "time_h", "is_row", *(F.coalesce(F.sum(f"m.{n}").over(upto), F.lit(0.0)).alias(n) for n in names), *(F.coalesce(F.sum(f"m.{n}").over(W.partitionBy(*key)), F.lit(0.0)).alias(f"all_{n}") for n in names))
+    head = mixed.where("is_row = 1").select(*KEY, "observation_id", "time_h", *names)
+    tail = mixed.where("is_row = 0").select(*KEY, "observation_id", "time_h", *(F.col(f"all_{n}") - F.col(n) for n in names)).toDF(*KEY, "observation_id", "time_h", *(f"old_{n}" for n in names))
+    both = head.join(tail, [*KEY, "observation_id", "time_h"])
+    old = {n: F.col(f"old_{n}") for n in names}
+    # The earlier stretch's times, seen from the start of the later one.
+    seen = {"n": old["n"], "t": old["t"] - old["n"] * window, "y": old["y"], "tt": old["tt"] - 2 * window * old["t"] + old["n"] * window * window, "ty": old["ty"] - window * old["y"]}
+    sums = both.select(*KEY, "observation_id", "time_h", *((F.col(n) + x).alias(n) for n, x in seen.items()))
+    square = F.col("tt") - F.col("t") * F.col("t") / F.col("n")
+    fit = sums.where((F.col("n") >= least) & (square / F.col("n") >= spread * spread))
+    return fit.select(*KEY, "observation_id", "time_h", F.col("n").cast("long").alias("n"), F.round((F.col("ty") - F.col("t") * F.col("y") / F.col("n")) / square, 6).alias("slope"))
+
+
 def fit_evidence(rows: DataFrame, window: float) -> DataFrame:
     """The observations behind each fit of ``kinetic_fit``: its key, ``window_idx`` and ``observation_id``."""
     own = rows.where("value > 0").withColumn("window_idx", F.floor(F.col("time_h") / window).cast("int"))

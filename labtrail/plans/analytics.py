@@ -55,6 +55,14 @@ def c5_merge_specs(spark, d):
     return summary.merge_specs(specs(spark), overrides)
 
 
+def d7_trajectories(spark, d):
+    """The arrays themselves, as texts: hours, hundredths of values (- for missing ones), flags and ids."""
+    own = series.trajectories(_points(spark, d))
+    cents = F.transform("values", lambda x: F.coalesce(F.round(x * 100).cast("long").cast("string"), F.lit("-")))
+    texts = {"time_grid": F.transform("time_grid", lambda x: x.cast("long").cast("string")), "values": cents, "imputation_flags": F.transform("imputation_flags", lambda x: x.cast("int").cast("string")), "source_observation_ids": F.col("source_observation_ids")}
+    return own.withColumns({n: F.array_join(c, "|") for n, c in texts.items()})
+
+
 QUERIES = {
     "b12_dropped": b12_dropped,
     "c4_with_specs": lambda s, d: _spec_rows(s, d),
@@ -78,7 +86,7 @@ QUERIES = {
     "e1_grid_points": _points,
     "e4_last_at_point": lambda s, d: series.last_at_point(series.snap(_rows(s, d, RUNS), 12.0)),
     "d8_series_quality": lambda s, d: series.series_quality(_points(s, d)),
-    "d7_trajectories": lambda s, d: _joined(series.trajectories(_points(s, d)).drop("time_grid", "imputation_flags", "values"), "source_observation_ids"),
+    "d7_trajectories": d7_trajectories,
     "e9_rates": lambda s, d: series.rates(_points(s, d)),
     "b19_timecourse": lambda s, d: series.timecourse(_points(s, d), "RUN-0007", "click", 0.0, 480.0, 20),
 }
@@ -136,7 +144,7 @@ SQL = {
     "e1_grid_points": _PTS + " SELECT * FROM points",
     "e4_last_at_point": _PTS + " SELECT * FROM real",
     "d8_series_quality": _PTS + " SELECT * FROM quality",
-    "d7_trajectories": _PTS + " SELECT experiment_id, run_id, variable, string_agg(observation_id, '|' ORDER BY grid_idx) AS source_observation_ids, CASE WHEN bool_or(imputed) THEN 'carry_forward' ELSE 'none' END AS imputation_method FROM points GROUP BY ALL",
+    "d7_trajectories": _PTS + " SELECT experiment_id, run_id, variable, string_agg(CAST(CAST(time_h AS BIGINT) AS VARCHAR), '|' ORDER BY grid_idx) AS time_grid, string_agg(coalesce(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), '-'), '|' ORDER BY grid_idx) AS values, string_agg(CAST(CAST(imputed AS INTEGER) AS VARCHAR), '|' ORDER BY grid_idx) AS imputation_flags, string_agg(observation_id, '|' ORDER BY grid_idx) AS source_observation_ids, CASE WHEN bool_or(imputed) THEN 'carry_forward' ELSE 'none' END AS imputation_method FROM points GROUP BY ALL",
     "e9_rates": _PTS + " SELECT experiment_id, run_id, variable, grid_idx, (value - lag(value) OVER w) / (time_h - lag(time_h) OVER w) AS rate FROM points WHERE observation_id IS NOT NULL WINDOW w AS (PARTITION BY experiment_id, run_id, variable ORDER BY grid_idx)",
     "b19_timecourse": _PTS + " SELECT experiment_id, run_id, variable, grid_idx, time_h, value, imputed, count(*) OVER () > 20 AS truncated FROM points WHERE run_id = 'RUN-0007' AND variable = 'click' AND time_h BETWEEN 0 AND 480 QUALIFY row_number() OVER (ORDER BY grid_idx) <= 20",
 }

@@ -87,6 +87,12 @@ def b24_narrative_observations(spark, d):
     return g.narrative_observations(ok, a.dictionary(spark)).drop("value")
 
 
+def d1_chunks(spark, d):
+    obs = a.observations(spark, d).where("run_id is not null and value is not null")
+    text = F.array_join("observations.observation_id", "|")
+    return g.grouped_chunks(obs, 50).select("experiment_id", "run_id", "variable", "chunk", "offset", F.size("observations").alias("n"), text.alias("ids"), F.array_join(F.transform("observations.value", lambda x: F.round(x * 100).cast("long").cast("string")), "|").alias("cents"))
+
+
 def d1_grouped(spark, d):
     obs = a.observations(spark, d).where("run_id is not null and value is not null")
     return g.grouped(obs).select("experiment_id", "run_id", "variable", F.size("observations").alias("n"), F.array_join("observations.observation_id", "|").alias("ids"))
@@ -111,6 +117,7 @@ QUERIES = {
     "c10_narrative_dedup": c10_narrative_dedup,
     "c11_gate_evidence": lambda s, d: _gated(s, d).select("doc_id", "paragraph_idx", "verdict"),
     "c19_supersede": c19_supersede,
+    "d1_chunks": d1_chunks,
     "d1_grouped": d1_grouped,
     "d2_ingestion_summary": lambda s, d: g.ingestion_summary(_observed(s, d), len(a.DICTIONARY)),
     "d3_residual_counts": lambda s, d: g.residual_counts(g.residual(_routed(s, d), _cells(s, d))),
@@ -169,6 +176,7 @@ SQL = {
  SELECT event_id, file_id, variable FROM p WHERE NOT EXISTS (FROM t WHERE t.file_id = p.file_id AND t.variable = p.variable AND abs(p.value - k) / greatest(abs(p.value), abs(k), 1.0) <= CAST(0.001 AS DOUBLE))""",
     "c11_gate_evidence": _GATED + " SELECT doc_id, paragraph_idx, verdict FROM gated",
     "c19_supersede": "SELECT event_id AS observation_id, nullif(last_value(event_id) OVER (PARTITION BY event_type, user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), event_id) AS superseded_by FROM events",
+    "d1_chunks": _OBS_EVENTS + ", o AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, run_id, variable ORDER BY time_h, observation_id) - 1 AS k FROM obs WHERE run_id IS NOT NULL AND value IS NOT NULL) SELECT experiment_id, run_id, variable, k // 50 AS chunk, min(k) AS offset, CAST(count(*) AS INTEGER) AS n, string_agg(observation_id, '|' ORDER BY k) AS ids, string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), '|' ORDER BY k) AS cents FROM o GROUP BY experiment_id, run_id, variable, k // 50",
     "d1_grouped": _OBS_EVENTS + " SELECT experiment_id, run_id, variable, CAST(count(*) AS INTEGER) AS n, string_agg(observation_id, '|' ORDER BY time_h, observation_id) AS ids FROM obs WHERE run_id IS NOT NULL AND value IS NOT NULL GROUP BY ALL",
     "d2_ingestion_summary": _OBS + " SELECT table_id, count(*) AS total, count(*) FILTER (combined_confidence >= 0.85) AS high_confidence, count(*) FILTER (needs_review) AS n_review, CAST(0 AS BIGINT) AS n_narrative, CAST(round_even(count(DISTINCT variable) * 100.0 / 4, 0) AS BIGINT) AS coverage_pct FROM obs GROUP BY 1",
     "d3_residual_counts": _REST + " SELECT table_id, kind, reason, count(*) AS n FROM rest GROUP BY ALL",

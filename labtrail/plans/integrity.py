@@ -13,6 +13,8 @@ from labtrail.sources.shared import shared_dir
 from labtrail.streaming import streams
 
 PRIORS = (("ring", ["loop"], "click", 0.0, 120.0), ("Bolt", ["screw", "small"], "view", 1.0, 150.0))
+#: First event, second event, hours between them at most.
+PAIRS = (("view", "purchase", 2.0), ("click", "error", 0.5), ("signup", "purchase", 24.0), ("click", "click", 1.0))
 REGISTRY = (("P0", ["click", "view"], ["none"]), ("P1", ["click", "assay"], []), ("P2", ["view"], ["error"]))
 
 
@@ -144,6 +146,8 @@ QUERIES = {
     "l1_cohort_outliers": lambda s, d: trends.cohort_outliers(p._rows(s, d, "user_id")),
     "l2_contradictions": lambda s, d: trends.contradictions(p._rows(s, d), 12.0),
     "l3_mass_balance": lambda s, d: trends.mass_balance(p._rows(s, d), 12.0, "view", "click", 1.02, 0.1),
+    "l4_pairs": lambda s, d: trends.precedes_any(p._rows(s, d), s.createDataFrame(list(PAIRS), "first string, second string, max_lag double")),
+    "l5_sliding_fit": lambda s, d: trends.sliding_fit(p._rows(s, d), 24.0),
     "l4_precedes": lambda s, d: trends.precedes(p._rows(s, d), "view", "purchase", 2.0),
     "l5_kinetic_fit": lambda s, d: trends.kinetic_fit(p._rows(s, d), 120.0),
     "l6_prior_violations": lambda s, d: claims.prior_violations(p._rows(s, d), _priors(s)).select("experiment_id", "observation_id", "low", "high"),
@@ -182,6 +186,8 @@ SQL = {
  c AS (SELECT experiment_id, variable, feature, avg(x) AS mean, stddev_samp(x) AS sd, count(*) AS n_runs FROM long GROUP BY ALL) SELECT experiment_id, run_id, variable, feature, x, n_runs, round((x - mean) / sd, 4) AS z FROM long JOIN c USING (experiment_id, variable, feature) WHERE n_runs >= 2 AND sd > 0 AND abs(round((x - mean) / sd, 4)) >= 2""",
     "l2_contradictions": _PAIR + " SELECT experiment_id, run_id, variable, grid_idx, count(*) AS n, min(value) AS low, max(value) AS high FROM k2 GROUP BY ALL HAVING abs(min(value) - max(value)) / greatest(abs(min(value)), abs(max(value)), 1.0) > CAST(0.001 AS DOUBLE)",
     "l3_mass_balance": _PAIR + " SELECT *, round(abs(a - b * CAST(1.02 AS DOUBLE)) / greatest(abs(a), 1.0), 6) AS error FROM pair WHERE error > 0.1",
+    "l4_pairs": p._BASE + ", pairs(first, second, max_lag) AS (VALUES " + ", ".join(f"('{x}', '{y}', {z}::DOUBLE)" for x, y, z in PAIRS) + ") SELECT first, second, x.experiment_id, x.run_id, x.observation_id AS a_id, min(y.time_h) AS b_time, round(min(y.time_h) - any_value(x.time_h), 6) AS lag_h FROM pairs JOIN kept x ON x.variable = first JOIN kept y ON y.variable = second AND x.experiment_id = y.experiment_id AND x.run_id = y.run_id AND y.time_h > x.time_h AND y.time_h - x.time_h <= max_lag GROUP BY ALL",
+    "l5_sliding_fit": p._BASE + ", f AS (SELECT experiment_id, run_id, variable, observation_id, time_h, count(*) OVER w AS n, var_pop(time_h) OVER w AS v, round(regr_slope(ln(value), time_h) OVER w, 6) AS slope FROM kept WHERE value > 0 WINDOW w AS (PARTITION BY experiment_id, run_id, variable ORDER BY time_h RANGE BETWEEN 24 PRECEDING AND CURRENT ROW)) SELECT * EXCLUDE (v) FROM f WHERE n >= 3 AND v >= 0.25",
     "l4_precedes": p._BASE + " SELECT x.experiment_id, x.run_id, x.observation_id AS a_id, min(y.time_h) AS b_time, round(min(y.time_h) - any_value(x.time_h), 6) AS lag_h FROM kept x JOIN kept y ON x.experiment_id = y.experiment_id AND x.run_id = y.run_id AND y.time_h > x.time_h AND y.time_h - x.time_h <= 2 WHERE x.variable = 'view' AND y.variable = 'purchase' GROUP BY ALL",
     "l5_kinetic_fit": p._BASE + " SELECT experiment_id, run_id, variable, CAST(floor(time_h / 120) AS INTEGER) AS window_idx, count(*) AS n, round(regr_slope(ln(value), time_h), 6) AS slope, round(regr_r2(ln(value), time_h), 6) AS r2 FROM kept WHERE value > 0 GROUP BY ALL HAVING count(*) >= 3",
     "l6_prior_violations": p._BASE + ", pr(variable, low, high) AS (VALUES ('click', 0::DOUBLE, 120::DOUBLE), ('view', 1::DOUBLE, 150::DOUBLE)) SELECT experiment_id, observation_id, low, high FROM kept JOIN pr USING (variable) WHERE value < low OR value > high",

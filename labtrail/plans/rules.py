@@ -275,6 +275,7 @@ QUERIES = {
     "d2_with_files": d2_with_files,
     "d3_by_experiment": d3_by_experiment,
     "d7_arrays": d7_arrays,
+    "d7_chunks": lambda s, d: series.chunk_range(series.chunks(p._points(s, d), 16), 10, 45, 16),
     "d11_all_flags": d11_all_flags,
     "d14_all_stats": d14_all_stats,
     "h12_rationale": lambda s, d: runs.rationale(t._resolved(s, d)).select("table_id", "strategy", "rationale"),
@@ -327,6 +328,7 @@ SQL = {
     "d2_with_files": t._OBS + """, s AS (SELECT table_id, count(*) AS total, count(*) FILTER (combined_confidence >= 0.85) AS high_confidence, count(*) FILTER (needs_review) AS n_review, CAST(0 AS BIGINT) AS n_narrative, CAST(round_even(count(DISTINCT variable) * 100.0 / 4, 0) AS BIGINT) AS coverage_pct FROM obs GROUP BY 1),
  fl AS (SELECT DISTINCT table_id, length(table_id) % 3 = 0 AS failed FROM cells UNION ALL SELECT 'supplier/' || s_suppkey, true FROM supplier) SELECT table_id, coalesce(total, 0) AS total, coalesce(high_confidence, 0) AS high_confidence, coalesce(n_review, 0) AS n_review, coalesce(n_narrative, 0) AS n_narrative, coalesce(coverage_pct, 0) AS coverage_pct, CAST(coalesce(failed, false) AS BIGINT) AS n_failed FROM fl FULL JOIN s USING (table_id)""",
     "d3_by_experiment": _RECORDS + " SELECT experiment_id, count(DISTINCT source) FILTER (kind = 'tables_unmapped') AS tables_unmapped, count(DISTINCT source) FILTER (kind = 'tables_partial') AS tables_partial, count(*) FILTER (kind = 'narrative') AS narrative_blocks FROM placed GROUP BY 1",
+    "d7_chunks": p._PTS + " SELECT experiment_id, run_id, variable, grid_idx, time_h, value, imputed, observation_id FROM points WHERE grid_idx >= 10 AND grid_idx < 45",
     "d7_arrays": p._PTS + """, un AS (SELECT experiment_id, run_id, variable, 'u' || (arg_min(CAST(substr(observation_id, 3) AS BIGINT), (time_h, observation_id)) % 7) AS unit FROM k2 GROUP BY ALL)
  SELECT experiment_id, run_id, variable, any_value(unit) AS unit, CAST(count(*) AS INTEGER) AS n, round(sum(time_h * (grid_idx + 1)), 2) AS times, round(sum(coalesce(value, -1) * (grid_idx + 1) ORDER BY grid_idx), 2) AS weighted_values, string_agg(CAST(CAST(imputed AS INTEGER) AS VARCHAR), '' ORDER BY grid_idx) AS flags FROM points JOIN un USING (experiment_id, run_id, variable) GROUP BY ALL""",
     "d11_all_flags": p._PTS + f""", r AS (SELECT {_MANY} AS x, run_id, variable, variable IN (SELECT variable FROM (VALUES ('click'), ('purchase'), ('signup'), ('view')) s(variable)) AS spec FROM k2),

@@ -1,5 +1,6 @@
 """Operators on small inputs whose results are known."""
 
+import math
 import random
 from fractions import Fraction
 
@@ -330,3 +331,47 @@ def test_short_and_empty_needles(spark):
     df = lambda name: spark.createDataFrame([(t,) for t in texts], f"{name} string")
     known = [t for t in texts if t is not None]
     assert values(substrings.holding(df("needle"), df("whole"))) == sorted((n, w) for n in known for w in known if n in w)
+
+
+RUNS = "experiment_id string, run_id string, variable string, observation_id string, time_h double, value double"
+
+
+def test_pairs_of_events_with_lags_of_their_own(spark):
+    draw = random.Random(2)
+    rows = [("E", f"R{draw.randint(0, 1)}", draw.choice("abc"), f"O{i}", round(draw.uniform(0, 40), 1), 1.0) for i in range(300)] + [("E", "R0", "a", "late", None, 1.0)]
+    pairs = [("a", "b", 2.0), ("b", "c", 0.5), ("a", "a", 7.0), ("a", "b", 1.0), (None, "c", 1.0), ("c", "a", 0.0)]
+    found = values(trends.precedes_any(spark.createDataFrame(rows, RUNS), spark.createDataFrame(pairs, "first string, second string, max_lag double")).select("first", "second", "run_id", "a_id", "b_time"))
+    expected = []
+    for x, y, lag in [("a", "b", 2.0), ("b", "c", 0.5), ("a", "a", 7.0)]:
+        for _, run, v, o, t, _ in rows[:300]:
+            after = [r[4] for r in rows[:300] if r[1] == run and r[2] == y and t < r[4] and r[4] - t <= lag]
+            expected += [(x, y, run, o, min(after))] if v == x and after else []
+    assert found == sorted(expected)
+
+
+def test_sliding_fits_equal_a_window_over_each_series(spark):
+    draw = random.Random(4)
+    rows = [("E", f"R{i % 2}", "v", f"O{i}", float(draw.randint(0, 90)) / 2 + (100 if i % 5 == 0 else 0), draw.choice([0.0, -1.0, *([draw.uniform(0.5, 9)] * 6)])) for i in range(250)]
+    found = {r["observation_id"]: (r["n"], r["slope"]) for r in trends.sliding_fit(spark.createDataFrame(rows, RUNS), 6.0).collect()}
+    expected = {}
+    for _, run, _, o, t, v in rows:
+        own = [(r[4], math.log(r[5])) for r in rows if r[1] == run and r[5] > 0 and t - 6 <= r[4] <= t]
+        if v > 0 and len(own) >= 3:
+            mt, my = sum(a for a, _ in own) / len(own), sum(b for _, b in own) / len(own)
+            square = sum((a - mt) ** 2 for a, _ in own)
+            if square / len(own) >= 0.25:
+                expected[o] = (len(own), sum((a - mt) * (b - my) for a, b in own) / square)
+    assert found.keys() == expected.keys() and len(found) > 50
+    assert all(found[o][0] == n and abs(found[o][1] - s) < 1e-6 for o, (n, s) in expected.items())
+
+
+def test_chunks_are_bounded_and_read_by_range(spark):
+    points = spark.createDataFrame([("E", "R", "v", i, float(i), float(i) if i % 3 else None, i % 2 == 0, f"O{i}" if i % 2 else None) for i in range(100) if not 20 <= i < 40], "experiment_id string, run_id string, variable string, grid_idx int, time_h double, value double, imputed boolean, observation_id string")
+    parts = series.chunks(points, 16)
+    assert max(len(r["values"]) for r in parts.collect()) <= 16
+    read = series.chunk_range(parts, 10, 50, 16).select("grid_idx", F.coalesce("value", F.lit(-1.0)), "imputed", F.coalesce("observation_id", F.lit("")))
+    assert values(read) == values(points.where("grid_idx >= 10 and grid_idx < 50").select("grid_idx", F.coalesce("value", F.lit(-1.0)), "imputed", F.coalesce("observation_id", F.lit(""))))
+    obs = spark.createDataFrame([("E", "R", "v", f"O{i:03}", float(i // 7), 1.0) for i in range(95)], RUNS)
+    grouped = ingest.grouped_chunks(obs, 10).collect()
+    assert sorted((r["chunk"], r["offset"], len(r["observations"])) for r in grouped) == [(k, 10 * k, 10 if k < 9 else 5) for k in range(10)]
+    assert [o["observation_id"] for r in sorted(grouped, key=lambda r: r["chunk"]) for o in r["observations"]] == [f"O{i:03}" for i in range(95)]
