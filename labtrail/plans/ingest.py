@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
 from labtrail.operators import ingest as g
 from labtrail.operators import prose, runs, units
 from labtrail.sources import adapters as a
+from labtrail.sources import stored
+from labtrail.sources.shared import shared_dir
 
 
 def _cells(spark, d):
@@ -77,6 +81,18 @@ def c19_supersede(spark, d):
     return g.supersede(e.select(F.lit("EXP-0").alias("experiment_id"), F.col("event_type").alias("variable"), locator.alias("locator"), F.col("event_id").alias("observation_id"), F.col("ts").alias("extracted_at"))).select("observation_id", "superseded_by")
 
 
+def c19_stored(spark, d):
+    """The events of c19 in two batches, before and after a date, kept in a stored table."""
+    e = a.load(spark, d, "events")
+    locator = F.concat_ws("@", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
+    rows = e.select(F.lit("EXP-0").alias("experiment_id"), F.col("event_type").alias("variable"), locator.alias("locator"), F.col("event_id").alias("observation_id"), F.col("ts").alias("extracted_at"))
+    at = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    early = F.hour("extracted_at") < 12
+    for batch in (rows.where(early), rows.where(~early)):
+        stored.supersede_stored(batch, at, 16)
+    return spark.read.parquet(at).select("observation_id", "superseded_by")
+
+
 def f5_review_queue(spark, d):
     e = a.load(spark, d, "events")
     return g.review_queue(e.select(F.col("event_id").alias("observation_id"), F.col("ts").alias("extracted_at"), F.lit(None).cast("long").alias("superseded_by"), (F.col("value") > 100).alias("needs_review")), 50).select("observation_id")
@@ -116,6 +132,7 @@ QUERIES = {
     "c7_convert": c7_convert,
     "c10_narrative_dedup": c10_narrative_dedup,
     "c11_gate_evidence": lambda s, d: _gated(s, d).select("doc_id", "paragraph_idx", "verdict"),
+    "c19_stored": c19_stored,
     "c19_supersede": c19_supersede,
     "d1_chunks": d1_chunks,
     "d1_grouped": d1_grouped,
@@ -175,6 +192,7 @@ SQL = {
     "c10_narrative_dedup": """WITH p AS (SELECT event_id, user_id % 7 AS file_id, event_type AS variable, value * (1 + (event_id % 5) * CAST(0.0004 AS DOUBLE)) AS value FROM events), t AS (SELECT user_id % 7 AS file_id, event_type AS variable, value AS k FROM events WHERE user_id % 2 = 0)
  SELECT event_id, file_id, variable FROM p WHERE NOT EXISTS (FROM t WHERE t.file_id = p.file_id AND t.variable = p.variable AND abs(p.value - k) / greatest(abs(p.value), abs(k), 1.0) <= CAST(0.001 AS DOUBLE))""",
     "c11_gate_evidence": _GATED + " SELECT doc_id, paragraph_idx, verdict FROM gated",
+    "c19_stored": "SELECT event_id AS observation_id, nullif(last_value(event_id) OVER (PARTITION BY event_type, user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), event_id) AS superseded_by FROM events",
     "c19_supersede": "SELECT event_id AS observation_id, nullif(last_value(event_id) OVER (PARTITION BY event_type, user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), event_id) AS superseded_by FROM events",
     "d1_chunks": _OBS_EVENTS + ", o AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, run_id, variable ORDER BY time_h, observation_id) - 1 AS k FROM obs WHERE run_id IS NOT NULL AND value IS NOT NULL) SELECT experiment_id, run_id, variable, k // 50 AS chunk, min(k) AS offset, CAST(count(*) AS INTEGER) AS n, string_agg(observation_id, '|' ORDER BY k) AS ids, string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), '|' ORDER BY k) AS cents FROM o GROUP BY experiment_id, run_id, variable, k // 50",
     "d1_grouped": _OBS_EVENTS + " SELECT experiment_id, run_id, variable, CAST(count(*) AS INTEGER) AS n, string_agg(observation_id, '|' ORDER BY time_h, observation_id) AS ids FROM obs WHERE run_id IS NOT NULL AND value IS NOT NULL GROUP BY ALL",

@@ -127,6 +127,18 @@ def s2_range_windows(spark, d):
     return spark.read.schema(counts.schema).parquet(out).withColumn("window_start", F.col("window_start").cast("string"))
 
 
+def s2_rollup(spark, d):
+    """The events as a stream that counts each run and variable, singles up to a hundred and roll-ups beyond."""
+    path = f"{d}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    obs = stream.select((F.concat(F.lit("EXP-"), (F.col("user_id") % 2).cast("string"))).alias("experiment_id"), F.format_string("RUN-%04d", F.col("user_id") % 10).alias("run_id"), F.col("event_type").alias("variable"), F.format_string("O-%09d", "event_id").alias("observation_id"), "value", F.col("ts").cast("timestamp").alias("event_time"))
+    out = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
+    rows = streams.rollup_stream(obs, a.specs(spark))
+    rows.writeStream.format("parquet").partitionBy("kind").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    told = streams.settled(spark.read.schema(rows.schema).parquet(out))
+    return told.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("t_start", "t_end")})
+
+
 QUERIES = {
     "c9_drop_unknown": c9_drop_unknown,
     "c12_many_priors": c12_many_priors,
@@ -155,6 +167,7 @@ QUERIES = {
     "l8_cross_run_delta": lambda s, d: trends.cross_run_delta(p._rows(s, d)),
     "l9_edges": l9_edges,
     "l10_latest_ids": l10_latest_ids,
+    "s2_rollup": s2_rollup,
     "l11_relationship": lambda s, d: trends.relationship_checks(p._rows(s, d), 12.0, "view", "click", 0.2, 5.0),
     "s2_range_windows": s2_range_windows,
 }
@@ -163,6 +176,10 @@ _CLAIMS = p._FIND + """, claims AS (SELECT experiment_id, seq, run_id, variable,
 _PAIR = p._grid(p._BASE, p.RUN10) + ", pair AS (SELECT x.experiment_id, x.run_id, x.grid_idx, x.value AS a, y.value AS b FROM real x JOIN real y USING (experiment_id, run_id, grid_idx) WHERE x.variable = 'view' AND y.variable = 'click')"
 _BYRUN = p._PTS
 SQL = {
+    "s2_rollup": "WITH " + a.SPECS_SQL + """, v AS (SELECT 'EXP-' || (user_id % 2) AS experiment_id, printf('RUN-%04d', user_id % 10) AS run_id, event_type AS variable, printf('O-%09d', event_id) AS observation_id, ts, abs(round((value - nominal) / std_dev, 6)) AS s FROM events JOIN specs ON variable = event_type WHERE abs(round((value - nominal) / std_dev, 6)) >= 2),
+ n AS (SELECT *, count(*) OVER (PARTITION BY experiment_id, run_id, variable) AS n FROM v)
+ SELECT experiment_id, run_id, variable, CAST(1 AS BIGINT) AS n_violations, s AS max_abs_sigmas, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t_start, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t_end, observation_id FROM n WHERE n <= 100
+ UNION ALL SELECT experiment_id, run_id, variable, count(*), max(s), strftime(min(ts), '%Y-%m-%d %H:%M:%S'), strftime(max(ts), '%Y-%m-%d %H:%M:%S'), NULL FROM n WHERE n > 100 GROUP BY experiment_id, run_id, variable""",
     "c9_drop_unknown": _CLAIMS + " SELECT experiment_id, claim_id FROM claims WHERE coalesce(cited <> 'F-999999', true) AND NOT (by_series AND run_id = 'RUN-0003')",
     "c12_many_priors": """WITH pr AS (SELECT p_partkey, p_name || ' ' || (p_partkey % 500) AS organism, p_brand || ' ' || p_type AS alias, p_type AS variable FROM part),
  q AS (SELECT DISTINCT substr(organism, CAST(1 + p_partkey % 4 AS BIGINT), CAST(2 + p_partkey % 12 AS BIGINT)) AS query FROM pr UNION SELECT alias || '/' || variable FROM pr)

@@ -16,6 +16,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own or f"{tempfile.gettempdir()}/checkpoints"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df``, written and read again: its lineage ends here, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"

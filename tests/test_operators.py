@@ -1,5 +1,6 @@
 """Operators on small inputs whose results are known."""
 
+import datetime
 import math
 import random
 from fractions import Fraction
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labtrail.functions import scalars as S
 from labtrail.operators import checks, claims, findings, ingest, narratives, numbering, prose, scans, series, substrings, trends, units
-from labtrail.sources import files
+from labtrail.sources import files, stored
 from labtrail.streaming import streams
 
 
@@ -375,3 +376,54 @@ def test_chunks_are_bounded_and_read_by_range(spark):
     grouped = ingest.grouped_chunks(obs, 10).collect()
     assert sorted((r["chunk"], r["offset"], len(r["observations"])) for r in grouped) == [(k, 10 * k, 10 if k < 9 else 5) for k in range(10)]
     assert [o["observation_id"] for r in sorted(grouped, key=lambda r: r["chunk"]) for o in r["observations"]] == [f"O{i:03}" for i in range(95)]
+
+
+def test_a_batch_rewrites_the_partitions_of_its_places_only(spark, tmp_path):
+    schema = "experiment_id string, variable string, locator string, observation_id long, extracted_at long"
+    rows = [("E", "v", f"L{i % 40}", i, i // 2) for i in range(200)] + [("E", None, "L0", 900, 1)]
+    at = str(tmp_path / "stored")
+    stored.supersede_stored(spark.createDataFrame(rows[:150] + rows[200:], schema), at, 16)
+    files_of = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "stored").rglob("*.parquet")}
+    before = files_of()
+    more = spark.createDataFrame([("E", "v", "L3", 1000, 999), ("E", "v", "new", 1001, 1)], schema)
+    for _ in range(2):  # a batch that runs again changes nothing
+        touched = stored.supersede_stored(more, at, 16)
+    after = files_of()
+    assert 0 < len(touched) <= 2
+    assert {f: t for f, t in before.items() if int(f.parent.name[7:]) not in touched} == {f: t for f, t in after.items() if int(f.parent.name[7:]) not in touched}
+    every = spark.createDataFrame(rows[:150], schema).unionByName(more)
+    key = lambda df: values(df.select("observation_id", F.coalesce("superseded_by", F.lit(-1))))
+    assert key(spark.read.parquet(at)) == key(ingest.supersede(every))
+    assert stored.supersede_stored(more.where("false"), at, 16) == []
+
+
+def test_roll_ups_of_a_stream_that_is_restarted_equal_the_batch(spark, tmp_path):
+    schema = "experiment_id string, run_id string, variable string, observation_id string, value double, event_time timestamp"
+    day = datetime.datetime(2024, 1, 1)
+    rows = [("E", f"R{i % 3}", "v", f"O{i:03}", float(i % 50), day + datetime.timedelta(minutes=i)) for i in range(120)]
+    specs = spark.createDataFrame([("v", 10.0, 5.0)], "variable string, nominal double, std_dev double")
+    part = lambda k, some: spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p={k}"))
+    out = str(tmp_path / "out")
+
+    def run():
+        obs = spark.readStream.schema(schema + ", p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("p")
+        told = streams.rollup_stream(obs, specs, threshold=20, late="1 hour")
+        told.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out).awaitTermination()
+        return spark.read.schema(told.schema).parquet(out)
+
+    part(0, rows[:40])
+    run()
+    part(1, rows[40:70])
+    part(2, rows[70:100])
+    run()
+    part(3, [*rows[100:], ("E", "R0", "v", "LATE", 49.0, day)])
+    told = run()
+    bad = [r for r in rows if abs(r[4] - 10) / 5 >= 2]
+    expected = []
+    for run_id in ("R0", "R1", "R2"):
+        own = [r for r in bad if r[1] == run_id]
+        sigma = lambda r: abs(r[4] - 10) / 5
+        expected += [(run_id, len(own), max(map(sigma, own)), "")] if len(own) > 20 else [(run_id, 1, sigma(r), r[3]) for r in own]
+    assert values(streams.settled(told).select("run_id", "n_violations", "max_abs_sigmas", F.coalesce("observation_id", F.lit("")))) == sorted(expected)
+    assert [r["observation_id"] for r in told.where("kind = 'late'").collect()] == ["LATE"]
+    assert len(expected) == 3
