@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,13 @@ def check_errors(outputs: DataFrame, claims: DataFrame) -> DataFrame:
     return failed.join(claims.select("output_id"), "output_id", "left_semi").select("output_id", F.lit("error_has_no_claims").alias("rule"))
 
 
+def ids_used_twice(*collections: tuple[str, DataFrame]) -> DataFrame:
+    """``experiment_id, id, n, collections`` of ids that an experiment uses more than once, in one collection or in several; frames of ``(experiment_id, id)``."""
+    every = reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("collection"), "experiment_id", "id") for name, df in collections))
+    found = every.where("id is not null").groupBy("experiment_id", "id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("collection")), "|").alias("collections"))
+    return found.where("n > 1")
+
+
 def duplicate_ids(*collections: tuple[str, DataFrame]) -> DataFrame:
     """``collection, id, n`` of ids that occur more than once in their collection; each frame has a column ``id``."""
     parts = [df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("collection"), "id", "n") for name, df in collections]

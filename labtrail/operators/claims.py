@@ -115,8 +115,12 @@ def score(claims: DataFrame, expectations: DataFrame) -> DataFrame:
     tagged = "tags" in expectations.columns
     e = expectations.select("experiment_id", "keywords", "must_cite", "min_confidence", F.coalesce("tags", none).alias("tags") if tagged else none.alias("tags"))
     e = e.withColumn("__id", F.xxhash64("keywords", "must_cite", "min_confidence", "tags"))
-    c = claims.select("experiment_id", F.lower("summary").alias("summary"), "cited_finding_ids", "confidence", F.coalesce("domain_tags", none).alias("own_tags") if tagged else none.alias("own_tags")).distinct()
+    c = claims.select("experiment_id", F.lower("summary").alias("summary"), F.coalesce("cited_finding_ids", none).alias("cited_finding_ids"), "confidence", F.coalesce("domain_tags", none).alias("own_tags") if tagged else none.alias("own_tags")).distinct()
     hit = F.forall("keywords", lambda k: F.col("summary").contains(F.lower(k))) & (F.size(F.array_except("must_cite", "cited_finding_ids")) == 0)
-    met = c.join(small(e), "experiment_id").where(hit).groupBy("experiment_id", "__id").agg(F.max(F.col("confidence") >= F.col("min_confidence")).alias("sure"), F.first("tags").alias("tags"), F.flatten(F.collect_set("own_tags")).alias("own_tags"))
+    # What must be cited is met by claims that cite it; only expectations that ask for none are held against all claims of their experiment.
+    citing = e.where("size(must_cite) > 0").withColumn("__cited", F.get("must_cite", F.lit(0)))
+    by_citation = c.withColumn("__cited", F.explode(F.array_distinct("cited_finding_ids"))).join(citing, ["experiment_id", "__cited"]).drop("__cited")
+    both = by_citation.unionByName(c.join(e.where("size(must_cite) = 0"), "experiment_id"))
+    met = both.where(hit).groupBy("experiment_id", "__id").agg(F.max(F.col("confidence") >= F.col("min_confidence")).alias("sure"), F.first("tags").alias("tags"), F.flatten(F.collect_set("own_tags")).alias("own_tags"))
     met = met.where(F.col("sure") & (F.size(F.array_except("tags", "own_tags")) == 0)).select("experiment_id", "__id", F.lit(1.0).alias("met"))
     return e.join(met, ["experiment_id", "__id"], "left").groupBy("experiment_id").agg(F.count("*").alias("n_expected"), F.round(F.avg(F.coalesce("met", F.lit(0.0))), 4).alias("recall"))

@@ -10,7 +10,7 @@ from labtrail.functions import scalars as S
 from labtrail.operators.ingest import small
 from labtrail.operators.scans import neighbour, stretches
 from labtrail.operators.series import KEY, last_at_point, rates, snap
-from labtrail.sources.shared import written
+from labtrail.sources.shared import discard, written
 
 
 def cohort_outliers(rows: DataFrame, min_runs: int = 2, z: float = 2.0) -> DataFrame:
@@ -179,9 +179,11 @@ def facts_graph(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def latest_ids(links: DataFrame) -> DataFrame:
     """The end of each chain of ``links(id, superseded_by)``: pointers double each round, so rounds grow with the chain's logarithm."""
     now = written(links.select("id", F.coalesce("superseded_by", "id").alias("latest")), "chain")
+    spent = now
     while True:
         step = now.alias("a").join(now.select(F.col("id").alias("latest"), F.col("latest").alias("next")), "latest", "left")
         nxt = written(step.select("id", F.coalesce("next", "latest").alias("latest"), (F.col("next") != F.col("latest")).alias("moved")), "chain")
+        discard(spent)
         if nxt.where("moved").isEmpty():
             return nxt.select("id", "latest")
-        now = nxt.select("id", "latest")
+        spent, now = nxt, nxt.select("id", "latest")

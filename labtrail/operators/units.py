@@ -30,10 +30,11 @@ def dimensionless(unit: Column) -> Column:
 
 
 def rewrite_unit(unit: Column) -> Column:
-    """Plain spelling: no ``of ...``, superscripts as powers, products as ``*``."""
+    """Plain spelling: no ``of ...``, superscripts as powers, products as ``*``: dots, and blanks that stand between two units or brackets."""
     stuff = F.regexp_replace(F.trim(unit), r"(?i)\sof\s[^*/·()]*", "")
     u = F.translate(F.regexp_replace(F.trim(stuff), f"([{RAISED}]+)", "^$1"), RAISED, "-0123456789")
-    return F.regexp_replace(F.replace(u, F.lit("·"), F.lit("*")), r"([A-Za-z)\]])\s+([A-Za-z(\[])", "$1*$2")
+    ends, begins = r"(?<=\p{Alpha}|\)|\])", r"(?=\p{Alpha}|\(|\[)"
+    return F.regexp_replace(F.replace(u, F.lit("·"), F.lit("*")), ends + r"\s+" + begins, "*")
 
 
 def normalize_units(units: DataFrame) -> DataFrame:

@@ -92,6 +92,26 @@ def d18_duplicate_ids(spark, d):
     return checks.duplicate_ids(("lineitem", line), ("texts", docs))
 
 
+def d18_all_collections(spark, d):
+    """The ids of nine collections of each experiment; series and questions are named alike, and so are some fits and nodes."""
+    rows, found = p._rows(spark, d), p._findings(spark, d)
+    e, series_id = F.col("experiment_id"), F.concat_ws("/", "run_id", "variable")
+    fit = F.concat_ws("/", "run_id", "variable", F.floor(F.col("time_h") / 120).cast("string"))
+    node = F.when(F.floor("time_h") % 50 == 0, fit).otherwise(F.col("observation_id"))
+    of = lambda df, i: df.select(e, i.alias("id"))
+    return checks.ids_used_twice(
+        ("findings", of(found, F.col("finding_id"))),
+        ("timeline", of(found, F.concat(F.lit("EV-"), "finding_id"))),
+        ("deviations", of(p._spec_rows(spark, d).where("expected is not null"), F.concat(F.lit("DV-"), "observation_id"))),
+        ("trajectories", of(rows, series_id).distinct()),
+        ("open_questions", of(found, series_id).distinct()),
+        ("kinetic_estimates", of(rows, fit).distinct()),
+        ("nodes", of(rows, node).distinct()),
+        ("edges", of(rows, F.concat_ws(">", "observation_id", "variable"))),
+        ("narratives", a.load(spark, d, "conversations").select(F.lit("EXP-1").alias("experiment_id"), F.concat_ws("-", F.lit("N"), "conv_id", "turn").alias("id"))),
+    )
+
+
 def v4_trajectories(spark, d):
     points = p._points(spark, d)
     return checks.check_trajectories(series.trajectories(points).join(series.series_quality(points), series.KEY))
@@ -166,6 +186,7 @@ QUERIES = {
     "l7_trend_direction": lambda s, d: trends.trend_direction(p._points(s, d)),
     "l8_cross_run_delta": lambda s, d: trends.cross_run_delta(p._rows(s, d)),
     "l9_edges": l9_edges,
+    "d18_all_collections": d18_all_collections,
     "l10_latest_ids": l10_latest_ids,
     "s2_rollup": s2_rollup,
     "l11_relationship": lambda s, d: trends.relationship_checks(p._rows(s, d), 12.0, "view", "click", 0.2, 5.0),
@@ -176,6 +197,11 @@ _CLAIMS = p._FIND + """, claims AS (SELECT experiment_id, seq, run_id, variable,
 _PAIR = p._grid(p._BASE, p.RUN10) + ", pair AS (SELECT x.experiment_id, x.run_id, x.grid_idx, x.value AS a, y.value AS b FROM real x JOIN real y USING (experiment_id, run_id, grid_idx) WHERE x.variable = 'view' AND y.variable = 'click')"
 _BYRUN = p._PTS
 SQL = {
+    "d18_all_collections": p._FIND + """, fits AS (SELECT *, run_id || '/' || variable || '/' || CAST(floor(time_h / 120) AS BIGINT) AS fit FROM kept),
+ x AS (SELECT 'findings' AS c, experiment_id, finding_id AS id FROM found UNION ALL SELECT 'timeline', experiment_id, 'EV-' || finding_id FROM found UNION ALL SELECT 'deviations', experiment_id, 'DV-' || observation_id FROM s WHERE expected IS NOT NULL
+ UNION ALL SELECT DISTINCT 'trajectories', experiment_id, run_id || '/' || variable FROM kept UNION ALL SELECT DISTINCT 'open_questions', experiment_id, run_id || '/' || variable FROM found UNION ALL SELECT DISTINCT 'kinetic_estimates', experiment_id, fit FROM fits
+ UNION ALL SELECT DISTINCT 'nodes', experiment_id, CASE WHEN CAST(floor(time_h) AS BIGINT) % 50 = 0 THEN fit ELSE observation_id END FROM fits UNION ALL SELECT 'edges', experiment_id, observation_id || '>' || variable FROM kept UNION ALL SELECT 'narratives', 'EXP-1', 'N-' || conv_id || '-' || turn FROM conversations)
+ SELECT experiment_id, id, count(*) AS n, string_agg(DISTINCT c, '|' ORDER BY c) AS collections FROM x GROUP BY 1, 2 HAVING count(*) > 1""",
     "s2_rollup": "WITH " + a.SPECS_SQL + """, v AS (SELECT 'EXP-' || (user_id % 2) AS experiment_id, printf('RUN-%04d', user_id % 10) AS run_id, event_type AS variable, printf('O-%09d', event_id) AS observation_id, ts, abs(round((value - nominal) / std_dev, 6)) AS s FROM events JOIN specs ON variable = event_type WHERE abs(round((value - nominal) / std_dev, 6)) >= 2),
  n AS (SELECT *, count(*) OVER (PARTITION BY experiment_id, run_id, variable) AS n FROM v)
  SELECT experiment_id, run_id, variable, CAST(1 AS BIGINT) AS n_violations, s AS max_abs_sigmas, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t_start, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t_end, observation_id FROM n WHERE n <= 100

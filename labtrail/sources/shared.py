@@ -27,4 +27,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = where
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` has written, once nothing reads it any more."""
+    for df in tables:
+        df._written.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(df._written, True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.operators.ingest import supersede
-from labtrail.sources.shared import exists, written
+from labtrail.sources.shared import discard, exists, written
 
 #: Partitions of a stored table; a batch lists those it touches, so at most so many numbers come to the driver.
 BUCKETS = 64
@@ -33,4 +33,5 @@ def supersede_stored(batch: DataFrame, target: str, buckets: int = BUCKETS) -> l
     # Written apart first: the partitions that are replaced are those that were read.
     merged = written(supersede(rows), "superseded")
     merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+    discard(merged)
     return touched

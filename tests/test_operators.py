@@ -427,3 +427,22 @@ def test_roll_ups_of_a_stream_that_is_restarted_equal_the_batch(spark, tmp_path)
     assert values(streams.settled(told).select("run_id", "n_violations", "max_abs_sigmas", F.coalesce("observation_id", F.lit("")))) == sorted(expected)
     assert [r["observation_id"] for r in told.where("kind = 'late'").collect()] == ["LATE"]
     assert len(expected) == 3
+
+
+def test_expectations_are_met_by_claims_that_cite_what_they_ask_for(spark):
+    c = spark.createDataFrame(
+        [("E", "Growth is low", ["F-1", "F-2"], 0.9), ("E", "growth is low", ["F-2", "F-2"], 0.9), ("E", "feed", [], 0.9), ("E", "yield", ["F-3"], 0.5), ("X", "growth", None, 0.9)],
+        "experiment_id string, summary string, cited_finding_ids array<string>, confidence double",
+    )
+    e = spark.createDataFrame(
+        [("E", ["growth"], ["F-1"], 0.8), ("E", ["growth"], ["F-2", "F-1"], 0.8), ("E", ["growth"], ["F-2", "F-3"], 0.8), ("E", ["feed"], [], 0.8), ("E", ["yield"], ["F-3"], 0.8), ("X", ["growth"], [], 0.8), ("X", ["growth"], ["F-1"], 0.8)],
+        "experiment_id string, keywords array<string>, must_cite array<string>, min_confidence double",
+    )
+    found = claims.score(c, e)
+    assert values(found) == [("E", 5, 0.6), ("X", 2, 0.5)]
+
+
+def test_ids_of_several_collections(spark):
+    a = spark.createDataFrame([("E", "1"), ("E", "2"), ("X", "1"), ("E", None), ("E", None)], "experiment_id string, id string")
+    b = spark.createDataFrame([("E", "1"), ("E", "3"), ("E", "3")], "experiment_id string, id string")
+    assert values(checks.ids_used_twice(("a", a), ("b", b))) == [("E", "1", 2, "a|b"), ("E", "3", 2, "b")]
