@@ -227,7 +227,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         model = _MODELS.get(path) or _MODELS.setdefault(path, Pieces(path))
         for batch in batches:
             all_texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in blocks([len(t) for t in all_texts], 1 << 22):
+            for a, b in blocks([len(t) for t in all_texts], 1 << 21):
                 texts = [model.split(t) for t in all_texts[a:b]]
                 known = model.learn(texts)
                 rows = [[known[w] for w in words] for words in texts]
