@@ -228,6 +228,11 @@ def fmt_g(x: Column) -> Column:
     return F.when(F.isnan(x), "nan").otherwise(F.concat(sign, let(F.abs(x), body)))
 
 
+def millionths(x: Column) -> Column:
+    """The number in whole millionths, which sums don't round; null if it isn't finite or beyond 1e32."""
+    return F.round(x * 1e6).try_cast("decimal(38,0)")
+
+
 def ratio_half_up(a: Column, b: Column) -> Column:
     """The whole number nearest to ``a / b`` of whole numbers, b positive, halves away from zero; it must fit a long."""
     return F.signum(a.cast("double")).cast("long") * F.call_function("div", 2 * F.abs(a) + b, 2 * b)

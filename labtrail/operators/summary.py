@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labtrail.functions import scalars as S
+
 MISSING_VALUE, MISSING_PLACE = "missing observation_id or value", "locator missing run_id or timestamp_h"
 
 
@@ -42,7 +44,11 @@ def extent(rows: DataFrame) -> DataFrame:
 
 
 def stats(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("experiment_id", "run_id", "variable").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    """Count, mean to four places, least and largest value; means are summed in whole millionths, so no order of rows changes them."""
+    whole = S.millionths(F.col("value"))
+    out = rows.groupBy("experiment_id", "run_id", "variable").agg(F.count("*").alias("n"), F.sum(whole).alias("__sum"), F.count(whole).alias("__known"), F.min("value").alias("low"), F.max("value").alias("high"))
+    mean = F.when(F.col("__known") > 0, S.ratio_half_up(F.col("__sum"), F.col("__known") * 100).cast("double") / 1e4)
+    return out.select("experiment_id", "run_id", "variable", "n", mean.alias("mean"), "low", "high")
 
 
 def extent_sets(rows: DataFrame) -> DataFrame:

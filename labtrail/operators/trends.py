@@ -153,8 +153,8 @@ def cross_run_delta(rows: DataFrame) -> DataFrame:
     Values are summed in whole millionths and means held in billionths, so that no order of summing changes a result;
     a mean beyond 9e9 doesn't fit and fails.
     """
-    whole = F.round(F.col("value") * 1e6).cast("decimal(38,0)")
-    runs = rows.groupBy(*KEY).agg(F.sum(whole).alias("s"), F.count("value").alias("n")).where("n > 0").select(*KEY, S.ratio_half_up(F.col("s") * 1000, F.col("n")).alias("m"))
+    whole = S.millionths(F.col("value"))
+    runs = rows.groupBy(*KEY).agg(F.sum(whole).alias("s"), F.count(whole).alias("n")).where("n > 0").select(*KEY, S.ratio_half_up(F.col("s") * 1000, F.col("n")).alias("m"))
     every = runs.groupBy("experiment_id", "variable").agg(F.sum(F.col("m").cast("decimal(38,0)")).alias("of_all"), F.count("*").alias("runs"))
     off = F.col("m").cast("decimal(38,0)") * F.col("runs") - F.col("of_all")
     places = lambda a, b: S.ratio_half_up(a, b).cast("double") / 1e4

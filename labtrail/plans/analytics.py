@@ -125,7 +125,7 @@ SQL = {
     "d6_extent_sets": _BASE + " SELECT experiment_id, string_agg(DISTINCT run_id, '|' ORDER BY run_id) AS run_ids, string_agg(DISTINCT variable, '|' ORDER BY variable) AS variables FROM kept GROUP BY 1",
     "d12_spec_coverage": _SPEC + " SELECT experiment_id, variable, bool_or(expected IS NOT NULL) AS has_spec FROM s GROUP BY ALL",
     "d13_extent": _BASE + " SELECT experiment_id, count(DISTINCT run_id) AS n_runs, count(*) AS n_observations, min(time_h) AS t_min, max(time_h) AS t_max FROM kept GROUP BY 1",
-    "d17_stats": _BASE + " SELECT experiment_id, run_id, variable, count(*) AS n, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM kept GROUP BY ALL",
+    "d17_stats": _BASE + " SELECT experiment_id, run_id, variable, count(*) AS n, CAST(sign(sum(CAST(round(value * 1e6) AS HUGEINT))) * ((2 * abs(CAST(sum(CAST(round(value * 1e6) AS HUGEINT)) AS HUGEINT)) + 100 * count(*)) // (200 * count(*))) AS DOUBLE) / 1e4 AS mean, min(value) AS low, max(value) AS high FROM kept GROUP BY ALL",
     "b13_violations": _VIOL + " SELECT experiment_id, observation_id, run_id, variable, time_h, value, sigmas, severity, confidence FROM viol",
     "b15_deviations": _SPEC + " SELECT experiment_id, run_id, variable, observation_id, time_h, value, round(value - expected, 6) AS residual, round((value - expected) / expected_std_dev, 6) AS sigmas FROM s WHERE expected IS NOT NULL",
     "d9_rollup": _ROLL + " SELECT * EXCLUDE (order_sigmas) FROM cand",

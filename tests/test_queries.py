@@ -38,3 +38,16 @@ def test_no_query_is_named_twice(monkeypatch):
     monkeypatch.setattr(catalog, "PARTS", (*catalog.PARTS, catalog.PARTS[0]))
     with pytest.raises(ValueError, match="named twice"):
         catalog._all("QUERIES")
+
+
+def test_a_missing_library_leaves_the_analytics(monkeypatch):
+    import __spark_entry__ as entry
+
+    def absent(name):
+        raise ImportError("No module named 'tiktoken'", name="tiktoken")
+
+    monkeypatch.setattr(entry, "import_module", absent)
+    with pytest.warns(UserWarning, match="tiktoken"):
+        assert set(entry.queries()) == set(catalog.QUERIES)
+    with pytest.warns(UserWarning, match="tiktoken"):
+        assert set(entry.oracle_sql()) == set(catalog.SQL)
