@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from labtrail.operators import checks, claims, prose, series, trends
 from labtrail.plans import analytics as p
 from labtrail.sources import adapters as a
+from labtrail.sources import stored
 from labtrail.sources.shared import shared_dir
 from labtrail.streaming import streams
 
@@ -135,6 +136,18 @@ def l10_latest_ids(spark, d):
     return trends.latest_ids(a.load(spark, d, "events").select(F.col("event_id").alias("id"), F.lead("event_id").over(w).alias("superseded_by")))
 
 
+def l10_stored(spark, d):
+    """The same chains, stored and extended: links to events of the first half of the days, then the others."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    links = a.load(spark, d, "events").select(F.col("event_id").alias("id"), F.lead("event_id").over(w).alias("superseded_by"), F.coalesce(F.lead("ts").over(w), "ts").alias("told"))
+    early, at = F.col("told") < F.lit("2024-01-15").cast("timestamp_ntz"), f"{shared_dir(spark)}/pointers-{uuid.uuid4().hex}"
+    for batch in (links.where(early), links.where(~early)):
+        stored.extend_chains(batch.select("id", "superseded_by"), at, 16)
+    return stored.pointers(spark, at)
+
+
 def s2_range_windows(spark, d):
     """The events as a stream: counts of closed windows."""
     path = f"{d}/events.parquet"
@@ -188,6 +201,7 @@ QUERIES = {
     "l9_edges": l9_edges,
     "d18_all_collections": d18_all_collections,
     "l10_latest_ids": l10_latest_ids,
+    "l10_stored": l10_stored,
     "s2_rollup": s2_rollup,
     "l11_relationship": lambda s, d: trends.relationship_checks(p._rows(s, d), 12.0, "view", "click", 0.2, 5.0),
     "s2_range_windows": s2_range_windows,
@@ -242,6 +256,7 @@ SQL = {
  m AS (SELECT *, sign(s) * ((2000 * abs(s) + n) // (2 * n)) AS m FROM r), e AS (SELECT *, count(*) OVER w AS runs, m * count(*) OVER w - CAST(sum(m) OVER w AS HUGEINT) AS off FROM m WINDOW w AS (PARTITION BY experiment_id, variable))
  SELECT experiment_id, run_id, variable, CAST(sign(m) * ((2 * abs(m) + 100000) // 200000) AS DOUBLE) / 1e4 AS mean, CAST(sign(off) * ((2 * abs(off) + 100000 * runs) // (200000 * runs)) AS DOUBLE) / 1e4 AS delta FROM e""",
     "l9_edges": p._BASE + " SELECT 'measured_on' AS kind, observation_id AS src, experiment_id || '/' || run_id AS dst FROM kept UNION ALL SELECT 'measures', observation_id, variable FROM kept",
+    "l10_stored": "SELECT event_id AS id, last_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS latest FROM events",
     "l10_latest_ids": "SELECT event_id AS id, last_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS latest FROM events",
     "l11_relationship": _PAIR + " SELECT *, round(a / nullif(b, 0), 6) AS ratio FROM pair WHERE ratio < 0.2 OR ratio > 5",
 }

@@ -446,3 +446,23 @@ def test_ids_of_several_collections(spark):
     a = spark.createDataFrame([("E", "1"), ("E", "2"), ("X", "1"), ("E", None), ("E", None)], "experiment_id string, id string")
     b = spark.createDataFrame([("E", "1"), ("E", "3"), ("E", "3")], "experiment_id string, id string")
     assert values(checks.ids_used_twice(("a", a), ("b", b))) == [("E", "1", 2, "a|b"), ("E", "3", 2, "b")]
+
+
+def test_pointers_move_with_the_ends_of_their_chains(spark, tmp_path):
+    at = str(tmp_path / "pointers")
+    batches = [[("a", "b"), ("b", "c"), ("x", None), ("p", "q")], [("c", "d"), ("n", "x")], [("c", "d"), ("n", "x")], [("d", "e"), ("q", "r"), ("x", "y"), (None, "z")]]
+    stamps = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "pointers").rglob("*.parquet")}
+    every = []
+    for k, batch in enumerate(batches):
+        before = stamps() if k else {}
+        touched = stored.extend_chains(spark.createDataFrame(batch, "id string, superseded_by string"), at, 32)
+        assert all(stamps().get(f) == t for f, t in before.items() if int(f.parent.name[7:]) not in touched)
+        every += batch
+    ahead = {a: b for a, b in every if a and b}
+    ids = {x for pair in every if pair[0] for x in pair if x}
+
+    def end(x):
+        return end(ahead[x]) if x in ahead else x
+
+    assert values(stored.pointers(spark, at)) == sorted((x, end(x)) for x in ids)
+    assert stored.extend_chains(spark.createDataFrame([], "id string, superseded_by string"), at) == []
