@@ -229,7 +229,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, **options: float) ->
 
     Equal vectors are one class, linked within (cosine 1) and compared once. Vectors that are null, empty, zero or hold null
     or non-finite components, and vectors of different lengths, link with nothing; a row without vec_id neither, and it
-    isn't kept. Repeated rows stay, each counting as a vector. An empty table gives an empty table.
+    isn't kept. Repeated rows stay, each counting as a vector. An empty table gives an empty table. A cell of n different vectors
+    beyond ``hot_rows`` is compared in blocks of ``block_rows``: (n / block_rows) squared block products and n / block_rows copies of each of its vectors.
     """
     own, members = classes(vectors)
     found, counted = links(own, least, **options)
