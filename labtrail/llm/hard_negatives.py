@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from labtrail.llm.common import discard, materialise, table
 
-#: Vectors that the split points are chosen from: about so many, whatever the size of the table.
+#: Vectors that the split points are chosen from: about so many, whatever the size of the table; fewer if they have more than
+#: ``SAMPLE_DIMS`` components, so that sample and tree hold at most about 8 million numbers.
 SAMPLE = 1 << 15
+SAMPLE_DIMS = 1 << 8
 #: Vectors of a leaf that are compared at once, and questions that one copy of them serves.
 LEAF_ROWS = 1 << 12
 QUESTIONS = 1 << 10
@@ -141,7 +143,8 @@ class _Index:
         square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
         lengths = {r["dims"]: r for r in rows.groupBy("dims").agg(F.count("*").alias("n"), F.max(square).alias("longest")).collect()}
         total = sum(r["n"] for r in lengths.values())
-        share = min(1.0, sample / max(total, 1))
+        numbers = sum(r["n"] * r["dims"] for r in lengths.values())
+        share = min(1.0, sample / max(total, 1), sample * SAMPLE_DIMS / max(numbers, 1))
         drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("vec_id", "dims", "vec").toPandas().sort_values("vec_id")
         vectors = {d: x for d, _, x in _by_length(drawn)} if len(drawn) else {}
         trees: dict[int, Tree] = {}
