@@ -460,12 +460,14 @@ def test_queries_return_their_columns(spark, sf_dir):
         "op1_substring_dedup": "doc_id n_words n_removed kept_sha256", "op2_embedding_near_dedup": "vec_id n_links component_id kept", "op3_token_counts": "doc_id n_bytes n_tokens over_limit",
         "op4_nearest_neighbours": "query_id rank vec_id score", "op5_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op6_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
         "op7_mix_sources": "doc_id domain lang source epoch n_tokens", "op8_simhash_near_dedup": "doc_id fingerprint component_id", "op9_url_filter": "page_id host path rule verdict", "op10_quality_classifier": "doc_id held_out score predicted",
+        "op11_conversation_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+        "op13_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
     }
     rows = {t: table(spark, sf_dir, t).count() for t in ("documents", "embeddings", "pages")}
     for name, query in QUERIES.items():
         got = query(spark, sf_dir)
         assert got.columns == columns[name].split()
-        if name[:3] not in ("op4", "op7"):
+        if name.split("_")[0] not in ("op4", "op7", "op11", "op12"):
             assert got.count() == rows["embeddings" if name[:3] == "op2" else "pages" if name[:3] == "op9" else "documents"]
 
 
