@@ -155,13 +155,27 @@ def register_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("experiment_id", "sha256").distinct(), ["experiment_id", "sha256"], "left_anti")
 
 
+def table_kinds(routed: DataFrame) -> DataFrame:
+    """``table_id, kind``: whether any column of a table is mapped."""
+    any_mapped = F.bool_or(F.col("route") == "mapped")
+    return routed.groupBy("table_id").agg(F.when(any_mapped, "tables_partial").otherwise("tables_unmapped").alias("kind"))
+
+
 def residual(routed: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells outside mapped columns, with the reason: of tables without any mapped column, and of partly mapped ones."""
-    any_mapped = routed.groupBy("table_id").agg(F.bool_or(F.col("route") == "mapped").alias("any_mapped"))
-    dim = routed.where("col_idx is not null").select("table_id", "col_idx", "route").join(any_mapped, "table_id")
-    kind = F.when(F.col("any_mapped"), "tables_partial").otherwise("tables_unmapped")
-    own = cells.join(dim, ["table_id", "col_idx"], "left").where("route is null or route <> 'mapped' or not any_mapped")
-    return own.select("table_id", "row_idx", "col_idx", "raw_header", "raw_value", kind.alias("kind"), F.coalesce("route", F.lit("no_mapping_returned")).alias("reason"))
+    dim = routed.where("col_idx is not null").select("table_id", "col_idx", "route")
+    own = cells.join(dim, ["table_id", "col_idx"], "left").where("route is null or route <> 'mapped'").join(table_kinds(routed), "table_id", "left")
+    return own.select("table_id", "row_idx", "col_idx", "raw_header", "raw_value", F.coalesce("kind", F.lit("tables_unmapped")).alias("kind"), F.coalesce("route", F.lit("no_mapping_returned")).alias("reason"))
+
+
+def whole_residual(routed: DataFrame, cells: DataFrame, blocks: DataFrame) -> DataFrame:
+    """All that is kept beside observations: the cells of ``residual``, headers of the mapping that their table lacks, and all blocks of prose.
+
+    ``blocks(doc_id, paragraph_idx, text)`` are of kind ``narrative``. Columns that one kind lacks are null there.
+    """
+    absent = routed.where("col_idx is null").join(table_kinds(routed), "table_id").select("table_id", "raw_header", "kind", F.col("route").alias("reason"))
+    prose = blocks.select("doc_id", "paragraph_idx", "text", F.lit("narrative").alias("kind"), F.lit("prose").alias("reason"))
+    return residual(routed, cells).unionByName(absent, allowMissingColumns=True).unionByName(prose, allowMissingColumns=True)
 
 
 def residual_records(rest: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -62,6 +62,13 @@ def a4_register_files(spark, d):
     return g.register_files(files, known)
 
 
+def a11_residual(spark, d):
+    """All three kinds: no column of some tables is mapped, some columns of the others, and every block of prose."""
+    routed = _routed(spark, d)
+    none = (F.length("table_id") % 5 == 0) & (F.col("route") == "mapped")
+    return g.whole_residual(routed.withColumn("route", F.when(none, "low_confidence").otherwise(F.col("route"))), _cells(spark, d), _blocks(spark, d))
+
+
 def c7_convert(spark, d):
     raw = F.get(F.array(*map(F.lit, ("mg/mL", "kg/m^3", "g L^-1", "µg/mL of pellet", "OD600", "flerbs", "degF"))), F.col("l_linenumber") - 1)
     obs = a.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("value"), raw.alias("unit_raw"), F.when(F.col("l_linenumber") == 7, "degC").otherwise("g/L").alias("unit_canonical"))
@@ -123,7 +130,8 @@ QUERIES = {
     "a2_melt_cells": _cells,
     "a3_narrative_blocks": _blocks,
     "a4_register_files": a4_register_files,
-    "a11_residual": lambda s, d: g.residual(_routed(s, d), _cells(s, d)),
+    "a11_cells": lambda s, d: g.residual(_routed(s, d), _cells(s, d)),
+    "a11_residual": a11_residual,
     "b1_filled_cells": lambda s, d: g.drop_empty(_cells(s, d)),
     "b3_route_columns": _routed,
     "b23_table_observations": _observed,
@@ -174,6 +182,10 @@ _OBS = _ROUTE + _PROFILE + rf""", of_row AS (SELECT row_idx, table_id, max(CASE
  obs AS (SELECT table_id, row_idx, num.col_idx, num.raw_header, variable, raw_value AS value_raw, x AS value, CASE num.col_idx WHEN 3 THEN 'mm' ELSE 'USD' END AS unit_raw, unit_canonical, coalesce(cell_run, run_value) AS run_id, time_h, 'table' AS section, confidence AS mapping_confidence, CASE WHEN x IS NULL THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS extraction_confidence, confidence * CASE WHEN x IS NULL THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS combined_confidence, confidence < 0.85 AS needs_review FROM num JOIN routed USING (table_id, col_idx) JOIN of_row USING (table_id, row_idx) WHERE route = 'mapped')"""
 _BLOCKS = r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS paragraph_idx FROM documents),
  blocks AS (SELECT doc_id, paragraph_idx, trim(line) AS text FROM lines WHERE length(trim(line)) >= 20)"""
+_WHOLE = _ROUTE + _BLOCKS.replace("WITH ", ", ", 1) + """, own AS (SELECT * REPLACE (CASE WHEN route = 'mapped' AND length(table_id) % 5 = 0 THEN 'low_confidence' ELSE route END AS route) FROM routed),
+ kinds AS (SELECT table_id, CASE WHEN bool_or(route = 'mapped') THEN 'tables_partial' ELSE 'tables_unmapped' END AS kind FROM own GROUP BY 1),
+ rest AS (SELECT table_id, row_idx, cells.col_idx, cells.raw_header, raw_value, coalesce(route, 'no_mapping_returned') AS reason FROM cells LEFT JOIN own USING (table_id, col_idx) WHERE route IS NULL OR route <> 'mapped' UNION ALL SELECT table_id, NULL, NULL, raw_header, NULL, route FROM own WHERE col_idx IS NULL)
+ SELECT table_id, row_idx, col_idx, raw_header, raw_value, coalesce(kind, 'tables_unmapped') AS kind, reason, NULL::BIGINT AS doc_id, NULL::INTEGER AS paragraph_idx, NULL::VARCHAR AS text FROM rest LEFT JOIN kinds USING (table_id) UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'narrative', 'prose', doc_id, paragraph_idx, text FROM blocks"""
 _GATED = _BLOCKS + r""", cand AS (SELECT doc_id, paragraph_idx, text, CASE WHEN doc_id % 4 = 0 THEN array_to_string(list_reverse(string_split(substr(text, 3, 40), '')), '') ELSE substr(text, 3, 40) END AS evidence, doc_id % 3 = 0 AS valued FROM blocks),
  gated AS (SELECT doc_id, paragraph_idx, evidence, CASE WHEN trim(evidence) = '' THEN 'empty' WHEN NOT contains(text, evidence) THEN 'not_in_source' WHEN valued AND NOT contains(evidence, '7') THEN 'value_missing' WHEN length(regexp_replace(evidence, '[^.!?]', '', 'g')) > 2 THEN 'too_many_sentences' ELSE 'ok' END AS verdict FROM cand)"""
 _OBS_EVENTS = f"WITH {a.OBS_SQL.format(run='user_id % 10')}"
@@ -181,7 +193,8 @@ SQL = {
     "a2_melt_cells": _CELLS + " SELECT * FROM cells",
     "a3_narrative_blocks": _BLOCKS + " SELECT * FROM blocks",
     "a4_register_files": "SELECT source AS experiment_id, sha256(text) AS sha256, min(doc_id) AS file_id FROM documents d WHERE NOT EXISTS (FROM documents k WHERE k.n_chars < 300 AND k.source = d.source AND k.text = d.text) GROUP BY ALL",
-    "a11_residual": _REST + " SELECT * FROM rest",
+    "a11_cells": _REST + " SELECT * FROM rest",
+    "a11_residual": _WHOLE,
     "b1_filled_cells": _CELLS + " SELECT * FROM cells WHERE" + _FILLED,
     "b3_route_columns": _ROUTE + " SELECT * FROM routed",
     "b23_table_observations": _OBS + " SELECT * FROM obs",

@@ -466,3 +466,27 @@ def test_pointers_move_with_the_ends_of_their_chains(spark, tmp_path):
 
     assert values(stored.pointers(spark, at)) == sorted((x, end(x)) for x in ids)
     assert stored.extend_chains(spark.createDataFrame([], "id string, superseded_by string"), at) == []
+
+
+def test_residual_of_every_kind(spark):
+    cells = [(t, 0, c, h, f"{t}{c}") for t in "abc" for c, h in ((0, "x"), (1, "y"), (2, "y"))]
+    cells = spark.createDataFrame(cells, "table_id string, row_idx long, col_idx int, raw_header string, raw_value string")
+    routed = [("a", "x", 0, "mapped"), ("a", "y", 2, "low_confidence"), ("a", "z", None, "header_not_in_table"), ("b", "x", 0, "no_mapping"), ("b", "z", None, "no_mapping")]
+    routed = spark.createDataFrame(routed, "table_id string, raw_header string, col_idx int, route string")
+    blocks = spark.createDataFrame([(7, 3, "prose")], "doc_id long, paragraph_idx int, text string")
+    assert values(ingest.residual(routed, cells).where("table_id = 'a'").select("col_idx", "kind")) == [(1, "tables_partial"), (2, "tables_partial")]
+    found = ingest.whole_residual(routed, cells, blocks).fillna("-").fillna(-1)
+    assert values(found.select("kind", "table_id", "row_idx", "col_idx", "raw_header", "raw_value", "reason", "doc_id", "paragraph_idx", "text")) == [
+        ("narrative", "-", -1, -1, "-", "-", "prose", 7, 3, "prose"),
+        ("tables_partial", "a", -1, -1, "z", "-", "header_not_in_table", -1, -1, "-"),
+        # of two columns with one header the mapping has the last
+        ("tables_partial", "a", 0, 1, "y", "a1", "no_mapping_returned", -1, -1, "-"),
+        ("tables_partial", "a", 0, 2, "y", "a2", "low_confidence", -1, -1, "-"),
+        ("tables_unmapped", "b", -1, -1, "z", "-", "no_mapping", -1, -1, "-"),
+        ("tables_unmapped", "b", 0, 0, "x", "b0", "no_mapping", -1, -1, "-"),
+        ("tables_unmapped", "b", 0, 1, "y", "b1", "no_mapping_returned", -1, -1, "-"),
+        ("tables_unmapped", "b", 0, 2, "y", "b2", "no_mapping_returned", -1, -1, "-"),
+        ("tables_unmapped", "c", 0, 0, "x", "c0", "no_mapping_returned", -1, -1, "-"),
+        ("tables_unmapped", "c", 0, 1, "y", "c1", "no_mapping_returned", -1, -1, "-"),
+        ("tables_unmapped", "c", 0, 2, "y", "c2", "no_mapping_returned", -1, -1, "-"),
+    ]

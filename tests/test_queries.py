@@ -6,6 +6,10 @@ from labtrail.plans import catalog
 from tests.compare import connect, differences
 
 
+def values(df):
+    return sorted(map(tuple, df.collect()))
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
@@ -34,6 +38,20 @@ def test_facts_of_long_lines_are_supported(spark, sf_dir):
     assert catalog.QUERIES["c20_supported_facts"](spark, sf_dir).count() == expected
 
 
+def test_residual_holds_all_cells_and_records(spark, sf_dir):
+    """No cell that ``a11_cells`` has, and no row, column or block that ``a11_records`` has, is missing."""
+    whole = catalog.QUERIES["a11_residual"](spark, sf_dir).cache()
+    assert {r[0] for r in whole.select("kind").distinct().collect()} == {"tables_unmapped", "tables_partial", "narrative"}
+    place = ["table_id", "row_idx", "col_idx", "raw_header"]
+    cells = catalog.QUERIES["a11_cells"](spark, sf_dir)
+    assert cells.count() > 0 and cells.join(whole.select(*place), place, "left_anti").isEmpty()
+    records = catalog.QUERIES["a11_records"](spark, sf_dir)
+    tables = whole.where("col_idx is not null").selectExpr("kind", "table_id as source", "cast(if(kind = 'tables_unmapped', row_idx, col_idx) as long) as idx")
+    blocks = whole.where("kind = 'narrative'").selectExpr("kind", "cast(doc_id as string)", "cast(paragraph_idx as long)", "text")
+    assert values(tables.distinct()) == values(records.where("kind <> 'narrative'").select("kind", "source", "idx"))
+    assert values(blocks) == values(records.where("kind = 'narrative'").select("kind", "source", "idx", "content"))
+
+
 def test_no_query_is_named_twice(monkeypatch):
     monkeypatch.setattr(catalog, "PARTS", (*catalog.PARTS, catalog.PARTS[0]))
     with pytest.raises(ValueError, match="named twice"):
